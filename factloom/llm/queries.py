@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, simhash
+from . import embedding_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 from .common import table
 
 
@@ -28,12 +28,41 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = lm_scoring.held_out("doc_id", 1)
+    fitted = lm_scoring.fit(docs.where(~held).select("text"))
+    scored = lm_scoring.score(docs, fitted)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(fitted[1]["total"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of all pages."""
+    out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"), F.col("_score").alias("score"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents share, dropped from all documents."""
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines_total").alias("n_lines"), F.col("_lines_dropped").alias("n_dropped"), F.sha2(F.encode("_lines_kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality scores of all documents, learnt from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = lm_scoring.held_out("doc_id", 0)
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", "quality")
+    scored = quality_classifier.classify(docs, quality_classifier.fit_classifier(docs, labels))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each copy of each document that the mixture takes, with its place in the epoch."""
     _, picks = mixing.mix(table(spark, sf_dir, "documents"))
@@ -49,7 +78,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_url_filter": op4_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
