@@ -133,5 +133,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, picks = mix(docs, id_col, text_col, source_col, **how)
     times = materialise(picks.groupBy("id", "row_key", "source").agg(F.count("*").cast("int").alias("_times"))).withColumnsRenamed({"id": "_id", "row_key": "_key", "source": "_source"})
     same = docs[id_col].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_key")) & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == F.col("_source"))
-    joined = docs.join(times, same).withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+    joined = docs.join(times.hint("shuffle_hash"), same).withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
     return joined.select(*docs.columns)

@@ -249,7 +249,7 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
 
     The row with the smallest (doc_id, row_key) stays, a null doc_id last.  Rows
     that agree in both are alike to the operator: one of them stays.  Only the
-    list of dropped rows meets the texts, by broadcast where Spark finds it small.
+    list of dropped rows meets the texts, in a hash join at every size.
     """
     rows = found.groupBy("component_id", "fp", "doc_id", "row_key").agg(F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
@@ -262,7 +262,7 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
     marked = materialise(marked.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_drop_id"), F.col("row_key").alias("_drop_key"), stays.alias("_stays")).distinct())
     same = docs[id_col].eqNullSafe(F.col("_drop_id")) & (F.xxhash64(docs[text_col]) == F.col("_drop_key"))
-    kept = docs.join(marked, same, "left_anti")
+    kept = docs.join(marked.hint("shuffle_hash"), same, "left_anti")
     # one of the rows that agree in id and text
     again = docs.join(marked.where("_stays"), same, "left_semi").withColumn("_row_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_row_key"]).drop("_row_key")
     return kept.unionByName(again)
