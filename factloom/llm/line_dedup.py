@@ -34,9 +34,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     hashed = keys.select("id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     common = hashed.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
-    gone = hashed.join(common, ["h1", "h2"]).where("id <> last")
+    # the joins are of one kind at every size: sorted by line, where Spark splits
+    # hot lines, and hashed by document, where the small side is the positions
+    gone = hashed.join(common.hint("merge"), ["h1", "h2"]).where("id <> last")
     drops = materialise(gone.groupBy("id", "row_key").agg(F.collect_set("pos").alias("_drops"))).withColumnsRenamed({"id": "_drop_id", "row_key": "_drop_key"})
-    joined = docs.join(drops, (docs[id_col] == F.col("_drop_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_drop_key")), "left")
+    joined = docs.join(drops.hint("shuffle_hash"), (docs[id_col] == F.col("_drop_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_drop_key")), "left")
     parts = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(F.col("_parts"), i + 1)), "\n")
