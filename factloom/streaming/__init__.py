@@ -1,0 +1 @@
+"""Incremental runs of the value join; the batch operators do not depend on it."""
