@@ -79,5 +79,10 @@ def lower_ascii(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def wrapped(df: DataFrame, **named: str):
+    """``df`` as a struct ``row`` beside the named columns, so that no other column's name can clash."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(df[c].alias(k) for k, c in named.items()))
+
+
 def field(name: str, kind) -> T.StructField:
     return T.StructField(name, kind, True)

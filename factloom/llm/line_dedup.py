@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower_ascii, materialise
+from .common import SPACE, lower_ascii, materialise, wrapped
 
 
 def line_key(line: Column) -> Column:
@@ -19,7 +19,7 @@ def line_key(line: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and the kept text in _lines_total, _lines_dropped, _lines_kept.
+    """``docs`` with _lines_total, _lines_dropped and _lines_kept; columns of those names are replaced.
 
     A key of at least ``min_chars`` code points that at least ``min_docs``
     documents hold loses all its lines, except in the largest doc_id with it.
@@ -28,27 +28,29 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and lose nothing.  Rows of one doc_id with different texts are each judged by
     their own lines.  An empty table gives no row; all columns pass through.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row_key"), F.split(text, "\n", -1).alias("lines"))
-    lines = base.where("id is not null").select("id", "row_key", F.posexplode("lines").alias("pos", "line"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = wrapped(docs, id=id_col, text=text_col).withColumn("text", text).withColumn("row_key", F.xxhash64("text"))
+    lines = rows.where("id is not null").select("id", "row_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     hashed = keys.select("id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     common = hashed.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
     # the joins are of one kind at every size: sorted by line, where Spark splits
     # hot lines, and hashed by document, where the small side is the positions
     gone = hashed.join(common.hint("merge"), ["h1", "h2"]).where("id <> last")
-    drops = materialise(gone.groupBy("id", "row_key").agg(F.collect_set("pos").alias("_drops"))).withColumnsRenamed({"id": "_drop_id", "row_key": "_drop_key"})
-    joined = docs.join(drops.hint("shuffle_hash"), (docs[id_col] == F.col("_drop_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_drop_key")), "left")
-    parts = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops"))
-    kept = F.array_join(F.transform(left, lambda i: F.element_at(F.col("_parts"), i + 1)), "\n")
-    out = joined.withColumn("_parts", parts)
-    out = out.withColumn("_lines_total", F.size("_parts").cast("long")).withColumn("_lines_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("long"))
-    out = out.withColumn("_lines_kept", F.when(F.col("_drops").isNull(), text).otherwise(kept))
-    return out.drop("_drop_id", "_drop_key", "_drops", "_parts")
+    drops = materialise(gone.groupBy("id", "row_key").agg(F.collect_set("pos").alias("drops")))
+    out = rows.join(drops.hint("shuffle_hash"), ["id", "row_key"], "left").withColumn("parts", F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
+    kept = F.array_join(F.transform(left, lambda i: F.element_at(F.col("parts"), i + 1)), "\n")
+    own = {
+        "_lines_total": F.size("parts").cast("long"),
+        "_lines_dropped": F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long"),
+        "_lines_kept": F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept),
+    }
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *(v.alias(k) for k, v in own.items()))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with the kept lines as the text; a null text becomes empty."""
-    out = drop_repeated_lines(docs, id_col, text_col, min_chars, min_docs)
-    return out.withColumn(text_col, F.col("_lines_kept")).select(*docs.columns)
+    rows = wrapped(docs, id=id_col, text=text_col)
+    out = drop_repeated_lines(rows, "id", "text", min_chars, min_docs)
+    return out.select(*((F.col("_lines_kept") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

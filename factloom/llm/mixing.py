@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, wrapped
 
 GRID = 1024
 
@@ -131,7 +131,9 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs``, each as often as mix() takes it; all columns as they were."""
     _, picks = mix(docs, id_col, text_col, source_col, **how)
-    times = materialise(picks.groupBy("id", "row_key", "source").agg(F.count("*").cast("int").alias("_times"))).withColumnsRenamed({"id": "_id", "row_key": "_key", "source": "_source"})
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_key")) & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == F.col("_source"))
-    joined = docs.join(times.hint("shuffle_hash"), same).withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-    return joined.select(*docs.columns)
+    times = materialise(picks.groupBy("id", "row_key", "source").agg(F.count("*").cast("int").alias("times")))
+    rows = wrapped(docs, id=id_col, text=text_col, source=source_col)
+    keyed = rows.select("row", F.col("id").alias("own_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("own_source"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("row_key")) & (F.col("own_source") == F.col("source"))
+    joined = keyed.join(times.hint("shuffle_hash"), same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return joined.select(*(F.col("row")[c].alias(c) for c in docs.columns))

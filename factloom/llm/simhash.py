@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, field, materialise, words_of
+from .common import arrow_rows, field, materialise, words_of, wrapped
 from .components import connected_components
 
 #: Runs of a block up to this length are compared pair by pair.
@@ -260,9 +260,11 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
         best.withColumnsRenamed({"component_id": "best_id", "own_fp": "best_fp"}), F.col("component_id").eqNullSafe(F.col("best_id")) & F.col("own_fp").eqNullSafe(F.col("best_fp"))
     )
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
-    marked = materialise(marked.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_drop_id"), F.col("row_key").alias("_drop_key"), stays.alias("_stays")).distinct())
-    same = docs[id_col].eqNullSafe(F.col("_drop_id")) & (F.xxhash64(docs[text_col]) == F.col("_drop_key"))
-    kept = docs.join(marked.hint("shuffle_hash"), same, "left_anti")
+    dropped = marked.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("drop_id"), F.col("row_key").alias("drop_key"), stays.alias("stays")).distinct()
+    dropped = materialise(dropped)
+    texts = wrapped(docs, id=id_col, text=text_col).select("row", "id", F.xxhash64("text").alias("row_key"))
+    same = F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("row_key") == F.col("drop_key"))
+    kept = texts.join(dropped.hint("shuffle_hash"), same, "left_anti")
     # one of the rows that agree in id and text
-    again = docs.join(marked.where("_stays"), same, "left_semi").withColumn("_row_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_row_key"]).drop("_row_key")
-    return kept.unionByName(again)
+    again = texts.join(dropped.where("stays").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["id", "row_key"])
+    return kept.unionByName(again).select(*(F.col("row")[c].alias(c) for c in docs.columns))

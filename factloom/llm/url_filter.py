@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import lower_ascii, materialise, wrapped
 
 #: Symbols: these, 0 for any digit, ~ for any other character, ^ before the start, $ after the end.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.:-_?=&#%+~^$"
@@ -98,7 +98,8 @@ def calibrated_threshold(scored: DataFrame, width: float = 1 / 64, most: float =
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
-    """``pages`` with host, path, rule, score and verdict (prefixed by an underscore).
+    """``pages`` with host, path, rule, score and verdict (prefixed by an underscore;
+    columns of those names, and _says, _sym and _of, are replaced).
 
     verdict is the rule's, else block where the score reaches the threshold.
     Without training URLs of both kinds every other URL is allowed.  Null and
@@ -124,4 +125,5 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, order: int =
 
 def allowed_pages(pages: DataFrame, url_col: str = "url", **how) -> DataFrame:
     """The rows of ``pages`` whose URL is allowed, all columns as they were."""
-    return judge_urls(pages, url_col, **how).where("_verdict = 'allow'").select(*pages.columns)
+    out = judge_urls(wrapped(pages, url=url_col), "url", **how).where("_verdict = 'allow'")
+    return out.select(*(F.col("row")[c].alias(c) for c in pages.columns))
