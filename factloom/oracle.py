@@ -295,5 +295,22 @@ ORACLE: dict[str, str] = {
     ),
     "s21_file_map": q(FILE_EDGES, select="select distinct src, dst from file_edges"),
     "s25_orphans": q(FILE_EDGES, "p as (select distinct p_brand || '/src/' || p_type || '/m' || p_size || '.ts' as path from part), e as (select * from file_edges where unit <> 'Brand#4')", select="select path from p where path not in (select src from e) and path not in (select dst from e)"),
+    "w12_rotated_rings": q(
+        UNIT_EDGES,
+        select="select a.src, a.dst, b.dst as third, case least(a.src, a.dst, b.dst) when a.src then a.src || ',' || a.dst || ',' || b.dst || ',' || a.src when a.dst then a.dst || ',' || b.dst || ',' || a.src || ',' || a.dst else b.dst || ',' || a.src || ',' || a.dst || ',' || b.dst end as ring from unit_edges a join unit_edges b on a.dst = b.src where b.dst <> a.src",
+    ),
+    "w10_suggestions": q(MODULES, select="select t as target, array_to_string((list_sort(list(path)))[1:3], ',') as named, greatest(count(*) - 3, 0)::bigint as more from (values ('Brand#1'), ('LARGE'), ('zzz')) v(t) join paths on contains(path, t) group by t"),
+    "u4_present_elements": q(MODULE_EDGES, MODULES, LINKS, UNITS, select="select path from paths union select src from module_edges union select dst from module_edges union select module from links union select path from units"),
+    "j6_augmented_mapping": q(
+        OWNED, UNIT_OWNER,
+        "soft as (select unit, name from (select split_part(path, '::', 1) as unit, name, row_number() over (partition by split_part(path, '::', 1) order by count(*) desc, name) as r from owned group by split_part(path, '::', 1), name) t where r = 1)",
+        select="select u.unit, coalesce(o.name, s.name) as name, o.name is null and s.name is not null as reclaimed from (select distinct unit from modules) u left join unit_owner o on u.unit = o.unit left join soft s on u.unit = s.unit",
+    ),
+    "j7_grouped_tier": q(MODULE_EDGES, UNIT_OWNER, select="select distinct coalesce(a.name, split_part(src, '::', 1)) as src, coalesce(b.name, split_part(dst, '::', 1)) as dst from module_edges left join unit_owner a on split_part(src, '::', 1) = a.unit left join unit_owner b on split_part(dst, '::', 1) = b.unit where coalesce(a.name, split_part(src, '::', 1)) <> coalesce(b.name, split_part(dst, '::', 1))"),
+    "r23_inert_rules": "select * from (values (5::bigint, 'public_api_allowlist', 'public api surface', 'no'), (6::bigint, 'feature_boundary', 'root module declarations', 'no gating')) t(entry, kind, fact, status)",
+    "j23_explain": q(
+        VERDICTS,
+        select="select 'edge' as part, src || ' -> ' || dst || ' (' || placed || case when type_only then ', type-only' else '' end || ')' as text from placed where src_claim = 'core' and dst_claim = 'rest' union all select 'verdict', coalesce(verdict, 'allowed') from verdicts where src = 'core' and dst = 'rest' union all select 'finding', case verdict when 'forbidden' then 'forbidden edge present' else 'disallowed cross-component dependency' end || ': core -> rest' from verdicts where src = 'core' and dst = 'rest' and verdict is not null",
+    ),
     "flagship_forbidden_edges": q(VERDICTS, select=f"select (case verdict when 'forbidden' then 5 else 8 end)::integer as category_ord, category, 'error' as severity, message from (select *, {SELECT_EDGES.split('select ', 1)[1].split(' from ')[0]} from verdicts where verdict is not null)"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths as P
 from .operators import events, graph, owners
-from .plans import census, checks, sample_rules, views
+from .plans import capability, census, checks, cycles, sample_rules, views
 from .plans.projection import Facts
 from .sources import trees
 from .sources.rules import Rules, load_spec
@@ -792,6 +792,79 @@ def s25_orphans(spark, sf_dir):
     return census.orphans(part, f.file_edges().where("unit <> 'Brand#4'"), f.file_edges().where("1 = 0").select(F.col("src").alias("path")))
 
 
+# cycles, capability and explanation ----------------------------------------------------
+
+
+@query
+def g7_claim_cycles(spark, sf_dir):
+    return joined(cycles.claim_cycles(Run(spark, sf_dir).pairs()), "ring")
+
+
+@query
+def g8_file_cycles(spark, sf_dir):
+    r = Run(spark, sf_dir)
+    files = _files(spark, sf_dir)
+    module = F.regexp_replace("path", r"^(.*)/src/(.*)/m[0-9]+\.ts$", "$1::$2")
+    owned = files.select("path", module.alias("m")).join(r.owned().select(F.col("path").alias("m"), "name"), "m").select("path", "name")
+    gated = files.where("path like '%/m7.ts'")
+    none = spark.createDataFrame([], "component string, ring array<string>, kind string")
+    return joined(cycles.file_cycles(r.facts.file_edges(), owned, r.rules.lineage(), none, gated), "ring")
+
+
+@query
+def g11_async_rings(spark, sf_dir):
+    f = Facts(spark, sf_dir)
+    legs = f.async_edges().where("event in ('shop.order.7', 'shop.order.8')").select("src", "dst", (F.col("event") == "shop.order.7").alias("publisher_only"))
+    return joined(cycles.async_rings(f.unit_edges(), legs), "ring")
+
+
+@query
+def w12_rotated_rings(spark, sf_dir):
+    e = Facts(spark, sf_dir).unit_edges()
+    two = e.join(e.toDF("dst", "third"), "dst").where("third <> src")
+    return two.select("src", "dst", "third", F.array_join(cycles.rotated(F.array("src", "dst", "third", "src")), ",").alias("ring"))
+
+
+@query
+def w10_suggestions(spark, sf_dir):
+    names = Facts(spark, sf_dir).modules().select(F.col("path").alias("name"))
+    dead = spark.createDataFrame([("Brand#1",), ("LARGE",), ("zzz",)], "target string")
+    return joined(capability.suggestions(dead, names), "named")
+
+
+@query
+def u4_present_elements(spark, sf_dir):
+    f = Facts(spark, sf_dir)
+    e = f.module_edges()
+    return capability.present_elements(f.modules(), e.select(F.col("src").alias("path")), e.select(F.col("dst").alias("path")), f.page_links().select(F.col("module").alias("path")), f.units())
+
+
+@query
+def j6_augmented_mapping(spark, sf_dir):
+    r = Run(spark, sf_dir)
+    units = r.facts.modules().select("unit").distinct().join(r.unit_owner(), "unit", "left")
+    return capability.augmented(units, r.owned())
+
+
+@query
+def j7_grouped_tier(spark, sf_dir):
+    r = Run(spark, sf_dir)
+    e = r.facts.module_edges().select(F.element_at(P.segments("src"), 1).alias("src"), F.element_at(P.segments("dst"), 1).alias("dst"))
+    return capability.grouped_tier(e, r.unit_owner(), "go")
+
+
+@query
+def r23_inert_rules(spark, sf_dir):
+    return capability.inert_rules(spark, "python", SPEC.constraints)
+
+
+@query
+def j23_explain(spark, sf_dir):
+    r = Run(spark, sf_dir)
+    verdicts = r.verdicts()
+    return capability.explain(r.placed(), verdicts, checks.edge_findings(verdicts), "core", "rest")
+
+
 @query
 def flagship_forbidden_edges(spark, sf_dir):
     """Slice 0: findings of the boundary pairs, from tables to messages."""
