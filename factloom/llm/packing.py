@@ -10,6 +10,9 @@ tasks, ``fan_in`` tasks at a time, level by level, until one group is left.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -36,8 +39,8 @@ _OPEN = T.StructType([*SCHEMA.fields, field("task", T.LongType()), field("open",
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("task", pa.int64()), ("open", pa.bool_())]
 )
-#: A worker forgets its words beyond so many; they are then encoded again.
-CACHED_WORDS = 400_000
+#: Words in a generation of a worker's cache.
+CACHED_WORDS = 500_000
 
 
 class Packer:
@@ -124,35 +127,63 @@ class Packer:
         return pa.RecordBatch.from_arrays([*arrays, pa.array([task] * len(cols[0]), pa.int64()), pa.array(cols[7], pa.bool_())], schema=_ARROW)
 
 
+class _Words(dict):
+    """Ids of words, filled by ``encode`` when a word is missing."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit words.
 
-    The vocabulary's merges never cross ASCII white space, so that ids are kept
-    by word; a word is encoded once by each worker.
+    The vocabulary's pieces never cross ASCII white space and know no capitals,
+    so that ids are kept by lower-case word, in two generations of bounded size:
+    a word that was used since the last change is in the young one.  A word of
+    printable ASCII and small Latin-1 letters is cut into pieces here and merged
+    by the model; any other word, and any text that may hold a special token,
+    goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
-        import os
+    #: The vocabulary's own pre-token pattern, for the characters of SIMPLE. Fixed value.
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    SIMPLE = re.compile("[!-~\u00df-\u00f6\u00f8-\u00ff]+")
+    #: The byte-level alphabet's names of the bytes of those letters that do not stand for themselves. Fixed value.
+    BYTES = {0x9F: 321, 0xA0: 322, 0xAD: 323}
+    SPECIAL = b"<|"
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
+        self.model = self.tokenizer.model
+        self.young, self.old = _Words(self.word), {}
+
+    def word(self, word: bytes) -> bytes:
+        if held := self.old.get(word):
+            return held
+        text = word.decode()
+        if self.SIMPLE.fullmatch(text) and self.SPECIAL not in word:
+            pieces = self.PIECE.findall(text)
+            if not text.isascii():
+                pieces = [p.encode().decode("latin-1").translate(self.BYTES) for p in pieces]
+            ids = [t.id for piece in pieces for t in self.model.tokenize(piece)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        words = [t.encode().split() if t else [] for t in texts]
-        new = list(set().union(*words).difference(self.ids))
-        if len(new) + len(self.ids) > CACHED_WORDS:
-            self.ids.clear()
-            new = list(set().union(*words))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.ids[word] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, w)) for w in words]
+    def encode(self, text: str | None) -> bytes:
+        raw = text.encode() if text else b""
+        out = b"".join(map(self.young.__getitem__, (raw if self.SPECIAL in raw else raw.lower()).split()))
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = _Words(self.word), dict(self.young)
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -167,12 +198,10 @@ def _pack_task(path: str, size: int, open_windows: int, slack: int, end_id: int)
         task = TaskContext.get().partitionId()
         packer, codes, end = Packer(size, open_windows, slack, task << 30), encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 100):
-                for doc, code in zip(ids[at : at + 100], codes.encode(texts.slice(at, 100).to_pylist())):
-                    code += end
-                    packer.put(doc, 0, code, len(code) // 4)
-                if packer.done:
+            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                code = codes.encode(text.as_py()) + end
+                packer.put(doc, 0, code, len(code) // 4)
+                if packer.done and k % 100 == 99:
                     yield packer.take(task)
         packer.leave_open()
         if packer.done:
