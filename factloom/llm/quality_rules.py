@@ -115,7 +115,7 @@ def default_rules() -> list[Rule]:
     return [
         *base_rules(),
         Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-        Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * max(1, len(t.lines))),
+        Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > max(1, len(t.lines))),
         Rule("capitals", lambda t: t.upper_share > 0.6),
         Rule("cries", lambda t: t.cry_share > 0.3),
         Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),

@@ -23,7 +23,7 @@ m as (select d.doc_id, len(w)::bigint as n_words,
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words
-    or 10 * n_dup_lines > 3 * greatest(1, n_lines) or 10 * upper_letters > 6 * letters
+    or 2 * n_dup_lines > greatest(1, n_lines) or 10 * upper_letters > 6 * letters
     or 10 * cries > 3 * greatest(1, n_words) or word_chars < 2 * n_words or word_chars > 15 * n_words) as kept
 from m
 """
