@@ -211,7 +211,7 @@ def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
     bits: int = 512,
-    max_distance: int = 84,
+    max_distance: int = 90,
     pieces: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
