@@ -184,7 +184,7 @@ def _score(shared):
     return run
 
 
-def fit(texts: DataFrame, vocabulary: int = 2048, looked_up: int = 150_000, dims: int = 48, steps: int = 1500):
+def fit(texts: DataFrame, vocabulary: int = 1024, looked_up: int = 100_000, dims: int = 48, steps: int = 1500):
     """(counts, statistics, shared) from the training texts, one column.
 
     counts is the table of all words; shared is the broadcast of the first
@@ -194,19 +194,21 @@ def fit(texts: DataFrame, vocabulary: int = 2048, looked_up: int = 150_000, dims
     spark = texts.sparkSession
     counts = materialise(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(looked_up).collect()]
+    first = counts.orderBy(F.desc("n"), "word").limit(looked_up).toArrow()
+    top = [*zip(first.column("word").to_pylist(), first.column("n").to_pylist())]
     index = {w: k + 1 for k, (w, _) in enumerate(top)}
     vocab = [w for w, _ in top[:vocabulary]]
     common = sum(n for _, n in top[: len(vocab)])
     other, kinds = total - common, distinct - len(vocab)
     base = np.array([np.log10((n + 0.5) / (total + 0.5 * (distinct + 1))) for _, n in top])
     rare = np.array([0.0 if k < len(vocab) else np.log10((n + 0.5) / (other + 0.5 * (kinds + 1))) for k, (_, n) in enumerate(top)])
-    pairs = pair_counts(texts, spark.sparkContext.broadcast((index, vocab))).toPandas() if vocab else None
+    pairs = pair_counts(texts, spark.sparkContext.broadcast((index, vocab))).toArrow() if vocab else None
     unigram = np.array([max(1, other), *(n for _, n in top[: len(vocab)])], np.float64)
     model = LogBilinear(len(vocab) + 1, dims, unigram)
     if pairs is not None and len(pairs):
-        pairs = pairs.sort_values("pair")
-        model.train(pairs["pair"].to_numpy(), pairs["n"].to_numpy(), steps)
+        pair, n = (pairs.column(c).to_numpy() for c in ("pair", "n"))
+        by = np.argsort(pair)
+        model.train(pair[by], n[by], steps)
     shared = spark.sparkContext.broadcast((index, vocab, base, rare, model, uuid.uuid4().hex))
     return counts, {"total": total, "distinct": distinct, "other": other, "kinds": kinds, "top": len(top)}, shared
 
