@@ -279,6 +279,20 @@ ORACLE: dict[str, str] = {
     "r21_ambiguous": q(MODULES, PATTERNS, SCORES, "top as (select *, max(score) over (partition by path) as m from claim_scores)", select="select a.path, a.name as name_a, b.name as name_b from top a join top b on a.path = b.path and a.name < b.name where a.score = a.m and b.score = b.m"),
     "r22_components": q(OWNED, CLAIMS, select="select 'missing component' as category, name as message from claims where name not in (select name from owned)"),
     "r24_findings": q(ALL, select=f"select list_position({_CATS}, category)::bigint as category_ord, category, 'error' as severity, message from every"),
+    "s3_glob_exports": q(
+        CYCLE, MODULES, CLOSURE.format("cycle_graph"),
+        "direct as (select distinct p_brand || '::' || p_type as owner, p_type || '_' || p_size as symbol from part where p_size % 10 = 3 and p_type <> 'PROMO')",
+        "shown2 as (select owner, symbol from direct union select r.src, d.symbol from reach r join direct d on r.dst = d.owner)",
+        "known as (select path from modules where unit <> 'Brand#14')",
+        select="select owner, symbol, 'resolved' as status from shown2 union all select src, dst || '::*', 'unverifiable' from cycle_graph where dst not in (from known) union all select src, dst || '::*', 'empty' from cycle_graph where dst in (from known) and dst not in (select owner from shown2)",
+    ),
+    "s9_nearest_configs": q(FILES, select="select path, case when path like '%/src/LARGE/%' then split_part(path, '/', 1) || '::LARGE.json' else split_part(path, '/', 1) || '.json' end as config from files"),
+    "s9_config_chains": q(
+        MODULES,
+        "deep as (select path || '.json' as config, unit || '.json' as up from modules where path like '%LARGE')",
+        "unit_configs as (select distinct unit || '.json' as config from modules)",
+        select="select config, config as base, 0::bigint as depth from (select config from deep union all select config from unit_configs union all select 'base.json') t union all select config, up, 1 from deep union all select config, 'base.json', 2 from deep union all select config, 'base.json', 1 from unit_configs",
+    ),
     "s8_candidates": q(
         FILES, FILE_EDGES.replace(IMPORTS + ", ", "", 1),
         "sp as (select distinct src, '../' || regexp_extract(dst, 'src/([A-Z]+/m[0-9]+)\\.ts$', 1) as specifier from file_edges where unit = 'Brand#1')",

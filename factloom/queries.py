@@ -11,7 +11,7 @@ from .functions import paths as P
 from .operators import events, graph, owners
 from .plans import capability, census, checks, cycles, sample_rules, views
 from .plans.projection import Facts
-from .sources import trees
+from .sources import modules, trees
 from .sources.rules import Rules, load_spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -741,6 +741,32 @@ def _files(spark, sf_dir) -> DataFrame:
     return f.select(F.col("src_file").alias("path")).unionByName(f.select(F.col("dst_file").alias("path"))).distinct()
 
 
+@query
+def s3_glob_exports(spark, sf_dir):
+    f = Facts(spark, sf_dir)
+    direct = f.table("part").where("p_size % 10 = 3 and p_type <> 'PROMO'").select(F.concat_ws("::", "p_brand", "p_type").alias("owner"), F.concat("p_type", F.lit("_"), F.col("p_size").cast("string")).alias("symbol"))
+    globs = f.cycle_graph().select(F.col("src").alias("owner"), F.col("dst").alias("target"))
+    return modules.glob_exports(direct, globs, f.modules().where("unit <> 'Brand#14'"))
+
+
+def _configs(spark, sf_dir) -> DataFrame:
+    f = Facts(spark, sf_dir).modules()
+    deep = f.select(F.concat("path", F.lit(".json")).alias("config"), F.replace("path", F.lit("::"), F.lit("/src/")).alias("dir"), F.concat("unit", F.lit(".json")).alias("extends")).where("dir like '%LARGE'")
+    unit = f.select(F.concat("unit", F.lit(".json")).alias("config"), F.col("unit").alias("dir"), F.lit("base.json").alias("extends")).distinct()
+    top = spark.createDataFrame([("base.json", ".", None)], "config string, dir string, extends string")
+    return deep.unionByName(unit).unionByName(top)
+
+
+@query
+def s9_nearest_configs(spark, sf_dir):
+    return modules.nearest_config(_files(spark, sf_dir), _configs(spark, sf_dir))
+
+
+@query
+def s9_config_chains(spark, sf_dir):
+    return big(modules.config_chain(_configs(spark, sf_dir)), "depth")
+
+
 @query
 def s8_candidates(spark, sf_dir):
     files = _files(spark, sf_dir)

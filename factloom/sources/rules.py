@@ -166,6 +166,22 @@ def load_spec(text: str) -> Spec:
     return spec
 
 
+#: Keys of the tool's own configuration. Fixed values.
+CONFIG = {"output": {"dir", "format", "check"}, "report": {"format", "strict"}}
+
+
+def load_config(text: str) -> tuple[dict, list[str]]:
+    """(settings, warnings) of a tool configuration; unknown keys are warned of, never refused."""
+    doc = tomllib.loads(text)
+    warnings = [f"unknown section [{k}]" for k in sorted(set(doc) - set(CONFIG))]
+    kept: dict = {}
+    for section, keys in CONFIG.items():
+        given = doc.get(section, {})
+        warnings += [f"unknown key {section}.{k}" for k in sorted(set(given) - keys)]
+        kept[section] = {k: v for k, v in given.items() if k in keys}
+    return kept, warnings
+
+
 class Rules:
     """The tables of a rule document: as small as the document, so that they are broadcast."""
 

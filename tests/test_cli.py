@@ -4,7 +4,7 @@ import json
 
 from factloom import cli
 from factloom.plans import cycles
-from factloom.sources import text_sources
+from factloom.sources import modules, rules, text_sources
 
 SPEC = """
 [project]
@@ -112,3 +112,14 @@ def test_file_cycles_told_by_claims(spark):
     gated = spark.createDataFrame([("g",)], "path string")
     got = [(list(r.ring), r.claim) for r in cycles.file_cycles(edges, owned, lineage, rings, gated).collect()]
     assert got == [(["a2", "a3", "a2"], "A")]
+
+
+def test_configuration(spark):
+    settings, warnings = rules.load_config("[output]\ndir = 'x'\nodd = 1\n[else]\n")
+    assert settings["output"] == {"dir": "x"} and warnings == ["unknown section [else]", "unknown key output.odd"]
+    configs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None)], "config string, extends string")
+    chain = modules.config_chain(configs)
+    values = spark.createDataFrame([("c", "strict", "no"), ("b", "strict", "yes"), ("c", "target", "es5")], "config string, key string, value string")
+    assert {tuple(r) for r in modules.effective(chain, values).where("config = 'a'").collect()} == {("a", "strict", "yes"), ("a", "target", "es5")}
+    packages = spark.createDataFrame([("packages/a",), ("packages/old/b",), ("tools/c",)], "path string")
+    assert [r.path for r in modules.workspace_members(packages, ["packages/*", "!packages/old/*"]).collect()] == ["packages/a"]
