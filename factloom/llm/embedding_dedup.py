@@ -8,7 +8,9 @@ pair is verified in double precision.
 Equal vectors are one node of the index with a multiplicity, so that copies
 cost nothing.  The number of pivots grows with the square root of the number of
 vectors, which holds the work for each vector to the length of its lists; long
-lists are dealt out in pairs of blocks of bounded size.
+lists are dealt out in pairs of blocks of bounded size.  A pair is verified in
+one place only, so that a task hands over a count for each of its vectors and
+the links of a spanning forest, and never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, named: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :named]
 
 
-def _described(pivots, named: int, dims: int):
+def _described(pivots, named: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -68,45 +70,59 @@ def _described(pivots, named: int, dims: int):
             found = np.sort(nearest_pivots(_unit(_scaled(_matrix(batch.column(1)))), pivots.value, named), axis=1)
             lists = pa.array(found.tolist(), pa.list_(pa.int32()))
             for k in range(found.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int32()), batch.column(0), batch.column(1), lists], names=["pivot", "vec_id", "v", "named"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int32()), batch.column(0), batch.column(1), batch.column(2), lists], names=["pivot", "vec_id", "v", "copies", "named"])
 
     return run
 
 
-def _verified(threshold: float, shared: int, n_pivots: int, chunk: int):
-    """Pairs of one block, or of a block with another one, of a pivot's list."""
+_FOUND = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field("n", T.LongType())])
 
-    def pairs(pivot: int, a, b) -> Iterator[tuple]:
-        ids_a, x_a, p_a = a
-        ids_b, x_b, p_b = b
-        for at in range(0, len(ids_a), chunk):
-            s = slice(at, at + chunk)
-            common = p_a[s] @ p_b.T
-            lower = p_a[s, :pivot] @ p_b[:, :pivot].T if pivot else 0
-            # a pair is verified in the list of the first pivot that it shares
-            i, j = np.nonzero((common >= shared) & (lower == 0) & (ids_a[s, None] < ids_b[None, :] if a is b else True))
-            for c in range(0, len(i), 200_000):
-                ci, cj = i[c : c + 200_000], j[c : c + 200_000]
-                near = np.einsum("ij,ij->i", x_a[at + ci], x_b[cj]) >= threshold
-                yield ids_a[at + ci[near]], ids_b[cj[near]]
+
+def _verified(threshold: float, shared: int, n_pivots: int, chunk: int):
+    """Counts (a, null, n) and spanning links (a, b, null) of one block, or of a block with another one, of a pivot's list."""
 
     def load(table: pa.Table):
         ids = table.column("vec_id").to_numpy()
-        x = _unit(_scaled(_matrix(table.column("v"))))
+        named = table.column("named").to_pylist()
         marks = np.zeros((len(ids), n_pivots), np.float32)
-        marks[np.repeat(np.arange(len(ids)), [len(v) for v in table.column("named").to_pylist()]), np.concatenate(table.column("named").to_pylist())] = 1
-        return ids, x, marks
+        marks[np.repeat(np.arange(len(ids)), [len(v) for v in named]), np.concatenate(named)] = 1
+        return ids, _unit(_scaled(_matrix(table.column("v")))), marks, table.column("copies").to_numpy()
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         pivot, low, high = (k.as_py() for k in key)
         side = table.column("block").to_numpy()
-        if low == high:
-            a = b = load(table)
-        else:
-            a, b = (load(table.filter(pa.array(side == k))) for k in (low, high))
-        found = [*pairs(pivot, a, b)] if len(a[0]) and len(b[0]) else []
-        ia, ib = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.table([pa.array(np.minimum(ia, ib), pa.int64()), pa.array(np.maximum(ia, ib), pa.int64())], names=["a", "b"])
+        same = low == high
+        a = load(table if same else table.filter(pa.array(side == low)))
+        b = a if same else load(table.filter(pa.array(side == high)))
+        counts = [np.zeros(len(a[0]), np.int64)] * 2 if same else [np.zeros(len(x[0]), np.int64) for x in (a, b)]
+        root = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        joined: list[tuple[int, int]] = []
+        for at in range(0, len(a[0]), chunk):
+            s = slice(at, at + chunk)
+            # a pair is verified in the list of the first pivot that it shares
+            near = (a[2][s] @ b[2].T >= shared) & ((a[2][s, :pivot] @ b[2][:, :pivot].T == 0) if pivot else True)
+            if same:
+                near &= a[0][s, None] < b[0][None, :]
+            i, j = np.nonzero(near)
+            for c in range(0, len(i), 200_000):
+                ci, cj = at + i[c : c + 200_000], j[c : c + 200_000]
+                hit = np.einsum("ij,ij->i", a[1][ci], b[1][cj]) >= threshold
+                ci, cj = ci[hit], cj[hit]
+                np.add.at(counts[0], ci, b[3][cj])
+                np.add.at(counts[1], cj, a[3][ci])
+                for x, y in zip(a[0][ci].tolist(), b[0][cj].tolist()):
+                    if (rx := find(x)) != (ry := find(y)):
+                        root[ry] = rx
+                        joined.append((x, y))
+        rows = [(x, None, n) for ids, held in [(a[0], counts[0]), *([] if same else [(b[0], counts[1])])] for x, n in zip(ids.tolist(), held.tolist()) if n]
+        rows += [(x, y, None) for x, y in joined]
+        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "n"])
 
     return run
 
@@ -117,25 +133,25 @@ def choose_pivots(distinct: DataFrame, n: int) -> np.ndarray:
     return _unit(_scaled(np.array([np.frombuffer(r[0]) for r in rows])))
 
 
-def links(distinct: DataFrame, threshold: float = 0.9, named: int = 6, shared: int = 2, list_length: int = 1200, block: int = 4096) -> DataFrame:
-    """Pairs (a, b), a < b, of ``distinct`` (vec_id, v) with a cosine of at least ``threshold``."""
+def links(distinct: DataFrame, threshold: float = 0.9, named: int = 8, shared: int = 2, list_length: int = 1200, block: int = 4096) -> DataFrame:
+    """What tasks found among ``distinct`` (vec_id, v, copies): rows (a, null, n) with parts of the number of
+    vectors, copies included, that a is linked to, and rows (a, b, null) with links that span what is linked."""
     spark = distinct.sparkSession
     n = distinct.count()
     n_pivots = max(1, min(n, max(64, math.ceil(math.sqrt(n)), min(2048, math.ceil(n * named / list_length)))))
-    empty = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
     if n < 2:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], _FOUND)
     pivots = spark.sparkContext.broadcast(choose_pivots(distinct, n_pivots))
     named, shared = min(named, n_pivots), min(shared, n_pivots)
-    described = T.StructType([field("pivot", T.IntegerType()), field("vec_id", T.LongType()), field("v", T.BinaryType()), field("named", T.ArrayType(T.IntegerType()))])
-    index = materialise(distinct.select("vec_id", "v").mapInArrow(_described(pivots, named, 0), described), "snappy")
+    described = T.StructType([field("pivot", T.IntegerType()), field("vec_id", T.LongType()), field("v", T.BinaryType()), field("copies", T.LongType()), field("named", T.ArrayType(T.IntegerType()))])
+    index = materialise(distinct.select("vec_id", "v", "copies").mapInArrow(_described(pivots, named), described), "snappy")
     lengths = index.groupBy("pivot").agg(F.count("*").alias("length"))
     placed = index.join(F.broadcast(lengths.withColumn("blocks", F.ceil(F.col("length") / block).cast("int")).drop("length")), "pivot")  # a row for each pivot
     placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     # block k of a list meets each block once: as the lower or the higher of the two
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("pivot", "block", "vec_id", "v", "named", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
-    return dealt.groupBy("pivot", "low", "high").applyInArrow(_verified(threshold, shared, n_pivots, 256), empty)
+    dealt = placed.select("pivot", "block", "vec_id", "v", "copies", "named", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+    return dealt.groupBy("pivot", "low", "high").applyInArrow(_verified(threshold, shared, n_pivots, 256), _FOUND)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, **how) -> DataFrame:
@@ -155,21 +171,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     schema = T.StructType([field("vec_id", T.LongType()), field("v", T.BinaryType())])
     valid = materialise(rows.mapInArrow(_valid, schema))
     same = materialise(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")))
-    of_rep = same.select(F.col("rep").alias("vec_id"), "v")
-    pairs = None
+    of_rep = same.select(F.col("rep").alias("vec_id"), "v", "copies")
+    found = spark.createDataFrame([], _FOUND)
     for size in sorted(r[0] for r in same.select(F.length("v")).distinct().collect()):  # lengths of vectors, one as a rule
-        found = links(of_rep.where(F.length("v") == size), threshold, **how)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    if pairs is None:
-        pairs = spark.createDataFrame([], T.StructType([field("a", T.LongType()), field("b", T.LongType())]))
-    pairs = materialise(pairs.where("a <> b").distinct())
-    parts = connected_components(pairs).withColumnRenamed("node", "rep")
-    copies = same.select("rep", "copies")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beyond = both.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("beyond"))
+        found = found.unionByName(links(of_rep.where(F.length("v") == size), threshold, **how))
+    found = materialise(found)
+    parts = connected_components(found.where("b is not null")).withColumnRenamed("node", "rep")
+    beyond = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("beyond"))
     by_rep = same.join(beyond, "rep", "left").join(parts, "rep", "left")
     by_rep = materialise(by_rep.select("v", (F.coalesce("beyond", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    found = valid.join(by_rep, "v").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("vec_id").join(found, "vec_id", "left")
+    named = valid.join(by_rep, "v").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    out = rows.select("vec_id").join(named, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
