@@ -233,7 +233,7 @@ def pack(
     end_id: int = 1,
     open_windows: int = 128,
     slack: int = 16,
-    fan_in: int = 64,
+    fan_in: int = 16,
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``size`` tokens.
 
