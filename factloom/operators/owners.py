@@ -81,25 +81,23 @@ def place_edges(edges: DataFrame, owned: DataFrame, unit_owner: DataFrame, linea
     ``lineage`` relates claims to their ancestors.  placed is one of pair, gated,
     unowned and inside; fallback tells whether a side was placed by its unit.
     """
-    out = edges
-    for side in ("src", "dst"):
-        unit = F.element_at(P.segments(side), 1)
-        out = out.join(owned.select(F.col("path").alias(side), F.col("name").alias(f"{side}_own")), side, "left")
-        out = out.withColumn("_u", unit).join(F.broadcast(unit_owner.select(F.col("unit").alias("_u"), F.col("name").alias(f"{side}_unit"))), "_u", "left").drop("_u")
-        out = out.withColumn(f"{side}_claim", F.coalesce(f"{side}_own", f"{side}_unit"))
+    # all that is known of an endpoint is put together once for each path, so that
+    # the edges are shuffled for their two ends and no more
+    ends = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
+    known = ends.withColumn("unit", F.element_at(P.segments("path"), 1)).join(owned.select("path", F.col("name").alias("own")), "path", "left")
+    known = known.join(unit_owner.select("unit", F.col("name").alias("by_unit")), "unit", "left")
     if gated is None:
-        out = out.withColumn("_gated", F.lit(False))
+        known = known.withColumn("gate", F.lit(False))
     else:
-        hit = gated_paths(edges, gated).withColumn("_g", F.lit(True))
-        for side in ("src", "dst"):
-            out = out.join(hit.withColumnsRenamed({"path": side, "_g": f"_g_{side}"}), side, "left")
-        out = out.withColumn("_gated", F.coalesce("_g_src", "_g_dst", F.lit(False)))
-    kin = lineage.select(F.col("name").alias("_a"), F.col("anc_name").alias("_b"))
-    kin = F.broadcast(kin.unionByName(kin.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct().withColumn("_kin", F.lit(True)))
-    out = out.join(kin, (F.col("src_claim") == F.col("_a")) & (F.col("dst_claim") == F.col("_b")), "left")
-    placed = F.when(F.col("_gated"), "gated").when(F.col("src_claim").isNull() | F.col("dst_claim").isNull(), "unowned").when(F.col("_kin"), "inside").otherwise("pair")
-    fallback = F.col("src_own").isNull() | F.col("dst_own").isNull()
-    return out.select("unit", "src", "dst", "type_only", "src_claim", "dst_claim", placed.alias("placed"), fallback.alias("fallback"))
+        known = known.join(gated_paths(edges, gated).withColumn("gate", F.lit(True)), "path", "left")
+    known = known.select("path", F.coalesce("own", "by_unit").alias("claim"), F.col("own").isNull().alias("loose"), F.coalesce("gate", F.lit(False)).alias("gate"))
+    out = edges
+    for side in ("src", "dst"):
+        out = out.join(known.withColumnsRenamed({"path": side, "claim": f"{side}_claim", "loose": f"{side}_loose", "gate": f"{side}_gate"}), side)
+    kin = F.broadcast(related(lineage).withColumn("_kin", F.lit(True)))
+    out = out.join(kin, (F.col("src_claim") == F.col("a")) & (F.col("dst_claim") == F.col("b")), "left")
+    placed = F.when(F.col("src_gate") | F.col("dst_gate"), "gated").when(F.col("src_claim").isNull() | F.col("dst_claim").isNull(), "unowned").when(F.col("_kin"), "inside").otherwise("pair")
+    return out.select("unit", "src", "dst", "type_only", "src_claim", "dst_claim", placed.alias("placed"), (F.col("src_loose") | F.col("dst_loose")).alias("fallback"))
 
 
 def gated_paths(edges: DataFrame, gated: DataFrame) -> DataFrame:

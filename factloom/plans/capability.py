@@ -68,7 +68,8 @@ def grouped_tier(edges: DataFrame, mapping: DataFrame, language: str) -> DataFra
 
 def suggestions(dead: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
     """(target, named, more): the first names that could be meant, and how many others there are."""
-    near = dead.select("target").distinct().join(F.broadcast(names.select("name").distinct()), F.contains("name", F.col("target")))
+    # dead references are as few as the rules
+    near = names.select("name").distinct().join(F.broadcast(dead.select("target").distinct()), F.contains("name", F.col("target")))
     listed = near.groupBy("target").agg(F.array_sort(F.collect_set("name")).alias("all"))
     return listed.select("target", F.slice("all", 1, most).alias("named"), F.greatest(F.size("all") - most, F.lit(0)).cast("long").alias("more"))
 

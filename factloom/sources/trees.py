@@ -71,8 +71,8 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     directory excludes all below, whatever comes later.
     """
     up = files.select("path").distinct().select("path", F.posexplode(parents("path")).alias("n", "at"))
+    above = F.concat(F.array(F.lit("")), F.slice(parents("at"), 1, F.size(parents("at")) - 1))
     local = F.when(F.col("base") == "", F.col("at")).otherwise(F.expr("substring(at, length(base) + 2)"))
-    holds = (F.col("base") == "") | F.startswith("at", F.concat("base", F.lit("/")))
     anchored = F.contains(F.rtrim("pattern", F.lit("/")), F.lit("/"))
     body = F.trim("pattern", F.lit("/"))
     # a star stays within a segment, two stars do not
@@ -81,7 +81,8 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     subject = F.when(anchored, local).otherwise(F.substring_index("at", "/", -1))
     is_dir = F.col("at") != F.col("path")
     only_dir = F.endswith("pattern", F.lit("/"))
-    hit = up.join(F.broadcast(rules), holds & F.rlike(subject, rx) & (~only_dir | is_dir))
+    # rules meet the places below them by directory; there are as many as the tree has ignore files
+    hit = up.select("path", "n", "at", F.explode(above).alias("base")).join(rules, "base").where(F.rlike(subject, rx) & (~only_dir | is_dir))
     depth = F.when(F.col("base") == "", 0).otherwise(F.size(F.split("base", "/")))
     verdict = hit.groupBy("path", "n").agg(F.max_by("negated", F.struct(depth.alias("d"), "line")).alias("negated"))
     return verdict.where("not negated").select("path").distinct()
