@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths as P
 from .operators import events, graph, owners
+from .operators.state import settle
 from .plans import capability, census, checks, cycles, sample_rules, views
 from .plans.projection import Facts
 from .sources import modules, trees
@@ -28,6 +29,16 @@ class Run:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.facts, self.rules = spark, Facts(spark, sf_dir), Rules(spark, SPEC)
+        self.held: dict[str, DataFrame] = {}
+
+    def hold(self) -> Run:
+        """Write what many checks share, so that it is made once: edges, owners and placement."""
+        for name in ("edges", "owned", "placed"):
+            self.held[name] = settle(getattr(self, name)())
+        return self
+
+    def edges(self) -> DataFrame:
+        return self.held.get("edges") or self.facts.module_edges()
 
     def paths(self) -> DataFrame:
         return self.facts.modules().select("path").distinct()
@@ -36,7 +47,7 @@ class Run:
         return self.rules.patterns("modules")
 
     def owned(self) -> DataFrame:
-        return owners.owners(self.paths(), self.patterns())
+        return self.held.get("owned") or owners.owners(self.paths(), self.patterns())
 
     def unit_owner(self) -> DataFrame:
         units = self.facts.table("part").select(F.col("p_brand").alias("value")).distinct()
@@ -44,8 +55,7 @@ class Run:
         return found.where("idx is not null").select(F.col("value").alias("unit"), "name")
 
     def placed(self) -> DataFrame:
-        edges = self.facts.module_edges()
-        return owners.place_edges(edges, self.owned(), self.unit_owner(), self.rules.lineage(), self.facts.test_gated())
+        return self.held.get("placed") or owners.place_edges(self.edges(), self.owned(), self.unit_owner(), self.rules.lineage(), self.facts.test_gated())
 
     def pairs(self) -> DataFrame:
         return owners.boundary_pairs(self.placed())
@@ -708,11 +718,11 @@ def r22_components(spark, sf_dir):
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of all error-level checks, in canonical order."""
-    r = Run(spark, sf_dir)
+    r = Run(spark, sf_dir).hold()
     c = {x["type"]: x for x in SPEC.constraints}
     miss = _missing(r)
     suffix = F.when(F.col("reason") == "", "").otherwise(F.concat(F.lit(" ("), "reason", F.lit(")")))
-    edges, f = r.facts.module_edges(), r.facts
+    edges, f = r.edges(), r.facts
     parts = [
         checks.edge_findings(r.verdicts()),
         checks.finding(miss, "missing edge", F.concat(checks.arrow(), suffix)),
