@@ -163,7 +163,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("path", nargs="?", default=".", help="a model .json or a Python tree")
     p.add_argument("source", nargs="?")
     p.add_argument("target", nargs="?")
-    p.add_argument("--spec", default="architecture.spec.toml")
+    p.add_argument("--spec", default="rules.toml")
     p.add_argument("--format", choices=["mermaid", "plantuml", "json", "markdown"], default="mermaid")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--clusters", action="store_true")

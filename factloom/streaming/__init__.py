@@ -1 +1 @@
-"""Incremental runs of the value join; the batch operators do not depend on it."""
+"""Nothing streams: the survey has no streaming operator, and none is invented."""
