@@ -18,16 +18,8 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.trim(line, F.lit(SPACE)))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with _lines_total, _lines_dropped and _lines_kept; columns of those names are replaced.
-
-    A key of at least ``min_chars`` code points that at least ``min_docs``
-    documents hold loses all its lines, except in the largest doc_id with it.
-    Null and empty texts are one empty line.  Documents are told apart by
-    doc_id: rows that repeat one count once, and rows without one are not counted
-    and lose nothing.  Rows of one doc_id with different texts are each judged by
-    their own lines.  An empty table gives no row; all columns pass through.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """(row, total, dropped, kept) of each row; a text is shuffled once, in its row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = wrapped(docs, id=id_col, text=text_col).withColumn("text", text).withColumn("row_key", F.xxhash64("text"))
     lines = rows.where("id is not null").select("id", "row_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -38,19 +30,30 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # hot lines, and hashed by document, where the small side is the positions
     gone = hashed.join(common.hint("merge"), ["h1", "h2"]).where("id <> last")
     drops = materialise(gone.groupBy("id", "row_key").agg(F.collect_set("pos").alias("drops")))
-    out = rows.join(drops.hint("shuffle_hash"), ["id", "row_key"], "left").withColumn("parts", F.split("text", "\n", -1))
+    out = rows.drop("text").join(drops.hint("shuffle_hash"), ["id", "row_key"], "left")
+    out = out.withColumn("text", F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).withColumn("parts", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(F.col("parts"), i + 1)), "\n")
-    own = {
-        "_lines_total": F.size("parts").cast("long"),
-        "_lines_dropped": F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long"),
-        "_lines_kept": F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept),
-    }
-    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *(v.alias(k) for k, v in own.items()))
+    dropped = F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops"))
+    return out.select("row", F.size("parts").cast("long").alias("total"), dropped.cast("long").alias("dropped"), F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("kept"))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with _lines_total, _lines_dropped and _lines_kept; columns of those names are replaced.
+
+    A key of at least ``min_chars`` code points that at least ``min_docs``
+    documents hold loses all its lines, except in the largest doc_id with it.
+    Null and empty texts are one empty line.  Documents are told apart by
+    doc_id: rows that repeat one count once, and rows without one are not counted
+    and lose nothing.  Rows of one doc_id with different texts are each judged by
+    their own lines.  An empty table gives no row; all columns pass through.
+    """
+    out = _judged(docs, id_col, text_col, min_chars, min_docs)
+    own = {"_lines_total": "total", "_lines_dropped": "dropped", "_lines_kept": "kept"}
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *(F.col(v).alias(k) for k, v in own.items()))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with the kept lines as the text; a null text becomes empty."""
-    rows = wrapped(docs, id=id_col, text=text_col)
-    out = drop_repeated_lines(rows, "id", "text", min_chars, min_docs)
-    return out.select(*((F.col("_lines_kept") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
+    out = _judged(docs, id_col, text_col, min_chars, min_docs)
+    return out.select(*((F.col("kept") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
