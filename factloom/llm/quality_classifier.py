@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,17 @@ from pyspark.sql import types as T
 from .common import arrow_rows, field, materialise
 from .lm_scoring import held_out
 
-#: Runs of letters or digits, and runs of any one other character that is no space.
-TOKEN = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|([^\sa-z0-9\x80-\xff])\1*")
+#: Runs of letters, of digits, and of other characters that are no space.
+TOKEN = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^\sa-z0-9\x80-\xff]+")
+#: A-Z first, then the other bytes of letters.
+LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 FLUSH = 200_000
 #: Entries of an index vector that are not zero.
 ONES = 4
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    return [m.group() for m in TOKEN.finditer(text.encode().lower())] if text else []
+    return TOKEN.findall(text.encode().lower()) if text else []
 
 
 def index_entries(token: bytes, dims: int) -> tuple[list[int], list[int]]:
@@ -108,31 +112,35 @@ class WordVectors:
         if not n:
             return out
         counts = Counter(tokens)
-        times = np.fromiter(counts.values(), np.float64, len(counts))
-        ids = np.fromiter((self.index.get(t, 0) for t in counts), np.int64, len(counts))
+        times = np.fromiter(counts.values(), np.float32, len(counts))
+        ids = np.fromiter(map(self.index.get, counts, repeat(0)), np.int64, len(counts))
+        head = np.fromiter(map(itemgetter(0), counts), np.uint8, len(counts))
+        letter, digit = (head >= 128) | (head >= 97) & (head <= 122), (head >= 48) & (head <= 57)
         weights = times / n
-        pooled = weights @ self.vectors[ids]
-        new = [k for k in np.flatnonzero(ids == 0) if times[k] > 2]  # a rare token that a text repeats
-        for k, t in enumerate(counts):
-            if ids[k] == 0 and times[k] > 2:
-                pooled = pooled + weights[k] * index_vector(t, self.dims) / 2
+        own = self.vectors[ids]
+        pooled = weights @ own
+        new = np.flatnonzero((ids == 0) & (times > 2))  # a rare token that a text repeats
+        if len(new):
+            names = [*counts]
+            for k in new:
+                pooled = pooled + weights[k] * index_vector(names[k], self.dims) / 2
         out[: self.dims] = pooled
-        out[self.dims : 2 * self.dims] = np.sqrt(weights @ self.vectors[ids] ** 2)
+        out[self.dims : 2 * self.dims] = np.sqrt(weights @ own**2)
         raw = text.encode()
-        letters = sum(map(len, (t for t in tokens if t[0] >= 97)))
-        upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
+        letters = len(raw) - len(raw.translate(None, LETTERS))
+        upper = len(raw) - len(raw.translate(None, LETTERS[:26]))
         words = len(raw.split())
         out[2 * self.dims :] = [
             np.log1p(n) / 10,
             len(counts) / n,
-            float(weights.max()),
-            float(times[times > 1].sum() / n),
+            weights.max(),
+            times[times > 1].sum() / n,
             letters / max(1, len(raw)),
             upper / max(1, letters),
-            sum(c for t, c in counts.items() if not (t[0] >= 97 or 48 <= t[0] <= 57)) / n,
+            weights[~letter & ~digit].sum(),
             min(1.0, len(raw) / max(1, words) / 20),
-            float(weights[ids == 0].sum()),
-            len(new) / max(1, len(counts)),
+            weights[ids == 0].sum(),
+            len(new) / len(counts),
         ]
         return out
 
