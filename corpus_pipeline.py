@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares about 0.8 of its five-word shingles."""
+    """One document of each group whose sets of five-word shingles have a similarity of 0.8 or more."""
     return simhash.keep_one(docs, simhash.near_duplicates(docs))
 
 

@@ -137,3 +137,45 @@ def test_pipeline_of_nothing(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"])
 def test_registered_queries_run(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0
+
+
+def test_near_duplicates_by_exact_similarity(spark):
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    for k in range(150):
+        n, cut = 204, 18 + k % 16  # cut words at the end differ: a similarity of 0.845 to 0.716
+        base = [word() for _ in range(n)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n - cut] + [word() for _ in range(cut)]))]
+    # one shingle outweighs all others in the fingerprint of words with repeats, but not in the set
+    loop = "all of it again and " * 60
+    rows += [(900, loop + " ".join(word() for _ in range(40))), (901, loop + " ".join(word() for _ in range(40)))]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    similar = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    found = corpus_pipeline.simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    texts = dict(rows)
+    linked = {k: similar(shingles(texts[k]), shingles(texts[k + 1])) for k in texts if k % 2 == 0}
+    assert {k for k in linked if got[k + 1] == k} == {k for k in linked if linked[k]}
+    assert 20 < sum(linked.values()) < 130
+
+
+def test_similar_links_in_parts(spark):
+    simhash = corpus_pipeline.simhash
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.arange(k * 4, k * 4 + 40, dtype=np.uint64) for k in range(12)] + [np.array([], np.uint64), rng.integers(10**6, 10**9, 40).astype(np.uint64)]
+    a, b = simhash.similar_links(sets, 0.8)
+    assert len(a) == len(b) == 11 and {*a, *b} == {*range(12)}  # a chain, each with its neighbours only
+    assert simhash.similar_links(sets, 0.83) == ([], [])
+    docs = spark.createDataFrame([(k, " ".join(f"w{n}" for n in range(k * 4, k * 4 + 44))) for k in range(12)], "doc_id long, text string")
+    nodes = simhash.fingerprints(docs, 5, 512, sets=True).selectExpr("set", "fp", "struct(doc_id, row_key) as rep")
+    parts = nodes.selectExpr("fp as node", "(select min(X'00')) as component")
+    links = simhash.set_links(docs, nodes, parts, 5, 0.8, block=3).collect()
+    near = {r["set"]: r.rep.doc_id for r in nodes.collect()}
+    pairs = {frozenset((near[r.a], near[r.b])) for r in links}
+    assert pairs == {frozenset((k, k + 1)) for k in range(11)}
