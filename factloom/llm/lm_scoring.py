@@ -196,6 +196,10 @@ def fit(texts: DataFrame, vocabulary: int = 1024, looked_up: int = 100_000, dims
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     first = counts.orderBy(F.desc("n"), "word").limit(looked_up).toArrow()
     top = [*zip(first.column("word").to_pylist(), first.column("n").to_pylist())]
+    if top and END not in [w for w, _ in top[:vocabulary]]:  # the model holds the end whatever its rank
+        ends = counts.where(F.col("word") == F.lit(bytearray(END))).first()["n"]
+        top = [x for x in top if x[0] != END]
+        top = [*top[: vocabulary - 1], (END, ends), *top[vocabulary - 1 : looked_up - 1]]
     index = {w: k + 1 for k, (w, _) in enumerate(top)}
     vocab = [w for w, _ in top[:vocabulary]]
     common = sum(n for _, n in top[: len(vocab)])

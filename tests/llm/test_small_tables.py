@@ -180,6 +180,19 @@ def test_language_model(spark):
     assert sum(r.score for r in better) > sum(r.base_score for r in better)
 
 
+def test_language_model_with_a_rare_end(spark):
+    text = " ".join(f"w{k}" for k in range(1100)) + " " + " ".join(f"w{k}" for k in range(1100))
+    docs = table(spark, [(1, text), (2, "w1 w2")])
+    for how in ({}, {"vocabulary": 8, "looked_up": 9, "steps": 20}):
+        fitted = lm_scoring.fit(docs.where("doc_id = 1").select("text"), **how)
+        got = {r.doc_id: r for r in lm_scoring.score(docs, fitted).collect()}
+        total, distinct = 2201, 1101
+        share = lambda n: math.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
+        assert got[2].n_known == got[2].n_tokens == 3 and math.isfinite(got[2].score)
+        assert abs(got[2].base_score - 2 * share(2) - share(1)) < 1e-9
+        assert got[1].n_known == 2201 and math.isfinite(got[1].score)
+
+
 def test_language_model_of_nothing(spark):
     none = table(spark, [])
     fitted = lm_scoring.fit(none.select("text"))
