@@ -1,13 +1,16 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
-The corpus is counted by executors: words, and pairs of neighbouring words of
-the model's vocabulary (the most frequent words, the end of a text, and one
-symbol for all other words).  From the pair counts a log-bilinear model of one
-context word is trained in numpy: the context's vector times a matrix predicts
-the next word's vector, and the score of a word is their product plus a bias.
-Batched matrix products over the vocabulary normalise every context's scores.
-A word outside the vocabulary has the probability of the common symbol times
-its smoothed share among such words.
+The corpus is counted by executors: words, and pairs of neighbouring symbols.
+A symbol is one of the most frequent words, the end of a text, or one of the
+classes that all other words are hashed into.  From the pair counts a
+log-bilinear model of one context symbol is trained in numpy: the context's
+vector times a matrix predicts the next symbol's vector, and the score is their
+product plus a bias.  Batched matrix products normalise every context's scores.
+A word outside the vocabulary has the probability of its class times its
+smoothed share of the class.
+
+The driver trains on a bounded share of the pairs; then executors draw as many
+events as the corpus has pairs, in shards whose models are averaged by rounds.
 
 Frequent words are looked up in a broadcast table of bounded length; rare words
 meet their counts in a join, so that no table of all words is ever gathered.
@@ -15,7 +18,9 @@ meet their counts in a join, so that no table of all words is ever gathered.
 
 from __future__ import annotations
 
+import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +36,8 @@ from .common import arrow_rows, field, materialise, worker_cache, words_of
 #: No word holds a space, so this token is the end of a text and nothing else.
 END = b" "
 FLUSH = 300_000
+#: Distinct pairs that the driver trains on first; parts that executors train at once; averages of them.
+WARM_PAIRS, SHARDS, ROUNDS = 1_000_000, 12, 3
 
 
 def held_out(id_col: str, remainder: int):
@@ -64,10 +71,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count_words, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _count_pairs(vocab):
+def symbol_table(words: list[bytes], vocabulary: int, classes: int) -> np.ndarray:
+    """Symbols of the numbers of looked-up words: 1 to ``vocabulary`` are themselves, class 0 is 0, class c is vocabulary + c."""
+    of = np.arange(len(words) + 1)
+    of[vocabulary + 1 :] = class_symbols(words[vocabulary:], vocabulary, classes)
+    return of
+
+
+def class_symbols(words: list[bytes], vocabulary: int, classes: int) -> list[int]:
+    return [vocabulary + c if (c := zlib.crc32(w) % classes) else 0 for w in words]
+
+
+def symbols_of(words: list[bytes], ids: np.ndarray, table: np.ndarray, vocabulary: int, classes: int) -> np.ndarray:
+    out = table[ids]
+    rare = np.flatnonzero(ids == 0)
+    out[rare] = class_symbols([words[i] for i in rare], vocabulary, classes)
+    return out
+
+
+def _count_pairs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = vocab.value[0]
-        size = len(vocab.value[1]) + 1  # 0: any other word
+        index, table, vocabulary, classes = shared.value
+        size = vocabulary + classes
         held, kept = [], 0
 
         def out():
@@ -80,7 +105,7 @@ def _count_pairs(vocab):
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 ids = np.fromiter((index.get(w, 0) for w in words), np.int64, len(words))
-                ids[ids >= size] = 0
+                ids = symbols_of(words, ids, table, vocabulary, classes)
                 held.append(np.r_[end, ids] * size + np.r_[ids, end])
                 kept += len(ids) + 1
             if kept > 2_000_000:
@@ -92,10 +117,10 @@ def _count_pairs(vocab):
     return run
 
 
-def pair_counts(texts: DataFrame, vocab) -> DataFrame:
-    """(pair, n): neighbours (previous * size + next) in vocabulary numbers; a text begins after an end."""
+def pair_counts(texts: DataFrame, shared) -> DataFrame:
+    """(pair, n): neighbours (previous * size + next) as symbols; a text begins after an end."""
     schema = T.StructType([field("pair", T.LongType()), field("n", T.LongType())])
-    return texts.mapInArrow(_count_pairs(vocab), schema).groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(_count_pairs(shared), schema).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 # the model ------------------------------------------------------------------
@@ -111,6 +136,20 @@ class LogBilinear:
         self.target = rng.normal(0, 0.1, (size, dims)).astype(np.float32)
         self.mix = np.eye(dims, dtype=np.float32)
         self.bias = np.log(self.noise).astype(np.float32)
+        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in self.parts()]
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.context, self.target, self.mix, self.bias]
+
+    def state(self) -> np.ndarray:
+        """All parameters and Adagrad sums as one row."""
+        return np.concatenate([x.ravel() for x in [*self.parts(), *self.sums]])
+
+    def load(self, state: np.ndarray) -> None:
+        at = 0
+        for x in [*self.parts(), *self.sums]:
+            x[...] = state[at : at + x.size].reshape(x.shape)
+            at += x.size
 
     def train(self, pairs: np.ndarray, counts: np.ndarray, steps: int = 1500, batch: int = 1024, noise: int = 128, rate: float = 0.1, seed: int = 5) -> None:
         """Noise-contrastive estimation by Adagrad: tell observed next words from ``noise`` words drawn for the whole batch."""
@@ -118,18 +157,19 @@ class LogBilinear:
         ends = np.cumsum(counts, dtype=np.float64)
         noise_ends = np.cumsum(self.noise)
         log_noise = np.log(noise * self.noise).astype(np.float32)
-        sums = [np.full(x.shape, 1e-2, np.float32) for x in (self.context, self.target, self.mix, self.bias)]
+        sums = self.sums
 
         def step(k: int, rows: np.ndarray, grad: np.ndarray) -> None:
             """Adagrad on the rows named, each once with its summed gradient."""
-            kept, where = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(kept), *grad.shape[1:]), np.float32)
-            np.add.at(total, where, grad)
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            kept, total = rows[starts], np.add.reduceat(grad[order], starts, axis=0)
             sums[k][kept] += total**2
             (self.context, self.target, self.mix, self.bias)[k][kept] -= rate * total / np.sqrt(sums[k][kept])
 
         for _ in range(steps):
-            at = np.searchsorted(ends, rng.random(batch) * ends[-1], side="right").clip(max=len(pairs) - 1)
+            at = np.searchsorted(ends, np.sort(rng.random(batch)) * ends[-1], side="right").clip(max=len(pairs) - 1)
             prev, true = pairs[at] // size, pairs[at] % size
             drawn = np.searchsorted(noise_ends, rng.random(noise) * noise_ends[-1], side="right").clip(max=size - 1)
             seen, wanted, other = self.context[prev], self.target[true], self.target[drawn]
@@ -153,16 +193,63 @@ class LogBilinear:
         return out
 
 
+def _train_shard(shared, share: float, turn: int, batch: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        model, shard = shared.value, key[0].as_py()
+        pairs, n = (table.column(c).to_numpy() for c in ("pair", "n"))
+        by = np.argsort(pairs)
+        state = model.state()  # the broadcast value stays as it is
+        model.train(pairs[by], n[by], math.ceil(n.sum() * share / batch), batch, seed=100 * turn + shard)
+        out = model.state()
+        model.load(state)
+        return pa.table([pa.array([int(n.sum())]), pa.array([out.tobytes()], pa.binary())], names=["n", "state"])
+
+    return run
+
+
+def train_on_pairs(model: LogBilinear, pairs: DataFrame, steps: int, batch: int = 4096) -> int:
+    """Train ``model`` on the table ``pairs`` (pair, n); the events drawn, at least as many as the pairs' mass.
+
+    ``steps`` batches of 1024 are drawn by the driver, from WARM_PAIRS pairs or a
+    few more.  Where the mass is larger, executors draw that many events from all
+    pairs: each shard by its mass, averaged by mass after each round.
+    """
+    spark = pairs.sparkSession
+    kinds, mass = pairs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not kinds:
+        return 0
+    part = max(1, 1024 * WARM_PAIRS // kinds)
+    some = (pairs.where(F.pmod(F.xxhash64("pair"), F.lit(1024)) < part) if part < 1024 else pairs).toArrow()
+    if len(some):
+        pair, n = (some.column(c).to_numpy() for c in ("pair", "n"))
+        by = np.argsort(pair)
+        model.train(pair[by], n[by], steps)
+    if mass <= steps * 1024:
+        return steps * 1024
+    dealt = pairs.withColumn("shard", F.pmod(F.xxhash64("pair", F.lit(1)), F.lit(SHARDS)).cast("int"))
+    schema = T.StructType([field("n", T.LongType()), field("state", T.BinaryType())])
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+        found = dealt.groupBy("shard").applyInArrow(_train_shard(shared, 1 / ROUNDS, turn, batch), schema).toArrow()
+        weights = np.array(found.column("n").to_pylist(), np.float64)
+        total = np.zeros(model.state().shape)
+        for w, state in zip(weights / weights.sum(), found.column("state")):
+            total += w * np.frombuffer(state.as_py(), np.float32)
+        model.load(total)
+        shared.unpersist()
+    return steps * 1024 + mass
+
+
 # scoring --------------------------------------------------------------------
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vocab, base, rare, model, name = shared.value
+        index, vocab, base, rare, model, name, symbols, classes = shared.value
         cache = worker_cache()
         if cache.get("lm_name") != name:
             cache["lm_name"], cache["lm"] = name, model.log_probabilities()
-        table, size = cache["lm"], len(vocab) + 1
+        table = cache["lm"]
         end = index.get(END, 0)
         base, rare = np.r_[0.0, base], np.r_[0.0, rare]
         row = TaskContext.get().partitionId() << 40
@@ -172,7 +259,7 @@ def _score(shared):
                 words = words_of(text.as_py())
                 ids = np.fromiter((index.get(w, 0) for w in words), np.int64, len(words))
                 tail = Counter(words[i] for i in np.flatnonzero(ids == 0))
-                short = np.where(ids < size, ids, 0)
+                short = symbols_of(words, ids, symbols, len(vocab), classes)
                 score = table[np.r_[end, short], np.r_[short, end]].sum(dtype=np.float64) + rare[ids].sum()
                 known = np.count_nonzero(ids) + (end > 0)
                 rows.append((row, len(words) + 1, known, base[ids].sum() + base[end], score, [*tail.keys()], [*tail.values()]))
@@ -184,12 +271,13 @@ def _score(shared):
     return run
 
 
-def fit(texts: DataFrame, vocabulary: int = 1024, looked_up: int = 100_000, dims: int = 48, steps: int = 1500):
+def fit(texts: DataFrame, vocabulary: int = 2048, looked_up: int = 100_000, dims: int = 48, steps: int = 1500, classes: int = 512):
     """(counts, statistics, shared) from the training texts, one column.
 
     counts is the table of all words; shared is the broadcast of the first
-    ``looked_up`` words and the model over the first ``vocabulary`` of them: both
-    bounds are independent of the input.  All texts are counted.
+    ``looked_up`` words and the model over the first ``vocabulary`` of them and
+    ``classes`` of all other words: the bounds are independent of the input.  All
+    texts are counted, and the events drawn in training are as many as their pairs.
     """
     spark = texts.sparkSession
     counts = materialise(word_counts(texts))
@@ -204,17 +292,27 @@ def fit(texts: DataFrame, vocabulary: int = 1024, looked_up: int = 100_000, dims
     vocab = [w for w, _ in top[:vocabulary]]
     common = sum(n for _, n in top[: len(vocab)])
     other, kinds = total - common, distinct - len(vocab)
+    mass, members = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+    for c, n, k in counts.groupBy(_class_of("word", classes)).agg(F.sum("n"), F.count("*")).collect():
+        mass[c], members[c] = n, k
+    for w, n in top[: len(vocab)]:
+        mass[zlib.crc32(w) % classes] -= n
+        members[zlib.crc32(w) % classes] -= 1
+    below = mass + 0.5 * (members + 1)
     base = np.array([np.log10((n + 0.5) / (total + 0.5 * (distinct + 1))) for _, n in top])
-    rare = np.array([0.0 if k < len(vocab) else np.log10((n + 0.5) / (other + 0.5 * (kinds + 1))) for k, (_, n) in enumerate(top)])
-    pairs = pair_counts(texts, spark.sparkContext.broadcast((index, vocab))).toArrow() if vocab else None
-    unigram = np.array([max(1, other), *(n for _, n in top[: len(vocab)])], np.float64)
-    model = LogBilinear(len(vocab) + 1, dims, unigram)
-    if pairs is not None and len(pairs):
-        pair, n = (pairs.column(c).to_numpy() for c in ("pair", "n"))
-        by = np.argsort(pair)
-        model.train(pair[by], n[by], steps)
-    shared = spark.sparkContext.broadcast((index, vocab, base, rare, model, uuid.uuid4().hex))
-    return counts, {"total": total, "distinct": distinct, "other": other, "kinds": kinds, "top": len(top)}, shared
+    rare = np.array([0.0 if k < len(vocab) else np.log10((n + 0.5) / below[zlib.crc32(w) % classes]) for k, (w, n) in enumerate(top)])
+    symbols = symbol_table([w for w, _ in top], len(vocab), classes)
+    unigram = np.array([max(1, mass[0]), *(n for _, n in top[: len(vocab)]), *np.maximum(1, mass[1:])], np.float64)
+    model, draws = LogBilinear(len(vocab) + classes, dims, unigram), 0
+    if vocab:
+        pairs = pair_counts(texts, spark.sparkContext.broadcast((index, symbols, len(vocab), classes)))
+        draws = train_on_pairs(model, materialise(pairs), steps)
+    shared = spark.sparkContext.broadcast((index, vocab, base, rare, model, uuid.uuid4().hex, symbols, classes))
+    return counts, {"total": total, "distinct": distinct, "other": other, "kinds": kinds, "top": len(top), "below": below.tolist(), "draws": draws}, shared
+
+
+def _class_of(word: str, classes: int):
+    return F.pmod(F.crc32(word), F.lit(classes)).cast("int")
 
 
 def score(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +321,7 @@ def score(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts are the end alone.  One row comes out for each row that
     goes in, null and repeated ids included; other columns are not read.  A word
     that training never held counts 0 in both scores; without training texts all
-    words do, and the model is uniform over the end and the rest.
+    words do, and the model is uniform over the classes.
     """
     counts, stats, shared = fitted
     arrow_rows(docs.sparkSession)
@@ -233,11 +331,13 @@ def score(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text
     scored = materialise(rows.mapInArrow(_score(shared), schema))
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
-    total, distinct, other, kinds = (float(stats[k]) for k in ("total", "distinct", "other", "kinds"))
+    total, distinct = (float(stats[k]) for k in ("total", "distinct"))
     base = F.col("times") * F.log10((n + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    rare = F.col("times") * F.log10((n + 0.5) / F.lit(other + 0.5 * (kinds + 1)))
+    rare = F.col("times") * F.log10((n + 0.5) / F.col("below"))
     found = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
-    sums = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(base).alias("tail_base"), F.sum(rare).alias("tail_rare"), F.sum(found).alias("tail_known"))
+    below = docs.sparkSession.createDataFrame([*enumerate(stats["below"])], "class int, below double")  # a row for each class
+    of_class = tail.join(counts, "word", "left").withColumn("class", _class_of("word", len(stats["below"]))).join(F.broadcast(below), "class")
+    sums = of_class.groupBy("row").agg(F.sum(base).alias("tail_base"), F.sum(rare).alias("tail_rare"), F.sum(found).alias("tail_known"))
     zero = F.lit(0.0)
     return scored.drop("tail", "times").join(sums, "row", "left").select(
         "doc_id",

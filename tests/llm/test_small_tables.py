@@ -180,6 +180,30 @@ def test_language_model(spark):
     assert sum(r.score for r in better) > sum(r.base_score for r in better)
 
 
+def test_language_model_of_rare_words(spark, monkeypatch):
+    rng, rows = random.Random(3), []
+    for k in range(400):  # four rare words, each with one follower
+        x = rng.randrange(4)
+        rows.append((k, " ".join(" ".join(rng.choices("abcd", k=3)) + f" rare{x} {'abcd'[x]}" for _ in range(4))))
+    asked = [(1000 + 10 * x + y, f"rare{x} {'abcd'[y]}") for x in range(4) for y in range(4)]
+    assert len({zlib.crc32(f"rare{x}".encode()) % 512 for x in range(4)}) == 4
+    docs = table(spark, rows).select("text")
+    for steps, warm in ((600, 1_000_000), (2, 3)):  # on the driver alone; by executors for the most part
+        monkeypatch.setattr(lm_scoring, "WARM_PAIRS", warm)
+        fitted = lm_scoring.fit(docs, vocabulary=5, looked_up=7, steps=steps)
+        assert fitted[1]["draws"] >= fitted[1]["total"]
+        got = {r.doc_id: r.score for r in lm_scoring.score(table(spark, asked), fitted).collect()}
+        assert all(math.isfinite(x) for x in got.values())
+        table_ = fitted[2].value[4].log_probabilities()
+        assert np.allclose((10.0**table_).sum(1), 1, atol=1e-4)
+        if steps > 2:
+            for x in range(4):
+                assert max(range(4), key=lambda y: got[1000 + 10 * x + y]) == x
+    monkeypatch.setattr(lm_scoring, "SHARDS", 2)
+    fitted = lm_scoring.fit(docs.union(docs).union(docs), vocabulary=5, looked_up=7, steps=1)
+    assert fitted[1]["draws"] >= fitted[1]["total"] > 1024
+
+
 def test_language_model_with_a_rare_end(spark):
     text = " ".join(f"w{k}" for k in range(1100)) + " " + " ".join(f"w{k}" for k in range(1100))
     docs = table(spark, [(1, text), (2, "w1 w2")])
