@@ -57,6 +57,30 @@ def index_vector(token: bytes, dims: int) -> np.ndarray:
     return v
 
 
+def entries_of(tokens: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """index_entries of each token, as rows of places and of signs."""
+    from xxhash import xxh3_128_digest
+
+    words = np.frombuffer(b"".join(map(xxh3_128_digest, tokens)), ">u4").reshape(-1, 4).astype(np.int64)
+    places, signs = np.empty((len(tokens), ONES), np.int64), np.empty((len(tokens), ONES))
+    for k in range(ONES):
+        for by, out in ((dims, places), (2, signs)):
+            rest = np.zeros(len(tokens), np.int64)
+            for j in range(4):  # long division, the highest word first
+                words[:, j], rest = np.divmod((rest << 32) | words[:, j], by)
+            out[:, k] = rest
+    return places, 1 - 2 * signs
+
+
+def index_vectors(tokens: list[bytes], dims: int) -> np.ndarray:
+    """index_vector of each token, at unit length."""
+    places, signs = entries_of(tokens, dims)
+    at = np.arange(len(tokens))[:, None] * dims + places
+    out = np.bincount(at.ravel(), signs.ravel(), len(tokens) * dims).reshape(-1, dims)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["token", "n"])
@@ -77,17 +101,26 @@ def _context_sums(shared, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         size = len(index) + 1
-        # the entries of an index vector, as places in the flat table of sums; token 0 has none
-        places, signs = (np.zeros((size, ONES), kind) for kind in (np.int64, np.float64))
-        for k, t in enumerate(index):
-            places[k + 1], signs[k + 1] = index_entries(t, dims)
         sums = np.zeros(size * dims)
+        known = entries_of([*index], dims)
         for batch in batches:
-            ids = [np.fromiter((index.get(t, 0) for t in tokens_of(text.as_py())), np.int64) for text in batch.column(0)]
-            ids = np.concatenate([np.r_[x, 0] for x in ids] or [np.zeros(0, np.int64)])  # 0 between texts
+            # numbers beyond the vocabulary are the batch's other tokens, which are neighbours only
+            local: dict[bytes, int] = {}
+            ids = []
+            for text in batch.column(0):
+                found = tokens_of(text.as_py())
+                row = np.fromiter(map(index.get, found, repeat(0)), np.int64, len(found))
+                for at in np.flatnonzero(row == 0):
+                    row[at] = size + local.setdefault(found[at], len(local))
+                ids += [row, np.zeros(1, np.int64)]  # 0 between texts, without entries
+            ids = np.concatenate(ids or [np.zeros(0, np.int64)])
+            own = entries_of([*local], dims)
+            places, signs = (np.concatenate([np.zeros((1, ONES), k.dtype), k, o]) for k, o in zip(known, own))
             for a in range(0, len(ids), 500_000):
                 part = ids[a : a + 500_001]
                 for of, by in ((part[:-1], part[1:]), (part[1:], part[:-1])):
+                    kept = (of > 0) & (of < size)
+                    of, by = of[kept], by[kept]
                     sums += np.bincount((of[:, None] * dims + places[by]).ravel(), signs[by].ravel(), size * dims)
         sums = sums.reshape(size, dims)
         rows = [k for k in range(1, size) if sums[k].any()]
@@ -118,12 +151,11 @@ class WordVectors:
         letter, digit = (head >= 128) | (head >= 97) & (head <= 122), (head >= 48) & (head <= 57)
         weights = times / n
         own = self.vectors[ids]
-        pooled = weights @ own
-        new = np.flatnonzero((ids == 0) & (times > 2))  # a rare token that a text repeats
+        new = np.flatnonzero(ids == 0)
         if len(new):
             names = [*counts]
-            for k in new:
-                pooled = pooled + weights[k] * index_vector(names[k], self.dims) / 2
+            own[new] = index_vectors([names[k] for k in new], self.dims)
+        pooled = weights @ own
         out[: self.dims] = pooled
         out[self.dims : 2 * self.dims] = np.sqrt(weights @ own**2)
         raw = text.encode()
@@ -140,7 +172,7 @@ class WordVectors:
             weights[~letter & ~digit].sum(),
             min(1.0, len(raw) / max(1, words) / 20),
             weights[ids == 0].sum(),
-            len(new) / len(counts),
+            np.count_nonzero((ids == 0) & (times > 2)) / len(counts),
         ]
         return out
 

@@ -568,3 +568,21 @@ def test_components(spark):
             links.setdefault(a, set()).add(b)
             links.setdefault(b, set()).add(a)
     assert got == {k: component(links, k) for k in links}
+
+
+def test_rare_tokens_keep_their_index_vectors(spark):
+    dims = 64
+    tokens = ["one", "\u00e9t\u00e9", "...", "12"]
+    raw = [t.encode() for t in tokens]
+    for t, places, signs in zip(raw, *quality_classifier.entries_of(raw, dims)):
+        assert (places.tolist(), signs.tolist()) == quality_classifier.index_entries(t, dims)
+    docs = table(spark, [(1, "a one a b"), (2, "a b a b a b")]).select("text")
+    vectors = quality_classifier.word_vectors(docs, vocabulary=2, dims=dims)
+    v = {t: quality_classifier.index_vector(t, dims) for t in (b"a", b"b", b"one")}
+    sums = {b"a": 2 * v[b"one"] + 6 * v[b"b"], b"b": 6 * v[b"a"]}  # a rare neighbour counts
+    for t, x in sums.items():
+        assert np.allclose(vectors.vectors[vectors.index[t]], x / np.linalg.norm(x), atol=1e-6)
+    want = np.array([quality_classifier.index_vector(t, dims) for t in raw])
+    unit = want / np.linalg.norm(want, axis=1, keepdims=True)
+    x = vectors.features(" ".join(tokens))  # each rare, each once
+    assert np.allclose(x[:dims], unit.mean(0), atol=1e-6)
