@@ -321,6 +321,12 @@ def j21_edge_labels(spark, sf_dir):
     return events.edge_labels(some.unionByName(twin))
 
 
+@query
+def j21_edge_labels_whole(spark, sf_dir):
+    rows = Facts(spark, sf_dir).async_edges()
+    return events.edge_labels(rows.unionByName(rows.withColumn("event", F.replace("event", F.lit("shop"), F.lit("mall")))))
+
+
 @query
 def a14_event_collisions(spark, sf_dir):
     r = Run(spark, sf_dir)
@@ -590,6 +596,13 @@ def r4_used_undeclared(spark, sf_dir):
     return checks.used_undeclared(shown.where("src like '%large'"), few).select("category", "message")
 
 
+@query
+def r4_used_undeclared_whole(spark, sf_dir):
+    r = Run(spark, sf_dir)
+    shown = a10_evidence(spark, sf_dir).withColumn("files", F.split("files", ","))
+    return checks.used_undeclared(shown, r.pairs().where("dst <> 'promo'")).select("category", "message")
+
+
 @query
 def r5_facades(spark, sf_dir):
     f = Facts(spark, sf_dir)
@@ -785,6 +798,13 @@ def s8_candidates(spark, sf_dir):
     return trees.candidates(spec, files)
 
 
+@query
+def s8_candidates_whole(spark, sf_dir):
+    e = Facts(spark, sf_dir).file_edges()
+    spec = e.select("src", F.concat(F.lit("../"), F.regexp_extract("dst", r"src/([A-Z]+/m[0-9]+)\.ts$", 1)).alias("specifier"))
+    return trees.candidates(spec, _files(spark, sf_dir))
+
+
 @query
 def s10_gitignore(spark, sf_dir):
     rules = spark.createDataFrame(
