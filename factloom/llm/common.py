@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,26 +28,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names.
 
-    Where that is unset (tests on one machine) a temporary folder is set.
+    Where that is unset a temporary folder is set, on a local master only: on a
+    cluster the executors could not read it.  A scratch table lives until
+    ``release`` or the end of the application, since plans that read it are lazy.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc = spark.sparkContext
+        held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="factloom-")
         if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
+            sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _SCRATCH:
+        atexit.register(release, spark)
+    _SCRATCH.append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table when the application ends."""
+#: Scratch tables that were not deleted yet, in the order in which they were written.
+_SCRATCH: list[str] = []
+
+
+def mark() -> int:
+    """A place in the list of scratch tables, for ``release``."""
+    return len(_SCRATCH)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables written since ``mark``; plans that read them no longer run."""
     sc = spark.sparkContext
     if sc._jsc is None:
         return
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    while len(_SCRATCH) > since:
+        target = sc._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -58,6 +78,23 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``rows`` rows and about ``size`` bytes, one row at least.
+
+    Spark bounds its batches by bytes; what Python makes of one is bounded here,
+    so that no setting of the session need change.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            if part.nbytes > 2 * size:  # a few long texts among short ones
+                for k in range(part.num_rows):
+                    yield part.slice(k, 1)
+            else:
+                yield part
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that long texts fit in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

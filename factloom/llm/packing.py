@@ -22,25 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, field, materialise, worker_cache
-
-SCHEMA = T.StructType(
-    [
-        field("doc_id", T.LongType()),
-        field("start", T.LongType()),
-        field("length", T.LongType()),
-        field("ids", T.BinaryType()),
-        field("doc_tokens", T.LongType()),
-        field("sequence_id", T.LongType()),
-        field("offset", T.LongType()),
-    ]
-)
-_OPEN = T.StructType([*SCHEMA.fields, field("task", T.LongType()), field("open", T.BooleanType())])
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("task", pa.int64()), ("open", pa.bool_())]
-)
-#: Words in a generation of a worker's cache.
-CACHED_WORDS = 500_000
+from .common import field, materialise, sliced, worker_cache
+
+NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def _schema(id_type: T.DataType) -> T.StructType:
+    """Pieces as tasks hand them over: NAMES, then the task (or group) and whether the window is still open."""
+    kinds = [id_type, T.LongType(), T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.BooleanType()]
+    return T.StructType([field(n, k) for n, k in zip([*NAMES, "task", "open"], kinds)])
+
+
+#: Words in a generation of a worker's cache, and bytes of the longest that is kept.
+CACHED_WORDS, CACHED_BYTES = 500_000, 100
 
 
 class Packer:
@@ -120,11 +114,12 @@ class Packer:
                 take -= n
             self.close(window)
 
-    def take(self, task: int) -> pa.RecordBatch:
+    def take(self, task: int, id_type: pa.DataType) -> pa.RecordBatch:
         cols = list(zip(*self.done)) or [()] * 8
         self.done = []
-        arrays = [pa.array(c, t) for c, t in zip(cols[:7], _ARROW.types[:7])]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([task] * len(cols[0]), pa.int64()), pa.array(cols[7], pa.bool_())], schema=_ARROW)
+        kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        arrays = [pa.array(c, t) for c, t in zip(cols[:7], kinds)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([task] * len(cols[0]), pa.int64()), pa.array(cols[7], pa.bool_())], names=[*NAMES, "task", "open"])
 
 
 class _Words(dict):
@@ -135,7 +130,9 @@ class _Words(dict):
         self.encode = encode
 
     def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = self.encode(word)
+        ids = self.encode(word)
+        if len(word) <= CACHED_BYTES:
+            self[word] = ids
         return ids
 
 
@@ -143,11 +140,13 @@ class WordEncoder:
     """Token ids of texts as little-endian 32-bit words.
 
     The vocabulary's pieces never cross ASCII white space and know no capitals,
-    so that ids are kept by lower-case word, in two generations of bounded size:
-    a word that was used since the last change is in the young one.  A word of
-    printable ASCII and small Latin-1 letters is cut into pieces here and merged
-    by the model; any other word, and any text that may hold a special token,
-    goes through the whole tokenizer.
+    so that ids are kept by word, in two generations of bounded size: a word that
+    was used since the last change is in the young one.  A word of printable
+    ASCII and small Latin-1 letters is cut into pieces here and merged by the
+    model; any other word, and one that may hold a special token, goes through
+    the whole tokenizer.  A-Z become small before the lookup only where that
+    cannot change what the tokenizer sees: its special tokens are told by case,
+    and it composes a letter with a mark that follows before it makes it small.
     """
 
     #: The vocabulary's own pre-token pattern, for the characters of SIMPLE. Fixed value.
@@ -156,6 +155,8 @@ class WordEncoder:
     #: The byte-level alphabet's names of the bytes of those letters that do not stand for themselves. Fixed value.
     BYTES = {0x9F: 321, 0xA0: 322, 0xAD: 323}
     SPECIAL = b"<|"
+    #: What makes the case of A-Z matter: a special token, or the first byte of a combining mark (U+0300 to U+036F).
+    CASED = re.compile(b"<\\||[\xcc\xcd]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -170,7 +171,7 @@ class WordEncoder:
             return held
         text = word.decode()
         if self.SIMPLE.fullmatch(text) and self.SPECIAL not in word:
-            pieces = self.PIECE.findall(text)
+            pieces = self.PIECE.findall(text.lower())
             if not text.isascii():
                 pieces = [p.encode().decode("latin-1").translate(self.BYTES) for p in pieces]
             ids = [t.id for piece in pieces for t in self.model.tokenize(piece)]
@@ -180,7 +181,7 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         raw = text.encode() if text else b""
-        out = b"".join(map(self.young.__getitem__, (raw if self.SPECIAL in raw else raw.lower()).split()))
+        out = b"".join(map(self.young.__getitem__, (raw if self.CASED.search(raw) else raw.lower()).split()))
         if len(self.young) > CACHED_WORDS:
             self.young, self.old = _Words(self.word), dict(self.young)
         return out
@@ -197,29 +198,31 @@ def _pack_task(path: str, size: int, open_windows: int, slack: int, end_id: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         packer, codes, end = Packer(size, open_windows, slack, task << 30), encoder(path), end_id.to_bytes(4, "little")
-        for batch in batches:
-            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+        id_type = pa.null()
+        for batch in sliced(batches, 100):
+            id_type = batch.column(0).type
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 code = codes.encode(text.as_py()) + end
                 packer.put(doc, 0, code, len(code) // 4)
-                if packer.done and k % 100 == 99:
-                    yield packer.take(task)
+            if packer.done:
+                yield packer.take(task, id_type)
         packer.leave_open()
         if packer.done:
-            yield packer.take(task)
+            yield packer.take(task, id_type)
 
     return run
 
 
 def _merge_group(size: int, open_windows: int, slack: int, level: int, last: bool):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = key[0].as_py()
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("length", "doc_id", "start", "ids", "doc_tokens")))]
-        rows.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0, r[2]))
+        group, held = key[0].as_py(), [*batches]
+        rows = [r for b in held for r in zip(*(b.column(c).to_pylist() for c in ("length", "doc_id", "start", "ids", "doc_tokens")))]
+        rows.sort(key=lambda r: (-r[0], r[1] is None, r[1], r[2]))
         packer = Packer(size, open_windows, slack, (level << 58) + (group << 30))
         for n, doc, start, ids, total in rows:
             packer.put(doc, start, ids, total)
         packer.flush() if last else packer.leave_open()
-        yield packer.take(group)
+        yield packer.take(group, held[0].column("doc_id").type)
 
     return run
 
@@ -237,8 +240,8 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``size`` tokens.
 
-    A document's ids are its text's tokens, then ``end_id``.  Returns doc_id,
-    start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
+    A document's ids are its text's tokens, then ``end_id``.  Returns doc_id (as
+    it is in ``docs``, of any type that sorts), start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset.  Only the last leftovers make sequences shorter than
     ``size - slack``; those have a power of two of tokens and need no padding.
 
@@ -247,15 +250,15 @@ def pack(
     An empty table gives no piece.  Other columns are not read.  The task's
     memory is bounded by its open windows and one batch, whatever the input.
     """
-    arrow_rows(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    made = materialise(rows.mapInArrow(_pack_task(tokenizer_path, size, open_windows, slack, end_id), _OPEN))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = _schema(rows.schema[0].dataType)
+    made = materialise(rows.mapInArrow(_pack_task(tokenizer_path, size, open_windows, slack, end_id), schema))
     out, level = [made.where("not open")], 1
     tasks = (made.where("open").agg(F.max("task")).first()[0] or 0) + 1
     while True:
         groups = -(-tasks // fan_in)
         left = made.where("open").withColumn("group", F.expr(f"task div {fan_in}"))
-        merged = left.groupBy("group").applyInArrow(_merge_group(size, open_windows, slack, level, groups == 1), _OPEN)
+        merged = left.groupBy("group").applyInArrow(_merge_group(size, open_windows, slack, level, groups == 1), schema)
         if groups == 1:
             out.append(merged)
             break
@@ -265,4 +268,4 @@ def pack(
     all_pieces = out[0]
     for more in out[1:]:
         all_pieces = all_pieces.unionByName(more)
-    return all_pieces.select(*SCHEMA.names)
+    return all_pieces.select(*NAMES)
