@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, field
+from .common import field, sliced
 
 SYMBOLS = b"#*$%&|<>"
 #: Measures that can be reported for each text.
@@ -138,10 +138,14 @@ def plan_cascade(texts: list[str | None], rules: list[Rule], clock: Callable[[],
     return sorted(found, key=lambda x: (-x["rejected"] / max(x["cost"], 1e-9), x["given"]))
 
 
-def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = 200, max_chars: int = 100_000) -> list[str | None]:
-    """At most ``rows`` texts of at most ``max_chars`` for the estimates; verdicts never depend on them."""
-    short = docs.select(F.col(text_col).cast("string").alias("text")).where(f"coalesce(char_length(text), 0) <= {max_chars}")
-    return [r[0] for r in short.limit(rows).collect()]
+def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 200, max_chars: int = 100_000) -> list[str | None]:
+    """The ``rows`` texts of at most ``max_chars`` whose ids have the smallest hash; verdicts never depend on them.
+
+    The hash deals the sample over all files; null ids come last.
+    """
+    text = F.col(text_col).cast("string")
+    short = docs.select(text.alias("text"), F.col(id_col).isNull().alias("no"), F.xxhash64(id_col).alias("h")).where(f"coalesce(char_length(text), 0) <= {max_chars}")
+    return [r[0] for r in short.orderBy("no", "h").limit(rows).collect()]
 
 
 def _schema(id_type: T.DataType, report: tuple[str, ...]) -> T.StructType:
@@ -150,12 +154,12 @@ def _schema(id_type: T.DataType, report: tuple[str, ...]) -> T.StructType:
 
 def _cascade(rules: list[Rule], base: tuple[str, ...], report: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(1):
                 t = Text(text.as_py())
                 hit = next((r.name for r in rules if r.rejects(t)), None)
-                failed = hit in base or hit is not None and any(r.rejects(t) for r in rules if r.name in base) if report else hit in base
+                failed = hit in base or hit is not None and any(r.rejects(t) for r in rules if r.name in base)
                 out.append((*(getattr(t, m) for m in report), failed, hit is None, hit))
             cols = list(zip(*out)) or [()] * (len(report) + 3)
             kinds = [pa.int64()] * len(report) + [pa.bool_(), pa.bool_(), pa.string()]
@@ -168,32 +172,31 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     """doc_id, the measures of ``report``, base_failed, kept, rejected_by of each text.
 
     ``report`` measures are taken of every text, rejected or not; with an empty
-    ``report`` a text is measured only as far as the cascade goes, and
-    base_failed then says whether the rejecting rule was a base rule.  One row
-    comes out for each row that goes in, in no shuffle; null texts count as
+    ``report`` a text is measured only as far as the cascade goes, and by the
+    base rules if another one rejected it.  rejected_by names the rule at which
+    the text left the cascade: where several reject it, that depends on the
+    measured costs; nothing else does.  One row comes out for each row that goes in, in no shuffle; null texts count as
     empty (no words: rejected as few_words), null ids stay null, repeated rows
     give repeated rows, an empty table none.  Other columns are not read.
     """
     rules = default_rules() if rules is None else rules
-    order = [x["rule"] for x in plan_cascade(sample_texts(docs, text_col, sample_rows), rules)]
-    arrow_rows(docs.sparkSession)
+    order = [x["rule"] for x in plan_cascade(sample_texts(docs, id_col, text_col, sample_rows), rules)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_cascade(order, tuple(r.name for r in base_rules()), report), _schema(rows.schema[0].dataType, report))
 
 
-def filter_documents(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = 200) -> DataFrame:
+def filter_documents(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 200) -> DataFrame:
     """The rows of ``docs`` that every rule accepts, all columns as they were.
 
-    The verdict is made row by row where the row is: no key is needed, so that
-    null and repeated ids and columns of any name pass through.
+    The verdict is made row by row where the row is: ids only deal out the sample,
+    so that null and repeated ones and columns of any name pass through.
     """
     rules = default_rules() if rules is None else rules
-    order = [x["rule"] for x in plan_cascade(sample_texts(docs, text_col, sample_rows), rules)]
-    arrow_rows(docs.sparkSession)
+    order = [x["rule"] for x in plan_cascade(sample_texts(docs, id_col, text_col, sample_rows), rules)]
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept = [not any(r.rejects(t) for r in order) for t in (Text(x.as_py()) for x in batch.column(at))]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
