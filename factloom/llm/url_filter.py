@@ -3,10 +3,12 @@
 URLs that a rule decides train two variable-order Markov models over a small
 alphabet, one for accepted and one for rejected URLs, smoothed by Witten-Bell
 interpolation of all orders.  Other URLs are judged by the mean log-likelihood
-difference over their symbols, against a threshold calibrated on the ruled ones.
+difference over their symbols, against a threshold calibrated on ruled ones that
+did not train the models.
 
-All tables by n-gram are bounded by the alphabet: at most 40 ** (ORDER + 1)
-rows, whatever the number of URLs; that is why the ratios may be broadcast.
+Tables by n-gram have at most 41 ** (ORDER + 1) rows, some 2.8 million, whatever
+the number of URLs.  The ratios are broadcast up to MOST_BROADCAST rows (about
+100 bytes each in a task's memory) and joined by key beyond it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from .common import lower_ascii, materialise, wrapped
 #: Symbols: these, 0 for any digit, ~ for any other character, ^ before the start, $ after the end.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.:-_?=&#%+~^$"
 ORDER = 3
+MOST_BROADCAST = 400_000
+#: One in so many of the ruled URLs calibrates the threshold and trains nothing.
+HELD = 4
 #: (verdict, host and path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -47,10 +52,14 @@ def symbols(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), r"[^a-z0/.:\-_?=&#%+]", "~")
 
 
-def _grams(urls: DataFrame, order: int) -> DataFrame:
-    """A row (…, gram) for each symbol and the end: the symbol after its ``order`` predecessors."""
+def _grams(urls: DataFrame, order: int, *names: str) -> DataFrame:
+    """A row (names, gram) for each symbol and the end: the symbol after its ``order`` predecessors.
+
+    One pass over the text makes all grams, so that a long URL costs as much a
+    symbol as a short one.
+    """
     padded = F.concat(F.lit("^" * order), F.col("sym"), F.lit("$"))
-    return urls.withColumn("_i", F.explode(F.sequence(F.lit(1), F.char_length("sym") + 1))).withColumn("gram", F.substring(padded, F.col("_i"), F.lit(order + 1)))
+    return urls.select(*names, F.explode(F.regexp_extract_all(padded, F.lit(f"(?=(.{{{order + 1}}}))"), F.lit(1))).alias("gram"))
 
 
 def _log_ratio(grams: DataFrame, counts: DataFrame, order: int) -> DataFrame:
@@ -102,7 +111,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, order: int =
     columns of those names, and _says, _sym and _of, are replaced).
 
     verdict is the rule's, else block where the score reaches the threshold.
-    Without training URLs of both kinds every other URL is allowed.  Null and
+    Without ruled URLs of both kinds every other URL is allowed; where the ones
+    held out for the threshold lack a kind, all ruled ones calibrate it.  Null and
     empty URLs have empty parts, no rule, and are scored as the empty string.
     Equal symbol strings are scored once.  Rows and other columns pass through.
     """
@@ -110,15 +120,20 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, order: int =
     ruled = pages.withColumn("_host", host).withColumn("_path", path)
     rule, says = matching_rule(F.col("_host"), F.col("_path"), rules)
     ruled = ruled.withColumn("_rule", rule).withColumn("_says", says).withColumn("_sym", symbols(F.col(url_col)))
-    seen = materialise(ruled.groupBy(F.col("_sym").alias("sym"), F.col("_says").alias("verdict")).agg(F.count("*").alias("times")))
-    all_grams = materialise(_grams(seen, order).groupBy("verdict", "gram").agg(F.sum("times").alias("n")))
-    counts = all_grams.where("verdict is not null")
+    seen = ruled.groupBy(F.col("_sym").alias("sym"), F.col("_says").alias("verdict")).agg(F.count("*").alias("times"))
+    # grams carry a hash of their URL, not the URL
+    seen = materialise(seen.withColumn("of", F.md5("sym")).withColumn("held", F.pmod(F.xxhash64("sym"), F.lit(HELD)) == 0))
+    all_grams = materialise(_grams(seen, order, "verdict", "held", "times").groupBy("verdict", "held", "gram").agg(F.sum("times").alias("n")))
+    counts = all_grams.where("verdict is not null and not held").groupBy("verdict", "gram").agg(F.sum("n").alias("n"))
     ratios = materialise(_log_ratio(all_grams.select("gram").distinct(), counts, order))
-    each = _grams(seen.select("sym").distinct(), order).join(F.broadcast(ratios), "gram")
-    scores = materialise(each.groupBy("sym").agg(F.avg("ratio").alias("score")))
-    labelled = seen.where("verdict is not null").join(scores, "sym")
-    threshold = calibrated_threshold(labelled)
-    joined = ruled.join(scores.select(F.col("sym").alias("_of"), F.col("score").alias("_score")), F.col("_sym") == F.col("_of"), "left")
+    few = ratios.count() <= MOST_BROADCAST
+    each = _grams(seen.dropDuplicates(["sym"]), order, "of").join(F.broadcast(ratios) if few else ratios, "gram")
+    scores = materialise(each.groupBy("of").agg(F.avg("ratio").alias("score")))
+    labelled = seen.where("verdict is not null").join(scores, "of")
+    threshold = calibrated_threshold(labelled.where("held"))
+    if math.isinf(threshold):
+        threshold = calibrated_threshold(labelled)
+    joined = ruled.join(scores.select(F.col("of").alias("_of"), F.col("score").alias("_score")), F.md5("_sym") == F.col("_of"), "left")
     by_model = F.when(F.col("_score") >= F.lit(threshold), "block").otherwise("allow")
     return joined.withColumn("_verdict", F.coalesce("_says", by_model)).drop("_says", "_sym", "_of")
 
