@@ -100,6 +100,17 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def hot_keys(counts: DataFrame, most: int = 4096, keys: int = 100_000) -> DataFrame:
+    """``counts`` (…, rows) of the keys with more rows than a part may hold, as (…, parts); at most ``keys`` of them.
+
+    A part holds ``most`` rows, or one in ``keys`` of all rows if that is more, so
+    that hot keys can never be more than ``keys``: they may be broadcast.
+    """
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    bound = max(most, -(-total // keys))
+    return counts.where(F.col("rows") > bound).withColumn("parts", F.ceil(F.col("rows") / bound).cast("int")).drop("rows")
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     holder = sys.modules.setdefault("factloom_worker_cache", types.ModuleType("factloom_worker_cache"))
