@@ -1,20 +1,24 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-A fingerprint's bits are split into blocks such that close fingerprints agree in
-a block; fingerprints meet in a join on the block and their Hamming distance is
-verified.  Equal fingerprints are one node throughout, so that copies cost
-nothing, and a block that many different fingerprints share is searched breadth
-first: a node that was reached is not compared again.
-
-Where a similarity of shingle sets is asked for, the distance only names
-candidates: texts that chains of candidates join are compared by their sets.
+Close fingerprints share a block; fingerprints meet in a join on the block and
+their Hamming distance is verified.  Equal fingerprints are one node throughout,
+so that copies cost nothing.  A block that many different fingerprints share is
+split by further bits, and what is then still large is dealt out in pairs of
+parts; in a task it is searched breadth first: a node that was reached is not
+compared again.
+
+Where a few bits may differ, a fingerprint's bits are cut into pieces, and a
+block is a choice of pieces.  Where sets of shingles of a given similarity are
+asked for, the shingles are dealt to classes by hash and a block is the SimHash
+of one class: texts that differ in few shingles agree in the classes that hold
+none of these.  Distances then only name candidates: texts that chains of
+candidates join are compared by their sets.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -23,19 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, field, materialise, words_of, wrapped
+from .common import field, hot_keys, materialise, sliced, words_of, wrapped
 from .components import connected_components
 
 #: Runs of a block up to this length are compared pair by pair.
 SHORT_RUN = 24
-#: Bits of a sampled block, and how many blocks, at every size of the input.
-#: They miss 0.03 % of the pairs at a similarity of 0.8 (expected distance 78 of
-#: 512) and fewer above; that is the binomial sum over distances.  Sets of few
-#: shingles lie further apart: 0.9 % are missed where four of five are shared.
-SAMPLED_WIDTH, SAMPLED_BLOCKS = 14, 100
-#: Sets of one group of candidates up to this number meet in a task, others in pairs of such parts.
-SET_BLOCK = 4096
+#: A text's shingles are dealt to a power of two of classes, LEAST_CLASSES at
+#: least, so that a class holds two to four; of more classes than the least,
+#: CLASSES make blocks.  Two texts at a similarity of 0.8 agree in a class of
+#: about four shingles with probability 0.4 (Poisson), which misses 0.6 ** 24 =
+#: 0.0005 % of such pairs, whatever the number of texts.
+LEAST_CLASSES, CLASSES = 32, 24
+#: Distance of 128 bits up to which texts that share a class are candidates.  At
+#: a similarity of 0.8 the distance is 19 on average with a spread of 4.
+CANDIDATE_BITS, CANDIDATE_DISTANCE = 128, 48
+#: Sets of one group of candidates meet in a task up to this number and this
+#: number of shingles, others in pairs of such parts.
+SET_BLOCK, SET_SHINGLES = 4096, 4_000_000
 _EDGES = T.StructType([field("a", T.BinaryType()), field("b", T.BinaryType())])
+_KEYED = T.StructType([field("key", T.LongType()), field("fp", T.BinaryType())])
 
 
 # fingerprints ---------------------------------------------------------------
@@ -84,27 +94,55 @@ def fingerprint_of(h: np.ndarray, bits: int) -> bytes:
     return out.tobytes()
 
 
+def class_blocks(h: np.ndarray) -> np.ndarray:
+    """Keys of a set's blocks: the SimHash of the shingles (distinct hashes) in each class that has any.
+
+    Texts of a similarity of 0.8 differ in size by a quarter at most, so that
+    they share a number of classes: each takes its own and that of the larger.
+    """
+    own = sorted({max(LEAST_CLASSES, 1 << max(0, int(n / 4 - 1e-9).bit_length())) for n in (len(h), len(h) * 1.25)})
+    spread, keys = mixed(h, 101), [np.empty(0, np.uint64)]
+    for classes in own:
+        at = spread & np.uint64(classes - 1)
+        used = np.flatnonzero(at < (classes if classes == LEAST_CLASSES else CLASSES))
+        if not len(used):
+            continue
+        used = used[np.argsort(at[used], kind="stable")]
+        name = at[used]
+        starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        ones = np.add.reduceat(np.unpackbits(h[used].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int64)
+        sizes = np.diff(np.r_[starts, len(used)])
+        value = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+        keys.append(mixed(value, 1 + 2 * classes) ^ mixed(name[starts], 2 + 2 * classes))
+    return np.concatenate(keys).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """(doc_id, fp binary, row_key long) of every row; row_key tells rows of one id apart by their text.
+    """(doc_id, row_key long, fp binary) of every row; row_key tells rows of one id apart by their text.
 
-    With ``sets``, each shingle counts once and the hash of the set is a further column ``set``.
+    With ``sets``, each shingle counts once, and the hash of the set, its size
+    and the keys of its blocks are further columns set, n and keys.
     """
     from xxhash import xxh3_128_digest
 
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if sets:
                 found = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)) for t in batch.column(2)]
-                columns = [[fingerprint_of(h, bits) for h in found], [xxh3_128_digest(h.tobytes()) for h in found]]
+                columns = [
+                    pa.array([fingerprint_of(h, bits) for h in found], pa.binary()),
+                    pa.array([xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
+                    pa.array([len(h) for h in found], pa.int64()),
+                    pa.array([class_blocks(h) for h in found], pa.list_(pa.int64())),
+                ]
             else:
-                columns = [[fingerprint(words_of(t.as_py()), shingle, bits) for t in batch.column(2)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "row_key", *names])
+                columns = [pa.array([fingerprint(words_of(t.as_py()), shingle, bits) for t in batch.column(2)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_key", *kinds])
 
-    names = ["fp", "set"] if sets else ["fp"]
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], field("row_key", T.LongType()), *(field(n, T.BinaryType()) for n in names)]))
+    kinds = {"fp": T.BinaryType()} | ({"set": T.BinaryType(), "n": T.LongType(), "keys": T.ArrayType(T.LongType())} if sets else {})
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], field("row_key", T.LongType()), *(field(n, k) for n, k in kinds.items())]))
 
 
 # blocks ---------------------------------------------------------------------
@@ -122,32 +160,46 @@ def pigeonhole_blocks(bits: int, max_distance: int, pieces: int) -> list[list[in
     return [[b for p in chosen for b in range(cut[p], cut[p + 1])] for chosen in combinations(range(pieces), pieces - max_distance)]
 
 
-def sampled_blocks(bits: int, max_distance: int, width: int, recall: float = 0.99, seed: int = 7, count: int | None = None) -> list[list[int]]:
-    """Enough blocks of ``width`` bits, each from a pass of a permutation, to find a pair at ``max_distance`` with probability ``recall``.
+def _bits(column, bits: int) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), bits // 8), axis=1)
 
-    For distances too wide for whole pieces; closer pairs are found more surely.
-    ``count`` names the number of blocks instead.
-    """
-    hit = (1 - max_distance / bits) ** width
-    n = count or math.ceil(math.log(1 - recall) / math.log(1 - hit))
-    rng, blocks = random.Random(seed), []
-    while len(blocks) < n:
-        order = rng.sample(range(bits), bits)
-        blocks += [order[k : k + width] for k in range(0, bits - width + 1, width)]
-    return blocks[:n]
+
+def _number(ones: np.ndarray) -> np.ndarray:
+    """Columns of bits (63 at most) as a number."""
+    return ones.astype(np.int64) @ (np.int64(1) << np.arange(ones.shape[1], dtype=np.int64))
 
 
 def _keyed(blocks: list[list[int]], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_pylist()
-            if not fps:
+            if not batch.num_rows:
                 continue
-            ones = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), bits // 8), axis=1)
-            column = pa.array(fps, pa.binary())
+            ones = _bits(batch.column(0), bits)
             for k, block in enumerate(blocks):
-                key = ones[:, block].astype(np.int64) @ (np.int64(1) << np.arange(len(block), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(k << 48)), column], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(_number(ones[:, block]) | np.int64(k << 48)), batch.column(0)], names=["key", "fp"])
+
+    return run
+
+
+def _keyed_within(blocks: list[list[int]], bits: int, max_distance: int, pieces: int):
+    """Keys inside a block: the pigeonhole blocks of the bits that it leaves, each under a hash of both keys.
+
+    A collision of hashes adds candidates, whose distance is verified like any.
+    """
+    inner = [[sorted(set(range(bits)) - set(block))[b] for b in part] for block in blocks for part in pigeonhole_blocks(bits - len(block), max_distance, pieces)]
+    each = len(inner) // len(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outer = batch.column(0).to_numpy()
+            for k in np.unique(outer >> 48):
+                rows = np.flatnonzero(outer >> 48 == k)
+                fps = batch.column(1).take(pa.array(rows))
+                ones, key = _bits(fps, bits), outer[rows].astype(np.uint64)
+                for j in range(each):
+                    own = _number(ones[:, inner[int(k) * each + j]]).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array((mixed(key, 2 * j + 1) ^ mixed(own, 2 * j + 2)).view(np.int64)), fps], names=["key", "fp"])
 
     return run
 
@@ -224,11 +276,37 @@ def _linked(most: int, bits: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, blocks: list[list[int]], max_distance: int, bits: int = 64) -> DataFrame:
-    """Links (a, b) of the fingerprints ``fp`` that chains of close pairs join, from the join on ``blocks``."""
-    keyed = distinct.select("fp").mapInArrow(_keyed(blocks, bits), T.StructType([field("key", T.LongType()), field("fp", T.BinaryType())]))
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_linked(max_distance, bits), _EDGES)
+def dealt(keyed: DataFrame, most: int) -> DataFrame:
+    """``keyed`` (key, fp) with keys of so many rows split into pairs of parts, each pair under a key of its own.
+
+    Every two fingerprints of a key meet in the pair of their parts.
+    """
+    hot = hot_keys(keyed.groupBy("key").agg(F.count("*").alias("rows")), most)
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    placed = keyed.join(F.broadcast(hot), "key", "left")  # bounded by hot_keys
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != part))
+    paired = placed.withColumn("part", part).withColumn("other", F.explode(others))
+    return paired.select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"), "fp")
+
+
+def block_links(keyed: DataFrame, max_distance: int, bits: int, most: int = 4096) -> DataFrame:
+    """Links (a, b) of the fingerprints that chains of close pairs join inside the blocks of ``keyed`` (key, fp)."""
+    return dealt(keyed, most).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(max_distance, bits), _EDGES)
+
+
+def fingerprint_links(distinct: DataFrame, max_distance: int, pieces: int, bits: int = 64, most: int = 4096) -> DataFrame:
+    """Links (a, b) of the fingerprints ``fp`` that chains of close pairs join: none is missed.
+
+    Blocks of more than ``most`` fingerprints are split by pigeonhole blocks of their other bits.
+    """
+    blocks = pigeonhole_blocks(bits, max_distance, pieces)
+    keyed = distinct.select("fp").mapInArrow(_keyed(blocks, bits), _KEYED)
+    hot = materialise(hot_keys(keyed.groupBy("key").agg(F.count("*").alias("rows")), most).select("key"))
+    if hot.isEmpty():
+        return block_links(keyed, max_distance, bits, most)
+    flat = keyed.join(F.broadcast(hot), "key", "left_anti")  # bounded by hot_keys
+    deep = keyed.join(F.broadcast(hot), "key", "left_semi").select("key", "fp").mapInArrow(_keyed_within(blocks, bits, max_distance, pieces), _KEYED)
+    return block_links(flat.select("key", "fp").unionByName(deep), max_distance, bits, most)
 
 
 # sets -----------------------------------------------------------------------
@@ -270,7 +348,7 @@ def _set_rows(shingle: int):
     names = ["component", "set", "block", "blocks", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             hashes = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)).tobytes() for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(hashes, pa.binary())], names=names)
 
@@ -288,13 +366,13 @@ def _similar(similarity: float):
 
 
 def set_links(docs: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int, similarity: float, block: int = SET_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) of the sets of ``nodes`` (set, fp, rep) that exact similarity joins, inside the ``parts`` of their fingerprints.
+    """Links (a, b) of the sets of ``nodes`` (set, n, fp, rep) that exact similarity joins, inside the ``parts`` of their fingerprints.
 
     Only texts of parts with more than one set are shingled again, one for each set.
     """
-    placed = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = nodes.select("set", "n", "fp", "rep").join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("shingles") / SET_SHINGLES)).cast("int")
     members = materialise(placed.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     same = F.col("id").eqNullSafe(F.col("rep.doc_id")) & (F.col("key") == F.col("rep.row_key"))
@@ -310,8 +388,8 @@ def set_links(docs: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int,
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
-    bits: int = 512,
-    max_distance: int = 128,
+    bits: int = CANDIDATE_BITS,
+    max_distance: int = CANDIDATE_DISTANCE,
     pieces: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -323,8 +401,8 @@ def near_duplicates(
     ``pieces``, fingerprints of at most ``max_distance`` differing bits are
     linked; whole pigeonhole pieces are used and no link is missed.  Without,
     texts are linked whose sets of shingles have a Jaccard similarity of at
-    least ``similarity``: a wide distance and sampled blocks that do not depend on
-    the input name candidates (see SAMPLED_BLOCKS for what they miss), and the
+    least ``similarity`` (0.8 or more): blocks by classes of shingles and
+    ``max_distance`` name candidates (see CLASSES for what they miss), and the
     sets decide.  Each shingle then counts once in a fingerprint.
 
     Null and empty texts have the fingerprint zero and are linked like others.
@@ -332,19 +410,23 @@ def near_duplicates(
     Repeated rows come out as often as they went in; an empty table gives none.
     Other columns are not read.
     """
+    if not pieces and similarity < 0.8:
+        raise ValueError("classes of shingles find similarities of 0.8 or more")
     rows = materialise(fingerprints(docs, shingle, bits, id_col, text_col, sets=not pieces))
     node = "fp" if pieces else "set"
-    nodes = rows.groupBy(node).agg(F.min("doc_id").alias("least"), *([] if pieces else [F.min("fp").alias("fp"), F.min(F.struct("doc_id", "row_key")).alias("rep")]))
-    nodes = materialise(nodes)
-    blocks = pigeonhole_blocks(bits, max_distance, pieces) if pieces else sampled_blocks(bits, max_distance, SAMPLED_WIDTH, count=SAMPLED_BLOCKS)
-    distinct = nodes if pieces else nodes.select("fp").distinct()
-    parts = connected_components(materialise(fingerprint_links(distinct, blocks, max_distance, bits)))
-    if not pieces:
+    if pieces:
+        nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        parts = connected_components(materialise(fingerprint_links(nodes, max_distance, pieces, bits)))
+    else:
+        firsts = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("rep")]
+        nodes = materialise(rows.groupBy("set").agg(*firsts, *(F.first(c).alias(c) for c in ("fp", "n", "keys"))))  # one value for each set
+        keyed = nodes.select(F.explode("keys").alias("key"), "fp")
+        parts = connected_components(materialise(block_links(keyed, max_distance, bits)))
         parts = connected_components(materialise(set_links(docs, nodes, parts, shingle, similarity, id_col=id_col, text_col=text_col)))
     labelled = nodes.join(parts.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
     named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = materialise(labelled.join(named, "component").select(node, "component_id"))
-    return rows.join(of_node, node).select("doc_id", "row_key", "fp", "component_id")
+    return rows.select("doc_id", "row_key", *dict.fromkeys(["fp", node])).join(of_node, node).select("doc_id", "row_key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,6 +450,8 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     texts = wrapped(docs, id=id_col, text=text_col).select("row", "id", F.xxhash64("text").alias("row_key"))
     same = F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("row_key") == F.col("drop_key"))
     kept = texts.join(dropped.hint("shuffle_hash"), same, "left_anti")
-    # one of the rows that agree in id and text
-    again = texts.join(dropped.where("stays").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["id", "row_key"])
-    return kept.unionByName(again).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    out = [kept.select("row")]
+    repeated = dropped.where("stays")
+    if not repeated.isEmpty():  # one of the rows that agree in id and text
+        out.append(texts.join(repeated.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["id", "row_key"]).select("row"))
+    return reduce(DataFrame.unionByName, out).select(*(F.col("row")[c].alias(c) for c in docs.columns))
