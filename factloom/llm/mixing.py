@@ -10,18 +10,34 @@ permutation of blocks and of the documents in each block.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, wrapped
 
 GRID = 1024
+#: Sources up to this number are broadcast (about 100 bytes each); more are joined by key.
+MOST_BROADCAST = 100_000
 
 
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _entropies(by_source: DataFrame, top: float, points: list[int], budget: int | None) -> dict[int, tuple[float, float]]:
+    """For grid points k: (entropy of the weights at k / GRID, sum of the powers of shares to the largest).
+
+    Sources are summed where they are; a row for each of ``points`` reaches the driver.
+    """
+    r, a = F.col("tokens") / F.lit(top), F.col("k") / float(GRID)
+    each = by_source.where("tokens > 0").select(r.alias("r"), F.explode(F.array(*map(F.lit, points))).alias("k")).withColumn("w", F.pow("r", a))
+    sums = each.groupBy("k").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.ln("r")).alias("zl"))
+    # -sum w ln w = ln Z - a * sum w ln(p / top)
+    return {x["k"]: (x["e"], x["z"]) for x in sums.select("k", "z", (F.ln("z") - a * F.col("zl") / F.col("z")).alias("e")).collect()}
+
+
 def temperature_plan(by_source: DataFrame, target_entropy: float = 0.95, max_repeat: float = 2.0, budget: int | None = None) -> DataFrame:
     """(source, tokens, exponent, weight, repeats, quota) from (source, tokens).
 
@@ -30,52 +46,44 @@ def temperature_plan(by_source: DataFrame, target_entropy: float = 0.95, max_rep
     quotas are the weights times ``budget`` tokens.  Sources without tokens have
     weight 0 and are taken once.  One source alone keeps the exponent 1.
 
-    All shares stand in one row, so that a bisection is one expression; sources
-    are names of corpora, and their number does not grow with the documents.
+    Each round of the bisection tries 31 points between the two that enclose the
+    turn, so that the grid takes two rounds; ``by_source`` may have any number of
+    rows and is read once a round.
     """
-    row = by_source.where("tokens > 0").agg(F.collect_list(F.col("tokens").cast("double")).alias("t"))
-    row = row.select("t", F.aggregate("t", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max("t").alias("top"), F.array_min("t").alias("low"))
-
-    def power_sum(a: Column) -> Column:
-        return F.aggregate("t", F.lit(0.0), lambda s, x: s + F.pow(x / F.col("top"), a))
-
-    def entropy(a: Column) -> Column:
-        # -sum w ln w = ln Z - a * sum w ln(p / top)
-        z = power_sum(a)
-        return F.ln(z) - a * F.aggregate("t", F.lit(0.0), lambda s, x: s + F.pow(x / F.col("top"), a) * F.ln(x / F.col("top"))) / z
-
-    def repeat(a: Column) -> Column:
-        if budget is None:
-            return F.pow(F.col("low") / F.col("top"), a - 1)
-        return F.pow(F.col("low") / F.col("top"), a) / power_sum(a) * F.lit(float(budget)) / F.col("low")
-
-    steps = F.sequence(F.lit(1), F.lit(GRID.bit_length()))
-
-    def bisect(lowest, good) -> Column:
-        """The grid point where ``good`` turns; good(lo) holds, good(hi) may not."""
-        start = F.struct(F.lit(lowest).alias("lo"), F.lit(GRID - lowest).alias("hi"))
-
-        def step(s, _):
-            mid = ((s["lo"] + s["hi"]) / 2).cast("int")
-            ok = good(mid / F.lit(float(GRID)))
-            return F.struct(F.when(ok, mid).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(mid).alias("hi"))
-
-        return F.aggregate(steps, start, step)["lo"]
-
-    # entropy falls and repetition falls as the exponent rises
-    flat = bisect(0, lambda a: entropy(a) >= F.lit(target_entropy) * F.ln(F.size("t").cast("double")))
-    flat = F.when(entropy(F.lit(1.0)) >= F.lit(target_entropy) * F.ln(F.size("t").cast("double")), GRID).otherwise(flat)
-    safe = bisect(GRID, lambda a: repeat(a) <= F.lit(float(max_repeat)))
-    safe = F.when(repeat(F.lit(0.0)) <= F.lit(float(max_repeat)), 0).otherwise(safe)
-    chosen = row.withColumn("k", F.when(F.size("t") < 2, GRID).otherwise(F.greatest(flat, safe)))
-    chosen = chosen.select("t", "top", (F.col("k") / float(GRID)).alias("exponent"), "total").withColumn("z", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.pow(x / F.col("top"), F.col("exponent"))))
-    plan = by_source.crossJoin(F.broadcast(chosen.select("top", "exponent", "z")))  # one row
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("top"), F.col("exponent")) / F.col("z")).otherwise(0.0)
-    if budget is None:
-        times = F.pow(F.col("tokens") / F.col("top"), F.col("exponent") - 1)
-    else:
-        times = F.col("weight") * F.lit(float(budget)) / F.col("tokens")
-    out = plan.withColumn("weight", weight).withColumn("repeats", F.when(F.col("tokens") > 0, F.round(times, 6)).otherwise(1.0))
+    n, top, low = by_source.where("tokens > 0").agg(F.count("*"), F.max("tokens"), F.min("tokens")).first()
+    k, z = GRID, 1.0
+    if n:
+        known = _entropies(by_source, top, [0, GRID], budget)
+
+        def turn(lo: int, hi: int, good) -> int:
+            """Of two grid points, ``good`` at ``lo`` and not at ``hi`` (either way round), the last good one between them."""
+            while abs(hi - lo) > 1:
+                step = max(1, abs(hi - lo) // 32) * (1 if hi > lo else -1)
+                known.update(_entropies(by_source, top, [p for p in range(lo + step, hi, step) if p not in known] or [lo], budget))
+                for p in [*range(lo + step, hi, step), hi]:
+                    if p == hi or not good(p):
+                        hi = p
+                        break
+                    lo = p
+            return lo
+
+        def even(p: int) -> bool:
+            return known[p][0] >= target_entropy * math.log(n)
+
+        def rare(p: int) -> bool:
+            if budget is None:
+                return (low / top) ** (p / GRID - 1) <= max_repeat
+            return (low / top) ** (p / GRID) / known[p][1] * budget / low <= max_repeat
+
+        # entropy and repetition fall as the exponent rises
+        flat = GRID if even(GRID) else turn(0, GRID, even)
+        safe = 0 if rare(0) else turn(GRID, 0, rare)
+        k = GRID if n < 2 else max(flat, safe)
+        z = known[k][1] if k in known else _entropies(by_source, top, [k], budget)[k][1]
+    exponent, share = k / GRID, F.col("tokens") / F.lit(float(top or 1))
+    weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(exponent)) / F.lit(z)).otherwise(0.0)
+    times = F.pow(share, F.lit(exponent - 1)) if budget is None else F.col("weight") * F.lit(float(budget)) / F.col("tokens")
+    out = by_source.withColumn("exponent", F.lit(exponent)).withColumn("weight", weight).withColumn("repeats", F.when(F.col("tokens") > 0, F.round(times, 6)).otherwise(1.0))
     return out.select("source", "tokens", "exponent", F.round("weight", 9).alias("weight"), "repeats", F.ceil(F.col("repeats") * F.col("tokens")).cast("long").alias("quota"))
 
 
@@ -107,33 +115,63 @@ def mix(
     are taken or left together and come out once, with n_rows of them; null ids
     are ids of their own.  An empty table gives empty results.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row_key"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), count_words(F.col(text_col)).alias("n_tokens")
-    )
-    rows = materialise(rows.groupBy("id", "row_key", "source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")))
-    plan = materialise(temperature_plan(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), target_entropy, max_repeat, budget))
-    one = rows.join(plan.select("source", "tokens", "repeats", "quota"), "source")
+    _, plan, ranked, sums = _ranked(docs, id_col, text_col, source_col, target_entropy, max_repeat, budget, block_tokens, seed)
+    taken = ranked.join(sums, ["source", "epoch", "block"]).where(TAKEN)
+    return plan, taken.select("id", "row_key", "source", "n_tokens", "n_rows", F.col("epoch").cast("long"), F.col("block_rank").cast("long"), F.col("row_rank").cast("long"))
+
+
+#: Whole epochs are taken, and of the last one what the quota holds.
+TAKEN = "epoch <= floor(repeats) or (epoch - 1) * tokens + before + up_to <= quota"
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row_key"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")]
+
+
+def _placed(rows: DataFrame, plan: DataFrame, block_tokens: int, seed: int) -> DataFrame:
+    """``rows`` (id, row_key, source) with their source's plan, a row for each epoch, and the block and order in it."""
+    named = plan.select("source", "tokens", "repeats", "quota")
+    out = rows.join(F.broadcast(named) if plan.count() <= MOST_BROADCAST else named, "source")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("long")
     block = F.pmod(F.conv(F.substring(_order(seed, "id", "row_key"), 1, 12), 16, 10).cast("long"), blocks)
-    one = one.withColumn("block", block)
-    copies = one.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil("repeats").cast("int")))))
-    sums = copies.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("tokens_in"))
+    out = out.withColumn("block", block).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil("repeats").cast("int")))))
+    return out.withColumn("row_order", _order(seed, "epoch", "id", "row_key"))
+
+
+def _ranked(docs: DataFrame, id_col: str, text_col: str, source_col: str, target_entropy: float, max_repeat: float, budget: int | None, block_tokens: int, seed: int):
+    rows = docs.select(*_keys(docs, id_col, text_col, source_col), count_words(F.col(text_col)).alias("n_tokens"))
+    rows = materialise(rows.groupBy("id", "row_key", "source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")))
+    by_source = materialise(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    plan = materialise(temperature_plan(by_source, target_entropy, max_repeat, budget))
+    copies = _placed(rows, plan, block_tokens, seed)
     across = "partition by source, epoch order by block_order, block"
-    sums = sums.withColumn("block_order", _order(seed, "epoch", "source", "block"))
-    sums = sums.selectExpr("source", "epoch", "block", f"row_number() over ({across}) - 1 as block_rank", f"sum(tokens_in) over ({across} rows between unbounded preceding and current row) - tokens_in as before")
+    sums = copies.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("tokens_in")).withColumn("block_order", _order(seed, "epoch", "source", "block"))
+    sums = sums.selectExpr("source", "epoch", "block", "block_order", f"row_number() over ({across}) - 1 as block_rank", f"sum(tokens_in) over ({across} rows between unbounded preceding and current row) - tokens_in as before")
     inside = "partition by source, epoch, block order by row_order, id, row_key"
-    ranked = copies.withColumn("row_order", _order(seed, "epoch", "id", "row_key"))
-    ranked = ranked.selectExpr("*", f"row_number() over ({inside}) - 1 as row_rank", f"sum(n_tokens) over ({inside} rows between unbounded preceding and current row) as up_to")
-    taken = ranked.join(sums, ["source", "epoch", "block"]).where("epoch <= floor(repeats) or (epoch - 1) * tokens + before + up_to <= quota")
-    return plan, taken.select("id", "row_key", "source", "n_tokens", "n_rows", F.col("epoch").cast("long"), F.col("block_rank").cast("long"), F.col("row_rank").cast("long"))
+    ranked = copies.selectExpr("*", f"row_number() over ({inside}) - 1 as row_rank", f"sum(n_tokens) over ({inside} rows between unbounded preceding and current row) as up_to")
+    return rows, plan, ranked, sums
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as mix() takes it; all columns as they were."""
-    _, picks = mix(docs, id_col, text_col, source_col, **how)
-    times = materialise(picks.groupBy("id", "row_key", "source").agg(F.count("*").cast("int").alias("times")))
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float = 0.95, max_repeat: float = 2.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17
+) -> DataFrame:
+    """The rows of ``docs``, each as often as mix() takes it and in the order of its permutations; all columns as they were.
+
+    Epochs follow each other; in an epoch the blocks of all sources stand in the
+    order of their hashes, and in a block its rows in theirs.  What an epoch
+    takes is a beginning of that order, so that the last place taken tells of
+    each row whether it goes, and a text is shuffled once, to its place.
+    """
+    _, plan, ranked, sums = _ranked(docs, id_col, text_col, source_col, target_entropy, max_repeat, budget, block_tokens, seed)
+    # the last place that the quota holds in each source's last epoch; null where it holds none
+    place = F.struct("block_order", "block", "row_order", F.col("id").isNotNull().alias("has_id"), "id", "row_key")
+    last = ranked.where("epoch > floor(repeats)").join(sums, ["source", "epoch", "block"]).where(TAKEN).groupBy("source").agg(F.max(place).alias("last"))
+    ends = materialise(plan.join(last, "source", "left").select("source", "tokens", "repeats", "quota", "last"))
     rows = wrapped(docs, id=id_col, text=text_col, source=source_col)
-    keyed = rows.select("row", F.col("id").alias("own_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("own_source"))
-    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("row_key")) & (F.col("own_source") == F.col("source"))
-    joined = keyed.join(times.hint("shuffle_hash"), same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
-    return joined.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    keyed = rows.select("row", *_keys(rows, "id", "text", "source"))
+    copies = _placed(keyed, ends, block_tokens, seed).withColumn("block_order", _order(seed, "epoch", "source", "block"))
+    ends_at = ends.select(F.col("source").alias("_of"), "last")
+    copies = copies.join(F.broadcast(ends_at) if ends.count() <= MOST_BROADCAST else ends_at, F.col("source") == F.col("_of"))
+    taken = copies.where((F.col("epoch") <= F.floor("repeats")) | F.coalesce(place <= F.col("last"), F.lit(False)))
+    order = ["epoch", "block_order", "block", "row_order"]
+    return taken.select("row", *order).repartitionByRange(*order).sortWithinPartitions(*order).select(*(F.col("row")[c].alias(c) for c in docs.columns))
