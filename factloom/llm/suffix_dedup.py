@@ -13,11 +13,16 @@ windows of a document that follow each other in one bucket make a fragment.
    symbols are told apart by the order of the rows d symbols on, for d = 1, 2, 4
    and so on.  The successor of a row comes from the transform alone.  Each
    shard's rows are in order already, so a refinement merges sorted runs and no
-   suffix is sorted again.  Blocks of rows that agree in ``length`` symbols and
-   hold two starts are the repeated intervals.
+   suffix is sorted again.  Where neighbours part gives their common prefix, and
+   runs of rows with a common prefix of ``length`` that hold two starts are the
+   repeated intervals.
 4. A bucket with more distinct fragments than a group can hold (a passage in
-   very many contexts) is compared by two 64-bit hashes of each window instead,
-   in a shuffle that no hot bucket can overload.
+   very many contexts) is split by a longer context.  All its windows hold the
+   minimizer's gram, and equal windows hold it at the same place.  Windows with
+   the gram in their right half share more text before it, others more after it:
+   each half is a bucket by the text that its windows share, and is split again
+   while it is too large.  Fragments that become equal are one.
+
 """
 
 from __future__ import annotations
@@ -30,35 +35,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, field, materialise, worker_cache
+from .common import field, materialise, sliced, worker_cache
 
 GRAM = 32
 #: Windows of a fragment, and bytes of text that are hashed at once.
 MOST_WINDOWS = 1024
 CHUNK = 1 << 20
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
 
 
 # hashes and minimizers ------------------------------------------------------
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64, for i < n."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2 ** 64, for i < n."""
     cache = worker_cache()
-    held = cache.get(("powers", base))
+    held = cache.get("powers")
     if held is None or len(held[0]) < n:
         with np.errstate(over="ignore"):
-            held = tuple(np.cumprod(np.r_[np.uint64(1), np.full(max(n, CHUNK + 1) - 1, b, np.uint64)], dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
-        cache["powers", base] = held
+            held = tuple(np.cumprod(np.r_[np.uint64(1), np.full(max(n, CHUNK + 1) - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, pow(BASE, -1, 2**64)))
+        cache["powers"] = held
     return held[0][:n], held[1][:n]
 
 
-def rolling_hashes(data: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
+def rolling_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes from each place (where there are so many)."""
     n = len(data) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    power, inverse = _powers(base, len(data))
+    power, inverse = _powers(len(data))
     with np.errstate(over="ignore"):
         sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)
         h = sums[size - 1 :].copy()
@@ -126,7 +131,7 @@ def _find_fragments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [t.encode() if t else b"" for t in batch.column(2).to_pylist()]
             at = 0
             while at < len(raw):
@@ -189,37 +194,42 @@ def successors(bwt: np.ndarray) -> np.ndarray:
     return by
 
 
-def merged_blocks(bwts: list[np.ndarray], length: int) -> np.ndarray:
-    """For each row of each transform, the number of its block: rows with the same ``length`` first symbols share one."""
+def merged(bwts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common) of the merged rows of transforms: the rows in the order of their first ``length`` symbols, and
+    the common prefix of each row with the one before, as the last depth at which both were still alike (``length`` at most)."""
     offsets = np.cumsum([0, *(len(b) for b in bwts)])
     n = int(offsets[-1])
-    step = np.concatenate([successors(b) + o for b, o in zip(bwts, offsets)])
-    heads = [np.sort(b).astype(np.int64) for b in bwts]
-    ends = np.concatenate([h == 0 for h in heads])
-
-    def interleave(key: np.ndarray) -> np.ndarray:
+    kind = np.int32 if n < 1 << 31 else np.int64
+    step = np.concatenate([successors(b) + o for b, o in zip(bwts, offsets)]).astype(kind)
+    top = 1 << (length.bit_length() - 1)
+    common, hop, rest, depth = np.full(n, length, np.int32), None, length - top, 0
+    common[:1] = 0
+
+    def interleave(key: np.ndarray, deeper: int) -> np.ndarray:
+        """The number of each row's run of equal keys; runs that part here were alike to ``depth``."""
+        nonlocal order, depth
         order = np.argsort(key, kind="stable")  # sorted runs, one for each transform: a merge
-        placed = key[order]
-        block = np.empty(n, np.int64)
-        block[order] = np.cumsum(np.r_[0, placed[1:] != placed[:-1]])
+        parted = np.r_[False, key[order][1:] != key[order][:-1]]
+        common[parted & (common == length)] = depth
+        block = np.empty(n, kind)
+        block[order] = np.cumsum(parted)
+        depth = deeper
         return block
 
-    head = np.concatenate(heads) + n
-    head[ends] = np.arange(n)[ends]
-    block, d, steps = interleave(head), 1, {1: step}
-    while 2 * d <= length:
-        block = interleave(block * n + block[step])
+    order = np.arange(n)
+    head = np.concatenate([np.sort(b).astype(np.int64) for b in bwts]) + n
+    ends = np.flatnonzero(head == n)
+    head[ends] = ends
+    block, d = interleave(head, 1), 1
+    while d < top:
+        if rest & d:
+            hop = step if hop is None else step[hop]
+        block = interleave(block * np.int64(n) + block[step], 2 * d)
         step = step[step]
         d *= 2
-        steps[d] = step
-    rest = length - d
     if rest:
-        hop, left = np.arange(n), rest
-        for size in sorted(steps, reverse=True):
-            if left >= size:
-                hop, left = steps[size][hop], left - size
-        block = interleave(block * n + block[hop])
-    return block
+        interleave(block * np.int64(n) + block[hop], length)
+    return order, common
 
 
 def repeated_starts(texts: list[bytes], times: np.ndarray, length: int, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
@@ -244,10 +254,12 @@ def repeated_starts(texts: list[bytes], times: np.ndarray, length: int, shard_by
         of_text.append(owner[order])
         of_place.append(place[order])
     owner, place = np.concatenate(of_text), np.concatenate(of_place)
-    block = merged_blocks(bwts, length)
+    order, common = merged(bwts, length)
+    owner, place = owner[order], place[order]
+    run = np.cumsum(common < length) - 1  # of rows with a common prefix of length symbols
     whole = place + length <= np.array([len(t) for t in texts])[owner]
-    count = np.bincount(block[whole], times[owner[whole]], len(block))
-    hit = whole & (count[block] >= 2)
+    count = np.bincount(run[whole], times[owner[whole]], len(run))
+    hit = whole & (count[run] >= 2)
     owner, place = owner[hit], place[hit]
     by = np.lexsort((place, owner))
     return np.split(place[by], np.searchsorted(owner[by], np.arange(1, len(texts))))
@@ -279,33 +291,101 @@ def _cut_texts():
     """The fragments of a document that are wanted, as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 200):
             out = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
-                out += [(w["key"], w["f"], w["times"], w["hot"], raw[w["start"] : w["start"] + w["size"]]) for w in wanted]
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "f", "times", "hot", "text"])
+                out += [(w["key"], w["f"], w["times"], raw[w["start"] : w["start"] + w["size"]], None, None, None) for w in wanted]
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _PIECE_ARROW)], names=_PIECES.names)
 
     return run
 
 
-def _window_hashes(length: int):
+#: A fragment's text; of a split one, the gram's place and the least and most bytes of a window before it.
+_PIECES = T.StructType([field("key", T.LongType()), field("f", T.LongType()), field("times", T.LongType()), field("text", T.BinaryType()), field("at", T.IntegerType()), field("low", T.IntegerType()), field("high", T.IntegerType())])
+_PIECE_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+_HALVES = T.StructType([field("of_key", T.LongType()), field("of_f", T.LongType()), field("place", T.IntegerType()), *_PIECES.fields])
+
+
+def halves(key: int, text: bytes, at: int | None, low: int | None, high: int | None, length: int) -> list[tuple]:
+    """(place, key, f, text, at, low, high) of the parts that a fragment is split into; together they have its windows.
+
+    A part's windows begin ``low`` to ``high`` bytes before the gram at ``at``, so
+    that all hold the text that the new key stands for.  A fragment that was not
+    split yet is first taken apart by the gram that is the first in a window.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    windows, out = len(text) - length + 1, []
+    if at is None:
+        grams = np.flatnonzero(rolling_hashes(np.frombuffer(text, np.uint8), GRAM).view(np.int64) == key).tolist()
+        low, high = 0, length - GRAM
+    else:
+        grams = [at]
+    middle, begin = (low + high) // 2, 0
+    for gram in grams:
+        end = min(gram, windows - 1)  # the last window whose first gram this is
+        for a, b in ((middle + 1, high), (low, middle)):
+            first, last = max(begin, gram - b), min(end, gram - a)
+            if first <= last:
+                part = text[first : last + length]
+                name = xxh3_64_intdigest(text[gram - a : gram - b + length], a << 16 | b)
+                out.append((first, name, xxh3_64_intdigest(part, gram - first), part, gram - first, a, b))
+        begin = gram + 1
+    return out
+
+
+def _split(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, text in enumerate(batch.column(3).to_pylist()):
-                data = np.frombuffer(text, np.uint8)
-                h = [rolling_hashes(data, length, base).view(np.int64) for base in BASES]
-                row = pa.array(np.full(len(h[0]), k))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(3)), pa.array(np.arange(len(h[0]), dtype=np.int32)), *map(pa.array, h)], names=["key", "f", "times", "place", "w1", "w2"])
+        for batch in sliced(batches):
+            out = []
+            for key, f, times, text, at, low, high in zip(*(batch.column(c).to_pylist() for c in _PIECES.names)):
+                out += [(key, f, place, _signed(k), _signed(g), times, part, *rest) for place, k, g, part, *rest in halves(key, text, at, low, high, length)]
+            cols = list(zip(*out)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), *_PIECE_ARROW])], names=_HALVES.names)
 
     return run
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_MARKS = T.StructType([field("key", T.LongType()), field("f", T.LongType()), field("spans", _SPAN)])
+
+
+def bucket_marks(pieces: DataFrame, length: int, group_bytes: int, most_in_bucket: int) -> DataFrame:
+    """(key, f, spans): where windows of each of ``pieces`` (distinct fragments of buckets) stand that are repeated in their bucket.
+
+    Buckets of more than ``most_in_bucket`` fragments are split until none is as large.
+    """
+    sizes = pieces.groupBy("key").agg(F.count("*").alias("n"))
+    large = materialise(sizes.where(F.col("n") > most_in_bucket).select("key"))
+    some_large = not large.isEmpty()
+    fit = pieces.join(large.hint("merge"), "key", "left_anti") if some_large else pieces
+    total = fit.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-total // group_bytes))
+    out = fit.select("key", "f", "times", "text").withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInArrow(_merge_group(length), _MARKS)
+    if not some_large:
+        return out
+    parts = materialise(pieces.join(large.hint("merge"), "key", "left_semi").select(*_PIECES.names).mapInArrow(_split(length), _HALVES))
+    same = [F.first(c).alias(c) for c in ("text", "at", "low", "high")]  # one value for each key and f
+    distinct = materialise(parts.groupBy("key", "f").agg(F.sum("times").alias("times"), *same))
+    wanted = distinct.groupBy("key").agg(F.count("*").alias("texts"), F.min("times").alias("least")).where("texts > 1 and least = 1").select("key")
+    open_ = materialise(distinct.join(wanted.hint("merge"), "key", "left_semi").select(*_PIECES.names))
+    found = bucket_marks(open_, length, group_bytes, most_in_bucket).join(distinct.where("times = 1").select("key", "f").hint("merge"), ["key", "f"])
+    whole = distinct.where("times > 1").select("key", "f", F.array(F.struct(F.lit(0).alias("a"), F.length("text").alias("b"))).cast(_SPAN).alias("spans"))
+    marks = materialise(whole.unionByName(found.select(*_MARKS.names)).where(F.size("spans") > 0))
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("place")).alias("a"), (s["b"] + F.col("place")).alias("b")))
+    placed = parts.select("key", "f", "of_key", "of_f", "place").join(marks.hint("merge"), ["key", "f"])
+    back = placed.groupBy(F.col("of_key").alias("key"), F.col("of_f").alias("f")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    return out.unionByName(back.select("key", "f", F.col("spans").cast(_SPAN).alias("spans")))
+
+
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             spans, kept, sizes = [], [], []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = text.encode() if text else b""
@@ -336,8 +416,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
-    spark = docs.sparkSession
-    arrow_rows(spark, 1000)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     id_field = rows.schema[0]
@@ -348,25 +426,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rep = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row_key", "start", "windows"))
     distinct = materialise(some.groupBy("key", "f").agg(F.count("*").alias("times"), F.max("own").alias("own"), rep.alias("rep")))
     keys = distinct.groupBy("key").agg(F.count("*").alias("texts"), F.max("own").alias("any_own"), F.min("times").alias("least")).where("least = 1 and (texts > 1 or any_own)")
-    open_ = distinct.join(keys.select("key", (F.col("texts") > most_in_bucket).alias("hot")).hint("merge"), "key")
-    wanted = F.struct("key", "f", "times", "hot", F.col("rep.start").alias("start"), (F.col("rep.windows") + (length - 1)).alias("size"))
+    open_ = distinct.join(keys.select("key").hint("merge"), "key")
+    wanted = F.struct("key", "f", "times", F.col("rep.start").alias("start"), (F.col("rep.windows") + (length - 1)).alias("size"))
     by_doc = open_.groupBy(F.col("rep.id").alias("_id"), F.col("rep.row_key").alias("_key")).agg(F.collect_list(wanted).alias("wanted"))
     same = rows.id.eqNullSafe(F.col("_id")) & (rows.row_key == F.col("_key"))
     # rows that repeat would cut their fragments again
     texts = rows.join(by_doc.hint("shuffle_hash"), same).select("text", "wanted")
-    cut = T.StructType([field("key", T.LongType()), field("f", T.LongType()), field("times", T.LongType()), field("hot", T.BooleanType()), field("text", T.BinaryType())])
-    pieces = materialise(texts.mapInArrow(_cut_texts(), cut).dropDuplicates(["key", "f"]))
-    total = pieces.where("not hot").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    groups = max(1, -(-total // group_bytes))
-    spans = T.StructType([field("key", T.LongType()), field("f", T.LongType()), field("spans", _SPAN)])
-    merged = pieces.where("not hot").withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInArrow(_merge_group(length), spans)
-    windows = T.StructType([field("key", T.LongType()), field("f", T.LongType()), field("times", T.LongType()), field("place", T.IntegerType()), field("w1", T.LongType()), field("w2", T.LongType())])
-    hashed = pieces.where("hot").select("key", "f", "times", "text").mapInArrow(_window_hashes(length), windows)
-    twice = hashed.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2")
-    hot_span = F.struct(F.col("place").alias("a"), (F.col("place") + length).alias("b"))
-    hot = hashed.join(twice.hint("merge"), ["w1", "w2"]).groupBy("key", "f").agg(F.collect_list(hot_span).alias("spans"))
+    pieces = materialise(texts.mapInArrow(_cut_texts(), _PIECES).dropDuplicates(["key", "f"]))
+    merged_marks = bucket_marks(pieces, length, group_bytes, most_in_bucket)
     whole = distinct.where("times > 1").select("key", "f", F.array(F.struct(F.lit(0).alias("a"), (F.col("rep.windows") + (length - 1)).alias("b"))).cast(_SPAN).alias("spans"))
-    partly = merged.unionByName(hot.select("key", "f", F.col("spans").cast(_SPAN).alias("spans"))).join(distinct.where("times = 1").select("key", "f").hint("merge"), ["key", "f"])
+    partly = merged_marks.join(distinct.where("times = 1").select("key", "f").hint("merge"), ["key", "f"])
     marks = materialise(whole.unionByName(partly).where(F.size("spans") > 0))
     placed = some.select("key", "f", "id", "row_key", "start").join(marks.hint("merge"), ["key", "f"])
     ranges = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
