@@ -95,11 +95,6 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 4 <<
                 yield part
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def hot_keys(counts: DataFrame, most: int = 4096, keys: int = 100_000) -> DataFrame:
     """``counts`` (…, rows) of the keys with more rows than a part may hold, as (…, parts); at most ``keys`` of them.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, field, materialise, worker_cache, words_of
+from .common import field, materialise, sliced, worker_cache, words_of
 
 #: No word holds a space, so this token is the end of a text and nothing else.
 END = b" "
@@ -55,7 +55,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     seen: Counter[bytes] = Counter()
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batch.column(0):
             seen.update(words_of(text.as_py()))
             seen[END] += 1
@@ -101,7 +101,7 @@ def _count_pairs(shared):
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["pair", "n"])
 
         end = index.get(END, 0)
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 ids = np.fromiter((index.get(w, 0) for w in words), np.int64, len(words))
@@ -253,7 +253,7 @@ def _score(shared):
         end = index.get(END, 0)
         base, rare = np.r_[0.0, base], np.r_[0.0, rare]
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1):
                 words = words_of(text.as_py())
@@ -324,7 +324,6 @@ def score(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text
     words do, and the model is uniform over the classes.
     """
     counts, stats, shared = fitted
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     numbers = [field("row", T.LongType()), field("n_tokens", T.LongType()), field("n_known", T.LongType()), field("base", T.DoubleType()), field("score", T.DoubleType())]
     schema = T.StructType([rows.schema[0], *numbers, field("tail", T.ArrayType(T.BinaryType())), field("times", T.ArrayType(T.LongType()))])

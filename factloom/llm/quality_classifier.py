@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, field, materialise
+from .common import field, materialise, sliced
 from .lm_scoring import held_out
 
 #: Runs of letters, of digits, and of other characters that are no space.
@@ -30,8 +30,8 @@ TOKEN = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^\sa-z0-9\x80-\xff]+")
 #: A-Z first, then the other bytes of letters.
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 FLUSH = 200_000
-#: Entries of an index vector that are not zero.
-ONES = 4
+#: Entries of an index vector that are not zero; distinct tokens of a text whose vectors are held at once.
+ONES, POOLED = 4, 50_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -88,7 +88,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return batch
 
     seen: Counter[bytes] = Counter()
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batch.column(0):
             seen.update(tokens_of(text.as_py()))
             if len(seen) > FLUSH:
@@ -103,7 +103,7 @@ def _context_sums(shared, dims: int):
         size = len(index) + 1
         sums = np.zeros(size * dims)
         known = entries_of([*index], dims)
-        for batch in batches:
+        for batch in sliced(batches):
             # numbers beyond the vocabulary are the batch's other tokens, which are neighbours only
             local: dict[bytes, int] = {}
             ids = []
@@ -129,6 +129,21 @@ def _context_sums(shared, dims: int):
     return run
 
 
+def _added(size: int, dims: int):
+    """One row for each token of a partition: the sum of its vectors, which are read as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = np.zeros((size, dims)), np.zeros(size, bool)
+        for batch in sliced(batches, 4096):
+            tokens = batch.column(0).to_numpy()
+            np.add.at(sums, tokens, batch.column(1).flatten().to_numpy().reshape(len(tokens), dims))
+            seen[tokens] = True
+        rows = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(sums[rows].tolist(), pa.list_(pa.float64()))], names=["token", "sums"])
+
+    return run
+
+
 class WordVectors:
     """Unit vectors by token: context sums for the known ones, index vectors for others."""
 
@@ -150,14 +165,16 @@ class WordVectors:
         head = np.fromiter(map(itemgetter(0), counts), np.uint8, len(counts))
         letter, digit = (head >= 128) | (head >= 97) & (head <= 122), (head >= 48) & (head <= 57)
         weights = times / n
-        own = self.vectors[ids]
-        new = np.flatnonzero(ids == 0)
-        if len(new):
-            names = [*counts]
-            own[new] = index_vectors([names[k] for k in new], self.dims)
-        pooled = weights @ own
+        names, pooled, squares = [*counts], 0, 0
+        for at in range(0, len(ids), POOLED):
+            s = slice(at, at + POOLED)
+            own = self.vectors[ids[s]]
+            new = np.flatnonzero(ids[s] == 0)
+            if len(new):
+                own[new] = index_vectors([names[at + k] for k in new], self.dims)
+            pooled, squares = pooled + weights[s] @ own, squares + weights[s] @ own**2
         out[: self.dims] = pooled
-        out[self.dims : 2 * self.dims] = np.sqrt(weights @ own**2)
+        out[self.dims : 2 * self.dims] = np.sqrt(squares)
         raw = text.encode()
         letters = len(raw) - len(raw.translate(None, LETTERS))
         upper = len(raw) - len(raw.translate(None, LETTERS[:26]))
@@ -220,7 +237,7 @@ class Network:
 
 def _features_of(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = [shared.value.features(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), batch.column(1)], names=["x", "y"])
 
@@ -229,7 +246,7 @@ def _features_of(shared):
 
 def _score(vectors, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if model is None:
                 scores = np.full(batch.num_rows, 0.5)
             else:
@@ -249,11 +266,12 @@ def word_vectors(texts: DataFrame, vocabulary: int = 4096, dims: int = 64) -> Wo
     top = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "token").limit(vocabulary).collect()]
     index = {t: k + 1 for k, t in enumerate(top)}
     shared = texts.sparkSession.sparkContext.broadcast(index)
-    partial = texts.mapInArrow(_context_sums(shared, dims), T.StructType([field("token", T.IntegerType()), field("sums", T.ArrayType(T.DoubleType()))]))
-    by_place = partial.select("token", F.posexplode("sums")).groupBy("token", "pos").agg(F.sum("col").alias("v"))
+    schema = T.StructType([field("token", T.IntegerType()), field("sums", T.ArrayType(T.DoubleType()))])
+    partial = texts.mapInArrow(_context_sums(shared, dims), schema)
+    got = partial.repartition("token").mapInArrow(_added(len(index) + 1, dims), schema).collect()  # a row for each word of the vocabulary
     sums = np.zeros((len(index) + 1, dims))
-    got = by_place.toPandas()
-    sums[got["token"].to_numpy(int), got["pos"].to_numpy(int)] = got["v"]
+    for token, values in got:
+        sums[token] += values
     return WordVectors(index, sums)
 
 
@@ -261,16 +279,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(broadcast word vectors, network or None) from all texts and at most ``max_labelled`` labelled rows.
 
     The labelled rows taken are those with the smallest hash of the id, so that
-    the sample is the same at each run.  Without labels of both kinds there is
-    no network.
+    the sample is the same at each run.  An id with labels of both kinds is left
+    out; labels that repeat count once, other values of ``label_col`` and null
+    ids not at all.  Without labels of both kinds there is no network.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     vectors = spark.sparkContext.broadcast(word_vectors(texts, vocabulary, dims))
-    chosen = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_id"])
-    chosen = materialise(chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled))
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col(text_col).cast("string").alias("text"), "_y")  # at most max_labelled rows
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    clear = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
+    chosen = materialise(clear.orderBy(F.xxhash64("id"), "id").limit(max_labelled))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y")  # at most max_labelled rows
     table = rows.mapInArrow(_features_of(vectors), T.StructType([field("x", T.ArrayType(T.FloatType())), field("y", T.IntegerType())])).toPandas()
     if table["y"].nunique() < 2:
         return vectors, None
@@ -286,7 +305,6 @@ def classify(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "t
     every score is 0.5.  Null and repeated ids come out as they went in, an empty
     table gives no row, and no other column is read.
     """
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_score(*fitted), T.StructType([rows.schema[0], field("score", T.DoubleType())]))
 
