@@ -19,7 +19,7 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.trim(line, F.lit(SPACE)))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, part_rows: int) -> DataFrame:
     """(row, total, dropped, kept) of each row; a text is shuffled once, in its row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = wrapped(docs, id=id_col, text=text_col).withColumn("text", text).withColumn("row_key", F.xxhash64("text"))
@@ -29,7 +29,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_doc
     counted = hashed.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last"), F.count("*").alias("rows"))
     common = materialise(counted.where(F.col("n") >= min_docs).select("h1", "h2", "last", "rows"))
     # lines of a hot key meet their key in parts, of which each has a copy of the key
-    hot = F.broadcast(hot_keys(common.select("h1", "h2", "rows")))  # bounded by hot_keys
+    hot = F.broadcast(hot_keys(common.select("h1", "h2", "rows"), part_rows))  # bounded by hot_keys
     salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "row_key", "pos"), F.col("parts"))).cast("int")
     left = hashed.join(hot, ["h1", "h2"], "left").withColumn("part", salt).drop("parts")
     right = common.drop("rows").join(hot, ["h1", "h2"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
@@ -45,7 +45,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_doc
     return out.select("row", F.size("parts").cast("long").alias("total"), dropped.cast("long").alias("dropped"), F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, part_rows: int = 4096) -> DataFrame:
     """``docs`` with _lines_total, _lines_dropped and _lines_kept; columns of those names are replaced.
 
     A key of at least ``min_chars`` code points that at least ``min_docs``
@@ -55,12 +55,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and lose nothing.  Rows of one doc_id with different texts are each judged by
     their own lines.  An empty table gives no row; all columns pass through.
     """
-    out = _judged(docs, id_col, text_col, min_chars, min_docs)
+    out = _judged(docs, id_col, text_col, min_chars, min_docs, part_rows)
     own = {"_lines_total": "total", "_lines_dropped": "dropped", "_lines_kept": "kept"}
     return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *(F.col(v).alias(k) for k, v in own.items()))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, part_rows: int = 4096) -> DataFrame:
     """``docs`` with the kept lines as the text; a null text becomes empty."""
-    out = _judged(docs, id_col, text_col, min_chars, min_docs)
+    out = _judged(docs, id_col, text_col, min_chars, min_docs, part_rows)
     return out.select(*((F.col("kept") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

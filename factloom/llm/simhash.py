@@ -394,6 +394,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     similarity: float = 0.8,
+    most: int = 4096,
 ) -> DataFrame:
     """(doc_id, row_key, fp, component_id) of each row of ``docs``.
 
@@ -403,7 +404,8 @@ def near_duplicates(
     texts are linked whose sets of shingles have a Jaccard similarity of at
     least ``similarity`` (0.8 or more): blocks by classes of shingles and
     ``max_distance`` name candidates (see CLASSES for what they miss), and the
-    sets decide.  Each shingle then counts once in a fingerprint.
+    sets decide.  Each shingle then counts once in a fingerprint.  Blocks of more
+    than ``most`` fingerprints are split.
 
     Null and empty texts have the fingerprint zero and are linked like others.
     A null doc_id never names a component (null where no other id is there).
@@ -416,12 +418,12 @@ def near_duplicates(
     node = "fp" if pieces else "set"
     if pieces:
         nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        parts = connected_components(materialise(fingerprint_links(nodes, max_distance, pieces, bits)))
+        parts = connected_components(materialise(fingerprint_links(nodes, max_distance, pieces, bits, most)))
     else:
         firsts = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("rep")]
         nodes = materialise(rows.groupBy("set").agg(*firsts, *(F.first(c).alias(c) for c in ("fp", "n", "keys"))))  # one value for each set
         keyed = nodes.select(F.explode("keys").alias("key"), "fp")
-        parts = connected_components(materialise(block_links(keyed, max_distance, bits)))
+        parts = connected_components(materialise(block_links(keyed, max_distance, bits, most)))
         parts = connected_components(materialise(set_links(docs, nodes, parts, shingle, similarity, id_col=id_col, text_col=text_col)))
     labelled = nodes.join(parts.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
     named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))

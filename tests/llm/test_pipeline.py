@@ -7,7 +7,6 @@ from collections import Counter
 
 import pytest
 from tokenizers import Tokenizer
-from xxhash import xxh64_intdigest
 
 import __spark_entry__
 import corpus_pipeline
@@ -15,7 +14,6 @@ from factloom.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-MASK = 2**64 - 1
 
 
 def corpus():
@@ -47,23 +45,13 @@ def keeps(t):
     return len(w) >= 50 and 100 * len(hit) <= 50 * len(w) and 10 * symbols <= len(w)
 
 
-def mixed(h, k):
-    if not k:
-        return h
-    z = (h + 0x9E3779B97F4A7C15 * k) & MASK
-    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & MASK
-    return z ^ (z >> 31)
+def shingles(t, size=5):
+    w = words_of((t or "").lower())
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def fingerprint(t, size=5, parts=8):
-    w = words_of((t or "").lower())
-    hs = [xxh64_intdigest(" ".join(w[i : i + size]).encode(), 42) for i in range(max(1, len(w) - size + 1))] if w else []
-    out = 0
-    for k in range(parts):
-        for b in range(64):
-            out = out << 1 | (2 * sum(mixed(h, k) >> (63 - b) & 1 for h in hs) > len(hs))
-    return out
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
 
 
 def without_lines(rows):
@@ -78,7 +66,7 @@ def without_lines(rows):
 
 def one_of_each(rows):
     """Which rows may stay: a set for each group of linked texts."""
-    fps = [fingerprint(r[1]) for r in rows]
+    sets = [shingles(r[1]) for r in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -88,7 +76,7 @@ def one_of_each(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 90:
+            if similar(sets[i], sets[j]):
                 root[find(i)] = find(j)
     groups = {}
     for i, r in enumerate(rows):
@@ -150,11 +138,6 @@ def test_near_duplicates_by_exact_similarity(spark):
     loop = "all of it again and " * 60
     rows += [(900, loop + " ".join(word() for _ in range(40))), (901, loop + " ".join(word() for _ in range(40)))]
 
-    def shingles(text):
-        w = text.split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-    similar = lambda a, b: len(a & b) / len(a | b) >= 0.8
     found = corpus_pipeline.simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: r.component_id for r in found.collect()}
     texts = dict(rows)
@@ -173,7 +156,7 @@ def test_similar_links_in_parts(spark):
     assert len(a) == len(b) == 11 and {*a, *b} == {*range(12)}  # a chain, each with its neighbours only
     assert simhash.similar_links(sets, 0.83) == ([], [])
     docs = spark.createDataFrame([(k, " ".join(f"w{n}" for n in range(k * 4, k * 4 + 44))) for k in range(12)], "doc_id long, text string")
-    nodes = simhash.fingerprints(docs, 5, 512, sets=True).selectExpr("set", "fp", "struct(doc_id, row_key) as rep")
+    nodes = simhash.fingerprints(docs, 5, 128, sets=True).selectExpr("set", "n", "fp", "struct(doc_id, row_key) as rep")
     parts = nodes.selectExpr("fp as node", "(select min(X'00')) as component")
     links = simhash.set_links(docs, nodes, parts, 5, 0.8, block=3).collect()
     near = {r["set"]: r.rep.doc_id for r in nodes.collect()}
