@@ -1,4 +1,4 @@
-"""Commands over a tree's model or a Python tree: ``python -m factloom.cli COMMAND [options]``.
+"""Commands over a tree's model or a source tree: ``python -m factloom.cli COMMAND [options]``.
 
 Exit codes: 0 passed, 1 findings, 64 usage, 70 could not run.
 """
@@ -11,108 +11,76 @@ import os
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, owners
-from .plans import capability, census, checks, cycles, render, views
-from .sources import model_json, python_source, rules
+from .operators import graph
+from .plans import capability, census, checks, render, views
+from .plans.verify import FactSet, Verdict
+from .sources import model_json, rules, tree_facts
 
 OK, FOUND, USAGE, FAILED = 0, 1, 64, 70
 COMMANDS = ["scan", "verify", "report", "depgraph", "diagram", "inspect", "explain", "update", "spec", "capability", "doctor"]
 
 
-class Tree:
-    """Facts of a model file (.json), or of the Python tree under a directory."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        if path.endswith(".json"):
-            m = model_json.ModelFacts(spark, path)
-            self.language = m.model.select("language").first()[0] or "rust"
-            self.units, self.unit_edges, self.module_edges = m.units(), m.unit_edges(), m.module_edges()
-            self.modules, self.externals, self.roles, self.exports = m.modules(), m.module_external(), m.roles(), m.exports()
-        else:
-            files = python_source.read_tree(spark, os.path.abspath(path)).cache()
-            facts = python_source.parse(files).cache()
-            bad = facts.where("kind = 'error'").agg(F.min_by(F.concat("path", F.lit(": "), "target"), "path")).first()[0]
-            if bad:
-                raise RuntimeError(bad)
-            edges, external = python_source.resolve(facts, files)
-            self.language = "python"
-            as_path = lambda c: F.replace(F.regexp_replace(F.regexp_replace(c, r"\.py$", ""), r"/__init__$", ""), F.lit("/"), F.lit("::"))
-            unit = lambda c: F.substring_index(as_path(c), "::", 1)
-            self.modules = files.select(unit("path").alias("unit"), as_path("path").alias("path")).distinct()
-            self.units = self.modules.select(F.col("unit").alias("name"), F.lit("package").alias("kind"), F.col("unit").alias("path")).distinct()
-            self.module_edges = edges.select(unit("src").alias("unit"), as_path("src").alias("src"), as_path("dst").alias("dst"), "symbols", "type_only")
-            self.unit_edges = self.module_edges.select(F.col("unit").alias("src"), F.substring_index("dst", "::", 1).alias("dst")).where("src <> dst").distinct()
-            self.externals = external.select(as_path("path").alias("module"), "package")
-            self.roles = spark.createDataFrame([], "path string, role string")
-            self.exports = facts.where("kind = 'export'").select(unit("path").alias("owner"), F.col("name").alias("symbol"), F.lit("resolved").alias("status"))
-
-    def paths(self) -> DataFrame:
-        ends = self.module_edges.select(F.col("src").alias("path")).unionByName(self.module_edges.select(F.col("dst").alias("path")))
-        return ends.unionByName(self.modules.select("path")).distinct()
-
-
-class Verdict:
-    """Facts against rules."""
-
-    def __init__(self, tree: Tree, spec: rules.Spec, today: str):
-        spark, r = tree.spark, rules.Rules(tree.spark, spec)
-        self.spec, self.tree, self.rules = spec, tree, r
-        self.owned = owners.owners(tree.paths(), r.patterns("modules"))
-        units = tree.units.select(F.col("name").alias("value"))
-        mapped = owners.first_match(units, r.patterns("units")).where("idx is not null").select(F.col("value").alias("unit"), "name")
-        self.placed = owners.place_edges(tree.module_edges, self.owned, mapped, r.lineage())
-        own = mapped.select(F.col("unit").alias("u"), "name")
-        hard = tree.unit_edges.join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(True).alias("value"), F.lit(True).alias("fallback"))
-        both = owners.boundary_pairs(self.placed).unionByName(hard)
-        self.pairs = both.groupBy("src", "dst").agg(F.bool_or("value").alias("value"), F.bool_and("fallback").alias("fallback")).cache()
-        self.verdicts = checks.pair_verdicts(self.pairs, r.policies(), r.claims())
-        none = self.pairs.limit(0).select("src", "dst")
-        missing = checks.missing_edges(self.pairs, r.claims(), r.allowed(), r.lineage(), none, none, none)
-        hit = self.owned.select("name").unionByName(mapped.select("name")).distinct()
-        lost = r.patterns("modules", "units").select("name").distinct().join(hit, "name", "left_anti")
-        tests = spark.createDataFrame([], "path string")
-        parts = [
-            checks.edge_findings(self.verdicts),
-            checks.finding(missing, "missing edge", checks.arrow()),
-            checks.finding(lost, "missing component", F.col("name")),
-            checks.facade_dependencies(tree.module_edges, tree.roles, tests),
-            checks.dead_references(r.allowed(), r.claims()),
-        ]
-        parts += [checks.finding(owners.unowned_endpoints(self.placed), "warning", F.concat(F.lit("unowned: "), "path"), "warning")]
-        strict_rings = any(c["type"] == "no_cycles" for c in spec.constraints)
-        parts.append(checks.cycle_findings(cycles.claim_cycles(self.pairs), r.exempt(), today, "module", "error" if strict_rings else "warning"))
-        for c in spec.constraints:
-            if c["type"] == "forbid_external_crates":
-                parts.append(checks.forbidden_externals(tree.externals, c.get("from", []), c.get("forbid", [])))
-            elif c["type"] == "external_free":
-                parts.append(checks.external_free(tree.externals, c.get("from", [])))
-            elif c["type"] == "public_api_allowlist":
-                parts.append(checks.public_api(tree.exports, c.get("allowed", [])))
-            elif c["type"] == "forbid_submodule_dependency":
-                parts.append(checks.submodule_dependencies(tree.module_edges, c.get("parent", ""), c.get("from", []), c.get("forbid", [])))
-        self.findings = checks.findings(parts).cache()
-
-    def rows(self) -> list[tuple[str, str, str]]:
-        return [(r.category, r.severity, r.message) for r in self.findings.collect()]
-
-
-def seeded(tree: Tree) -> str:
+def facts_of(spark: SparkSession, path: str, language: str | None = None, spec: rules.Spec | None = None) -> tuple[FactSet, list[str]]:
+    """(facts, notices) of a model file (.json), or of the source tree under a directory."""
+    if path.endswith(".json"):
+        return model_json.ModelFacts(spark, path).fact_set(), []
+    excluded = rules.Rules(spark, spec).excluded() if spec and spec.excluded else None
+    facts, notices = tree_facts.scan(spark, path, language, excluded)
+    if excluded is not None:
+        from .sources import python_source, trees
+
+        dead = trees.dead_exclusions(python_source.read_tree(spark, os.path.abspath(path), tree_facts.PATTERN), excluded)
+        notices += [f"excluded source matches no file: {r.entry}" for r in dead.orderBy("entry").collect()]  # a row for each rule
+    return facts, notices
+
+
+def seeded(facts: FactSet) -> str:
     """K11 from facts: claims for units and top modules with what they use."""
-    units = {r.name: [] for r in tree.units.collect()}
-    for a, b in render.pairs(tree.unit_edges, "src", "dst"):
+    units = {r.name: [] for r in facts.units.collect()}
+    for a, b in render.pairs(facts.unit_edges, "src", "dst"):
         units.setdefault(a, []).append(b)
     modules: dict[str, list[str]] = {}
-    for a, b in render.pairs(tree.module_edges, "src", "dst"):
+    for a, b in render.pairs(facts.module_edges, "src", "dst"):
         top = ["::".join(x.split("::")[:2]) for x in (a, b)]
         for x in top:
             modules.setdefault(x, [])
         if top[0] != top[1] and top[1] not in modules[top[0]]:
             modules[top[0]].append(top[1])
-    return render.seed_spec(tree.language, units, {k: v for k, v in modules.items() if k not in units}, {})
+    gates: dict[str, list[str]] = {}
+    for unit, name, feature in render.pairs(facts.module_decls.where("feature is not null"), "unit", "name", "feature"):
+        gates.setdefault(feature, []).append(f"{unit}::{name}")
+    return render.seed_spec(facts.language, units, {k: v for k, v in modules.items() if k not in units}, gates)
+
+
+def violations(spark: SparkSession, facts: FactSet, args: argparse.Namespace) -> set[tuple[str, str]]:
+    """K6: claims' pairs that a rule document, if there is one, calls forbidden or disallowed."""
+    if not args.spec or not os.path.exists(args.spec):
+        return set()
+    verdict = Verdict(facts, rules.load_spec(Path(args.spec).read_text(encoding="utf-8")), args.today)
+    return {tuple(r) for r in verdict.verdicts.where("verdict is not null").select("src", "dst").collect()}
+
+
+def drawn(spark: SparkSession, facts: FactSet, args: argparse.Namespace) -> str:
+    """K4, K6, V1 to V7: the asked view as a graph; arrows that break a rule are marked."""
+    kind = args.view
+    if kind == "units":
+        view = views.units_view(facts.units, facts.unit_edges, facts.module_edges)
+    elif kind == "submodules":
+        view = views.submodules(facts.modules, facts.module_edges, args.parent)
+    elif kind == "deep":
+        view = views.deep_modules(facts.modules, facts.module_edges)
+    elif kind == "api":
+        return render.usage_markdown([(r.dst, r.src, list(r.symbols)) for r in views.api_usage(facts.module_edges).collect()])
+    else:
+        view = views.modules_view(facts.units, facts.unit_edges, facts.modules, facts.module_edges)
+    nodes, edges = [n for (n,) in render.pairs(view.nodes, "node")], render.pairs(view.edges, "src", "dst")
+    bad = violations(spark, facts, args)
+    draw = render.plantuml if args.format == "plantuml" else render.mermaid
+    notes = [n for n in (views.crowded_note(view), views.collision_note(view)) if n]
+    return "".join(f"%% {n}\n" if draw is render.mermaid else f"' {n}\n" for n in notes) + draw(nodes, [(a, b, "violation" if (a, b) in bad else "direct") for a, b in edges])
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, str]:
@@ -124,35 +92,49 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, str]:
         return OK, f"spark {spark.version}\npython {sys.version.split()[0]}\n"
     if args.command == "spec":
         return OK, json.dumps({k: sorted(v) for k, v in rules.KEYS.items()}, indent=2) + "\n"
-    tree = Tree(spark, args.path)
+    if args.command == "diagram":
+        draw = render.plantuml if args.format == "plantuml" else render.mermaid
+        return OK, draw(*render.spec_graph(rules.load_spec(Path(args.spec).read_text(encoding="utf-8"))))
+    judged = args.command in ("verify", "report", "explain")
+    spec = rules.load_spec(Path(args.spec).read_text(encoding="utf-8")) if judged else None
+    facts, notices = facts_of(spark, args.path, args.language or (spec.language if spec and spec.pinned else None), spec)
+    for n in notices:
+        print(f"note: {n}", file=sys.stderr)
     if args.command == "scan":
-        return OK, render.canonical_json(model_json.model_of(tree.language, tree.units, tree.unit_edges, tree.module_edges), True) + "\n"
+        return OK, render.canonical_json(model_json.model_of(facts), not args.compact) + "\n"
     if args.command == "update":
-        return OK, seeded(tree)
+        return OK, seeded(facts)
     if args.command == "depgraph":
-        view = views.modules_view(tree.units, tree.unit_edges, tree.modules, tree.module_edges)
-        nodes = [n for (n,) in render.pairs(view.nodes, "node")]
-        draw = render.plantuml if args.format == "plantuml" else render.mermaid
-        return OK, draw(nodes, [(a, b, "direct") for a, b in render.pairs(view.edges, "src", "dst")])
+        return OK, drawn(spark, facts, args)
     if args.command == "inspect":
         if args.clusters:
-            found = graph.clusters(views.soft_nodes(tree.modules, tree.module_edges), tree.module_edges)
-            return OK, "".join(f"{r.cluster}\t{r.node}\n" for r in found.orderBy("cluster", "node").collect())
-        return OK, render.tree([p for (p,) in render.pairs(tree.paths(), "path")])
-    spec = rules.load_spec(Path(args.spec).read_text(encoding="utf-8"))
-    if args.command == "diagram":
-        draw = render.plantuml if args.format == "plantuml" else render.mermaid
-        return OK, draw(*render.spec_graph(spec))
-    verdict = Verdict(tree, spec, args.today)
-    rows = verdict.rows()
+            nodes = views.soft_nodes(facts.modules, facts.module_edges)
+            found = graph.clusters(nodes, facts.module_edges)
+            outcome = graph.cluster_outcome(nodes, facts.module_edges, found).first().label
+            if outcome.startswith("skipped"):
+                return OK, f"clusters: {outcome}\n"
+            return OK, f"structure: {outcome}\n" + "".join(f"{r.node} -> {r.cluster}\n" for r in found.orderBy("node").collect())
+        paths = facts.modules.select("path").unionByName(facts.module_edges.select(F.explode(F.array("src", "dst")).alias("path"))).distinct()
+        return OK, render.tree([p for (p,) in render.pairs(paths, "path")])
+    verdict = Verdict(facts, spec, args.today)
     if args.command == "explain":
         told = capability.explain(verdict.placed, verdict.verdicts, verdict.findings, args.source, args.target)
         return OK, "".join(f"{r.part}: {r.text}\n" for r in told.collect())
+    rows = verdict.rows()
     if args.command == "report":
-        metrics = {r.metric: r.n for r in census.metrics(verdict.rules.claims(), tree.units, tree.unit_edges, tree.externals, verdict.findings).collect()}
-        roles = dict(render.pairs(tree.roles, "path", "role"))
-        return OK, render.report_json(tree.language, metrics, rows, roles) if args.format == "json" else render.report_markdown(tree.language, metrics, rows)
-    return (OK if checks.gate(verdict.findings, args.strict) else FOUND), render.findings_text(rows, args.strict)
+        metrics = {r.metric: r.n for r in census.metrics(verdict.rules.claims(), facts.units, facts.unit_edges, facts.externals, verdict.findings).collect()}
+        roles = dict(render.pairs(facts.roles, "path", "role"))
+        return OK, render.report_json(facts.language, metrics, rows, roles) if args.format == "json" else render.report_markdown(facts.language, metrics, rows)
+    debts = [(r.ring, r.tier) for r in verdict.debts().collect()] if args.write_exemptions or args.emit_repro else []
+    if args.write_exemptions:
+        text = render.exempt_entries(debts, [(e["cycle"], e["tier"]) for e in spec.exempt], "seeded")
+        with open(args.spec, "a", encoding="utf-8") as f:
+            f.write(text)
+        return OK, text or "no cycle to exempt\n"
+    out = render.findings_text(rows, args.strict) + "".join(f"{n}\n" for n in verdict.notes())
+    if args.emit_repro:
+        out += render.ring_reproduction([c.split(" -> ") for c, tier in debts if tier == "file"])
+    return (OK if checks.gate(verdict.findings, args.strict) else FOUND), out
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -160,13 +142,20 @@ def main(argv: list[str] | None = None) -> int:
 
     p = argparse.ArgumentParser(prog="factloom")
     p.add_argument("command", choices=COMMANDS)
-    p.add_argument("path", nargs="?", default=".", help="a model .json or a Python tree")
+    p.add_argument("path", nargs="?", default=".", help="a model .json or a source tree")
     p.add_argument("source", nargs="?")
     p.add_argument("target", nargs="?")
     p.add_argument("--spec", default="rules.toml")
-    p.add_argument("--format", choices=["mermaid", "plantuml", "json", "markdown"], default="mermaid")
-    p.add_argument("--strict", action="store_true")
+    p.add_argument("--config", help="the tool's own settings (TOML)")
+    p.add_argument("--language", choices=sorted(rules.LANGUAGES))
+    p.add_argument("--format", choices=["mermaid", "plantuml", "json", "markdown"])
+    p.add_argument("--view", choices=["modules", "units", "deep", "submodules", "api"], default="modules")
+    p.add_argument("--parent", default="", help="whose submodules are drawn")
+    p.add_argument("--strict", action="store_true", default=None)
+    p.add_argument("--compact", action="store_true")
     p.add_argument("--clusters", action="store_true")
+    p.add_argument("--write-exemptions", action="store_true", help="add every ring that breaks a rule to the document's exemptions")
+    p.add_argument("--emit-repro", action="store_true", help="print how to run each ring of files")
     p.add_argument("--today", default=datetime.now(UTC).date().isoformat())
     p.add_argument("--check", metavar="FILE", help="compare with a file instead of printing")
     try:
@@ -175,6 +164,13 @@ def main(argv: list[str] | None = None) -> int:
         return OK if e.code in (0, None) else USAGE
     spark = SparkSession.builder.appName("factloom").getOrCreate()
     try:
+        settings, warnings = rules.load_config(Path(args.config).read_text(encoding="utf-8")) if args.config else ({"output": {}, "report": {}}, [])
+        for w in warnings:
+            print(f"warning: {w}", file=sys.stderr)
+        part = settings["report" if args.command in ("report", "verify") else "output"]
+        args.format = args.format or part.get("format") or "mermaid"
+        args.strict = bool(part.get("strict")) if args.strict is None else args.strict
+        args.check = args.check or settings["output"].get("check")
         code, text = run(spark, args)
     except (rules.InvalidSpec, OSError, RuntimeError, ValueError) as e:
         print(e, file=sys.stderr)

@@ -65,24 +65,33 @@ def value_census(sites: DataFrame, sides: DataFrame, constants: DataFrame, unfun
 
 
 def literal_sites(candidates: DataFrame, sides: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sites (with their owner unit) of the candidates that a side names, and refused ones without an owner.
+    """Sites (with their owner unit) of the candidates that a side names, and refused ones without an owner."""
+    matched = matched_sides(candidates, sides).select("path", "language", "tag", "noun", "position", "value", "pattern").distinct()
+    found = matched.join(longest_prefix(matched, roots).select("path", F.col("name").alias("unit")), "path", "left")
+    return found.where("unit is not null"), found.where("unit is null").drop("unit")
+
+
+def matched_sides(candidates: DataFrame, sides: DataFrame) -> DataFrame:
+    """``candidates`` with pattern and side (its number), a row for each side that names one.
 
     A call matches by name and argument position, an exported property by name.
     """
-    s = F.broadcast(sides.select("pattern", F.col("noun").alias("_noun"), F.col("language").alias("_lang"), F.col("tag").alias("_tag"), F.col("position").alias("_pos")))
+    s = F.broadcast(sides.select("pattern", "side", F.col("noun").alias("_noun"), F.col("language").alias("_lang"), F.col("tag").alias("_tag"), F.col("position").alias("_pos")))  # as small as the rules
     same = (F.col("language") == F.col("_lang")) & (F.col("tag") == F.col("_tag")) & (F.col("noun") == F.col("_noun")) & ((F.col("tag") == "property") | F.col("position").eqNullSafe(F.col("_pos")))
-    matched = candidates.join(s, same).select("path", "language", "tag", "noun", "position", "value", "pattern").distinct()
-    found = matched.join(longest_prefix(matched, roots).select("path", F.col("name").alias("unit")), "path", "left")
-    return found.where("unit is not null"), found.where("unit is null").drop("unit")
+    return candidates.join(s, same).drop("_noun", "_lang", "_tag", "_pos")
 
 
-def paired_sites(sites: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Sites paired one to one with candidates of the same key, in order, to get back their noun."""
-    key = ["path", "language", "value"]
-    by = "row_number() over (partition by path, language, value order by {})"
-    a = sites.selectExpr("*", by.format("pattern") + " as rn")
-    b = candidates.selectExpr(*key, "noun as _noun", by.format("noun") + " as rn")
-    return a.join(b, [*key, "rn"], "left").drop("rn")
+def paired_sites(sites: DataFrame, candidates: DataFrame, sides: DataFrame) -> DataFrame:
+    """``sites`` with the noun of the pair of candidate and side that each takes, null where none is left.
+
+    Pairs are those that match; each goes to one site of its own pattern, path,
+    language, value and tag (call or property).  Sites take them in order (ord),
+    pairs are taken by their candidate's order (ord), then their side's.
+    """
+    key = ["pattern", "path", "language", "value", "tag"]
+    turn = "row_number() over (partition by pattern, path, language, value, tag order by {}) as _turn"
+    pairs = matched_sides(candidates, sides).selectExpr(*key, "noun", turn.format("ord, side"))
+    return sites.selectExpr("*", turn.format("ord")).join(pairs, [*key, "_turn"], "left").drop("_turn")
 
 
 def resolve_units(spelled: DataFrame, units: DataFrame, spellings: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Loops over joins work at any size.  Graphs whose edge count is checked to be at
 most LOCAL_EDGES take a shorter way: one bounded task that runs the sequential
-algorithm.  Both give the same result.
+algorithm.  Both give the same result.  Only the clustering is for bounded graphs
+by its own law, and says so in its outcome.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from .state import settle
 
 LOCAL_EDGES = 200_000
-#: Limits of the clustering, as the sequential merges need.
+#: Limits of the clustering and the words of its outcome. Fixed values.
 CLUSTER_NODES, CLUSTER_EDGES = 10_000, 130_000
+EMPTY, ONE_REGION, ALL_LONE = "empty", "none (single region)", "trivial (all singletons)"
 
 
 def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -143,19 +145,20 @@ def simple_ring(nodes: list[str], out: dict[str, list[str]]) -> list[str] | None
     return None
 
 
-def cluster_labels(nodes: list[str], pairs: list[tuple[str, str, int]]) -> dict[str, int]:
+def cluster_labels(nodes: list[str], pairs: list[tuple[str, str, int]]) -> dict[str, str]:
     """Greedy modularity in integers: merge the pair with the largest k * 2W - K_a * K_b while it is positive.
 
-    Ties take the smallest pair of names; a cluster is named by its smallest node.
+    An edge from a node to itself counts nowhere.  Ties take the smallest pair of
+    names; a cluster is named by its smallest node.
     """
     links: dict[str, dict[str, int]] = {n: {} for n in nodes}
     degree = dict.fromkeys(nodes, 0)
     total = 0
     for a, b, n in pairs:
-        degree[a] += n
-        degree[b] += n
-        total += n
         if a != b:
+            degree[a] += n
+            degree[b] += n
+            total += n
             links[a][b] = links[a].get(b, 0) + n
             links[b][a] = links[b].get(a, 0) + n
     member = {n: [n] for n in nodes}
@@ -175,7 +178,7 @@ def cluster_labels(nodes: list[str], pairs: list[tuple[str, str, int]]) -> dict[
             if c != a:
                 links[a][c] = links[a].get(c, 0) + k
                 links[c][a] = links[a][c]
-    return {n: k for k, c in enumerate(sorted(member)) for n in member[c]}
+    return {n: k for k, c in member.items() for n in c}
 
 
 # plans ----------------------------------------------------------------------
@@ -241,75 +244,134 @@ def _coloured_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return done.join(large, "colour").select("node", "component")
 
 
-def rings(edges: DataFrame, components: DataFrame, max_nodes: int = LOCAL_EDGES) -> DataFrame:
+def rings(edges: DataFrame, components: DataFrame, local_nodes: int = LOCAL_EDGES) -> DataFrame:
     """(component, ring): the representative cycle of each component, as an array that ends where it begins.
 
-    Only the smallest successor of each node is carried on, so that a component
-    is walked over as many rows as it has nodes.
+    Only the smallest successor of each node is carried on: one row a node.  A
+    component of at most ``local_nodes`` nodes is walked in a task of its own,
+    others by joins that double the steps of their walks.
     """
     a, b = components.toDF("src", "c"), components.toDF("dst", "c2")
-    nxt = edges.where("src <> dst").join(a, "src").join(b, "dst").where("c = c2").groupBy("c", "src").agg(F.min("dst").alias("dst"))
-    if components.count() > max_nodes:
-        raise ValueError(f"more than {max_nodes} nodes on cycles; walk components one by one")
+    nxt = settle(edges.where("src <> dst").join(a, "src").join(b, "dst").where("c = c2").groupBy("c", "src").agg(F.min("dst").alias("dst")))
+    large = settle(nxt.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > local_nodes).select("c"))
 
     def run(table: pa.Table) -> pa.Table:
         pairs = [*zip(table.column("src").to_pylist(), table.column("dst").to_pylist())]
         ring = ring_of([a for a, _ in pairs], pairs)
         return pa.table([pa.array([table.column("c")[0].as_py()]), pa.array([ring], pa.list_(pa.string()))], names=["component", "ring"])
 
-    return _locally(nxt, run, "component string, ring array<string>", "c")
+    out = _locally(nxt.join(large, "c", "left_anti").select("c", "src", "dst"), run, "component string, ring array<string>", "c")
+    return out if large.isEmpty() else out.unionByName(_walked_rings(nxt.join(large, "c", "left_semi")))
 
 
-def reach_levels(edges: DataFrame, start: str, max_rounds: int = 1000) -> DataFrame:
-    """(node, level, path): nodes reachable from ``start`` with the path that a breadth-first queue of sorted successors finds.
+def _walked_rings(nxt: DataFrame) -> DataFrame:
+    """rings() of successors (c, src, dst), by doubling.
+
+    After 2 ** k steps, more than there are nodes, each walk is on its ring; the
+    ring's nodes are those that another walk of so many steps, from the node
+    where the smallest node's walk stands, comes by; their order is the number
+    of steps to them.
+    """
+    hop = settle(nxt.select("c", "src", "dst"))
+    most = hop.groupBy("c").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    # far: where 2 ** k steps lead; seen: (start, node, steps) of the walk from each component's smallest node
+    start = hop.groupBy("c").agg(F.min("src").alias("node"))
+    seen, far, k = settle(start.withColumn("steps", F.lit(0).cast("long"))), hop, 0
+    while 1 << k <= 2 * most:
+        moved = seen.join(far.select("c", F.col("src").alias("node"), "dst"), ["c", "node"]).select("c", F.col("dst").alias("node"), (F.col("steps") + (1 << k)).alias("steps"))
+        seen = settle(seen.unionByName(moved))
+        far = settle(far.join(far.select("c", F.col("src").alias("dst"), F.col("dst").alias("to")), ["c", "dst"]).select("c", "src", F.col("to").alias("dst")))
+        k += 1
+    # a node that the walk comes by twice is on the ring; its first visits are the ring in order
+    twice = seen.groupBy("c", "node").agg(F.min("steps").alias("first"), F.count("*").alias("visits")).where("visits > 1")
+    ordered = twice.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("first", "node"))).alias("r"))
+    nodes = F.transform("r", lambda x: x["node"])
+    return ordered.select(F.col("c").alias("component"), F.concat(nodes, F.slice(nodes, 1, 1)).alias("ring"))
+
+
+def paths_from(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(start, node, level, path): nodes reachable from each of ``starts`` (start), with the path that a breadth-first
+    queue of sorted successors finds.  A start is reached by itself, at level 0, and never again.
 
     Of the parents in the level before, the one that entered the queue first
     wins: ranks in the queue follow (parent's rank, name).
     """
-    spark = edges.sparkSession
     edges = settle(edges.select("src", "dst").where("src <> dst").distinct())
-    front = settle(spark.createDataFrame([(start, 0, [0], [start])], "node string, level int, rank array<int>, path array<string>"))
+    front = settle(starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("level"), F.array(F.lit(0)).alias("rank"), F.array("start").alias("path")))
     seen = front
     for level in range(1, max_rounds):
-        step = edges.join(front.select(F.col("node").alias("src"), "rank", "path"), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        best = step.groupBy("dst").agg(F.min_by("path", "rank").alias("path"), F.min("rank").alias("up"))
+        step = edges.join(front.select("start", F.col("node").alias("src"), "rank", "path"), "src").join(seen.select("start", F.col("node").alias("dst")), ["start", "dst"], "left_anti")
+        best = step.groupBy("start", "dst").agg(F.min_by("path", "rank").alias("path"), F.min("rank").alias("up"))
         # names are ranked inside each parent's turn
-        ranked = best.selectExpr("dst as node", f"{level} as level", "concat(up, array(cast(row_number() over (partition by up order by dst) as int))) as rank", "concat(path, array(dst)) as path")
+        ranked = best.selectExpr("start", "dst as node", f"{level} as level", "concat(up, array(cast(row_number() over (partition by start, up order by dst) as int))) as rank", "concat(path, array(dst)) as path")
         front = settle(ranked)
         if front.isEmpty():
-            return seen.select("node", "level", "path")
+            return seen.select("start", "node", "level", "path")
         seen = settle(seen.unionByName(front))
     raise RuntimeError("reachability did not settle")
 
 
+def reach_levels(edges: DataFrame, start: str, max_rounds: int = 1000) -> DataFrame:
+    """(node, level, path) of paths_from one start."""
+    return paths_from(edges, edges.sparkSession.createDataFrame([(start,)], "start string"), max_rounds).select("node", "level", "path")
+
+
 def undirected_weights(edges: DataFrame) -> DataFrame:
     """(a, b, weight): how many directed edges join two nodes; each row counts, none is dropped."""
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("weight"))
 
 
+def _cluster_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int, int]:
+    weights = settle(undirected_weights(edges.where("src <> dst")))
+    return weights, nodes.count(), weights.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+
+
+def _skip(nodes: int, edges: int) -> str | None:
+    if nodes > CLUSTER_NODES:
+        return f"skipped (nodes={nodes} > cap {CLUSTER_NODES})"
+    return f"skipped (edges={edges} > cap {CLUSTER_EDGES})" if edges > CLUSTER_EDGES else None
+
+
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cluster), or no row beyond the limits that the sequential merges need."""
-    weights = settle(undirected_weights(edges))
-    spark = nodes.sparkSession
-    if nodes.count() > CLUSTER_NODES or weights.count() > CLUSTER_EDGES:
-        return spark.createDataFrame([], "node string, cluster long")
+    """(node, cluster): each node with the smallest node of its cluster.
+
+    Directed edges count once each, whatever their direction; an edge from a node
+    to itself does not count.  There is no row where nothing was clustered: see
+    cluster_outcome for why.  ``nodes`` (node) holds every end of an edge.
+    """
+    weights, n, w = _cluster_edges(nodes, edges)
+    if _skip(n, w) or not w:
+        return nodes.sparkSession.createDataFrame([], "node string, cluster string")
     lone = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("weight"))
 
     def run(table: pa.Table) -> pa.Table:
         rows = [*zip(*(table.column(c).to_pylist() for c in ("a", "b", "weight")))]
         labels = cluster_labels(sorted({x for r in rows for x in r[:2]}), [r for r in rows if r[2]])
-        return pa.table([pa.array([*labels], pa.string()), pa.array([*labels.values()], pa.int64())], names=["node", "cluster"])
+        return pa.table([pa.array([*labels], pa.string()), pa.array([*labels.values()], pa.string())], names=["node", "cluster"])
 
-    return _locally(weights.unionByName(lone), run, "node string, cluster long")
+    return _locally(weights.unionByName(lone), run, "node string, cluster string")
+
+
+def cluster_outcome(nodes: DataFrame, edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row (nodes, edges, label): what the clustering came to, or which limit it was skipped for."""
+    _, n, w = _cluster_edges(nodes, edges)
+    label = _skip(n, w) or (EMPTY if not n or not w else None)
+    if label is None:
+        parts = (clusters(nodes, edges) if found is None else found).select("cluster").distinct().count()
+        label = ONE_REGION if parts == 1 and n > 1 else ALL_LONE if parts == n else f"{parts} clusters"
+    return nodes.sparkSession.createDataFrame([(n, w, label)], "nodes long, edges long, label string")
 
 
 def laundered(pairs: DataFrame, fallback: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """(src, dst): forbidden pairs without an edge of their own that a path with a fallback hop joins."""
+    """(src, dst, via): forbidden pairs without an edge of their own, whose source leaves by a fallback hop that leads on to the target.
+
+    The hop is one of the banned claim's own; what other claims on the way do is
+    for their own bans.  ``via`` is what lies between on the first shortest path.
+    """
     direct = pairs.select("src", "dst").distinct()
-    both = settle(direct.unionByName(fallback.select("src", "dst")).distinct())
-    reach = closure(both)
-    hop = fallback.select("src", "dst").distinct()
-    nodes = both.select(F.col("src").alias("n")).unionByName(both.select(F.col("dst").alias("n"))).distinct()
-    here = reach.unionByName(nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"))).distinct()
-    through = here.withColumnRenamed("dst", "x").join(hop.toDF("x", "y"), "x").join(here.withColumnRenamed("src", "y"), "y").select("src", "dst").distinct()
-    return forbidden.select("src", "dst").distinct().join(direct, ["src", "dst"], "left_anti").join(through, ["src", "dst"], "left_semi")
+    bans = settle(forbidden.select("src", "dst").distinct().join(direct, ["src", "dst"], "left_anti"))
+    hops = fallback.select("src", F.col("dst").alias("hop")).distinct().join(bans, "src")
+    reach = settle(paths_from(direct, bans.select(F.col("src").alias("start")).unionByName(hops.select(F.col("hop").alias("start")))))
+    rides = hops.join(reach.select(F.col("start").alias("hop"), F.col("node").alias("dst")), ["hop", "dst"]).select("src", "dst").distinct()
+    whole = reach.where("level > 0").select(F.col("start").alias("src"), F.col("node").alias("dst"), "path")
+    return rides.join(whole, ["src", "dst"]).select("src", "dst", F.array_join(F.slice("path", 2, F.size("path") - 2), " -> ").alias("via"))

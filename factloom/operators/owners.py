@@ -39,8 +39,12 @@ def claim_scores(paths: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def owners(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     """(path, idx, name, depth, score): the most specific claim; then the deeper one, then the smaller name."""
+    return best_owners(claim_scores(paths, patterns))
+
+
+def best_owners(scored: DataFrame) -> DataFrame:
+    """owners() of claim_scores."""
     rank = F.struct("score", "depth")
-    scored = claim_scores(paths, patterns)
     top = scored.groupBy("path").agg(F.max(rank).alias("top"))
     tied = scored.join(top, "path").where(rank == F.col("top"))
     least = F.min_by(F.struct("idx", "name", "depth", "score"), "name")

@@ -26,7 +26,7 @@ MODULES = "modules as (select distinct p_brand as unit, p_brand || '::' || p_typ
 MODULE_EDGES = IMPORTS + ", module_edges as (select unit, src, dst, list_sort(list(distinct symbol)) as symbols, bool_and(type_only) as type_only, count(*) as weight from imports where src <> dst group by unit, src, dst)"
 FILE_EDGES = IMPORTS + ", file_edges as (select distinct unit, src_file as src, dst_file as dst, 'use' as kind from imports where src_file <> dst_file)"
 FILES = IMPORTS + ", files as (select src_file as path from imports union select dst_file from imports)"
-CYCLE = MODULE_EDGES + ", cycle_graph as (select src, dst from (select *, row_number() over (partition by src order by weight desc, dst) as r from module_edges) t where r = 1)"
+CYCLE = MODULE_EDGES + ", cycle_graph as (select src, dst from module_edges where starts_with(dst, unit || '::'))"
 SITES = """sites as (select 'NATION_' || (user_id % 25) as unit, 'NATION_' || (user_id % 25) || '/' || event_type as path, (['rust', 'go', 'ts'])[(event_id % 3) + 1] as language,
   json_extract_string(props, '$.k') as value, event_type as noun, case when event_type in ('signup', 'purchase') then 'orders' when event_type in ('view', 'click') then 'visits' else 'errors' end as pattern from events)"""
 ASYNC = SITES + """, async_edges as (select p.unit as src, s.unit as dst, 'shop.order.' || p.value as event from (select distinct unit, value from sites where noun = 'signup') p
@@ -84,6 +84,26 @@ CLOSURE = "reach(src, dst) as (select src, dst from {0} union select r.src, e.ds
 PARTS = "parts as (select a.src as node, min(b.src) as component from reach a join reach b on a.dst = b.src and a.src = b.dst where a.src <> a.dst group by a.src), members as (select node, least(node, component) as component from parts)"
 
 
+def rings(edges: str) -> str:
+    """The greedy walk from each component's smallest node, long enough that it comes by its ring's nodes twice."""
+    return f"""{PARTS}, sizes as (select component as c, count(*) as n from members group by component),
+ring_next as (select m.component as c, e.src, min(e.dst) as dst from {edges} e join members m on e.src = m.node join members k on e.dst = k.node and m.component = k.component where e.src <> e.dst group by m.component, e.src),
+walk(c, node, n, most) as (select c, c, 0, 2 * n from sizes union all select w.c, x.dst, w.n + 1, w.most from walk w join ring_next x on x.c = w.c and x.src = w.node where w.n < w.most),
+visits as (select c, node, min(n) as first from walk group by c, node having count(*) > 1),
+open_rings as (select c as component, list(node order by first) as nodes from visits group by c),
+rings as (select component, list_append(nodes, nodes[1]) as ring from open_rings)"""
+
+
+def ring_kinds(value: str) -> str:
+    """Rings with their kind; ``value`` is the table of value edges."""
+    return f"""legs as (select component, ring, ring[i] as a, ring[i + 1] as b from (select component, ring, unnest(range(1, len(ring))) as i from rings) t),
+kinds as (select component, any_value(ring) as ring, case when bool_and((a, b) in (select src, dst from {value})) then 'runtime' else 'type-assisted' end as kind from legs group by component)"""
+
+
+MODULE_RINGS = f"{CLOSURE.format('cycle_graph')}, {rings('cycle_graph')}, value_edges as (select distinct src, dst from module_edges where not type_only), {ring_kinds('value_edges')}"
+CLAIM_RINGS = f"{CLOSURE.format('pairs')}, {rings('pairs')}, value_pairs as (select src, dst from pairs where value), {ring_kinds('value_pairs')}"
+
+
 def c(kind: str) -> dict:
     return next(x for x in SPEC.constraints if x["type"] == kind)
 
@@ -131,7 +151,8 @@ SELECT_DEAD = """select 'dead reference' as category, 'module ''' || claim || ''
 from dead left join near on dead.target = near.target"""
 SELECT_EDGES = "select case verdict when 'forbidden' then 'forbidden edge present' else 'disallowed cross-component dependency' end as category, src || ' -> ' || dst as message from verdicts where verdict is not null"
 MISSING = """wanted as (select distinct c.name as src, a.target as dst from allowed a join claims c on a.idx = c.idx where a.kind = 'depend_on' and c.declared and a.target in (select name from claims)),
-have as (select distinct a.anc_name as src, b.anc_name as dst from pairs p join lineage a on p.src = a.name join lineage b on p.dst = b.name),
+shown_pairs as (select distinct a.name as src, b.name as dst from imports i join owned a on i.src = a.path join owned b on i.dst = b.path where i.src <> i.dst and a.name <> b.name),
+have as (select distinct a.anc_name as src, b.anc_name as dst from (select src, dst from pairs union select src, dst from shown_pairs) p join lineage a on p.src = a.name join lineage b on p.dst = b.name),
 gate as (select distinct a.anc_name as src, b.anc_name as dst from placed p join lineage a on p.src_claim = a.name join lineage b on p.dst_claim = b.name where p.placed = 'gated'),
 missing as (select w.src, w.dst, case when w.src in (select src_claim from placed where placed = 'unowned' and src_claim is not null) then 'unowned' when g.src is not null then 'test-gated' else '' end as reason
   from wanted w left join gate g on w.src = g.src and w.dst = g.dst where (w.src, w.dst) not in (select src, dst from have))"""
@@ -189,14 +210,24 @@ ORACLE: dict[str, str] = {
         select="select pattern, case root when 'ASIA' then '(none)' else unit end as unit, count(*)::bigint as n from hit group by all",
     ),
     "j16_resolved_units": q(PRODUCERS, UNITS, "sp as (select distinct producer as spelling, regexp_replace(replace(producer, '//', '/'), '^\\./', '') as canon from producers)", select="select spelling, coalesce(a.name, b.name) as unit, coalesce(a.path, b.path) as canon from sp left join units a on sp.spelling = a.name left join units b on sp.canon = b.path"),
-    "j17_attribution": q(ASYNC, ENTRIES, select="select e.src, e.dst, e.event, string_agg(distinct a.src, ',' order by a.src) as derived_from from (select distinct src, dst, event from entries) e join async_edges a on a.dst = e.dst and a.event = e.event where not exists (select 1 from async_edges x where x.src = e.src and x.dst = e.dst and x.event = e.event) group by all"),
+    "j17_attribution": q(ASYNC, UNITS, "d as (select distinct u.root as src, dst, event from async_edges join units u on src = u.name)", select="select d.src, d.dst, d.event, string_agg(distinct a.src, ',' order by a.src) as derived_from from d join async_edges a on a.dst = d.dst and a.event = d.event group by all"),
+    "j15_paired_sites": q(
+        SITES, SIDES,
+        "numbered as (select *, row_number() over () as side from sides)",
+        "spoken as (select distinct unit || ':' || value as value, language, noun, value::int % 3 = 0 as twice from sites)",
+        "cand as (select value, language, noun, case noun when 'click' then 'property' else 'call' end as tag, case noun when 'purchase' then 1 else 0 end as position, again from (select *, unnest(case when twice then [1, 2] else [1] end) as again from spoken) t)",
+        "hit as (select d.*, s.pattern, s.side from cand d join numbered s on d.language = s.language and d.tag = s.tag and d.noun = s.noun and (d.tag = 'property' or d.position is not distinct from s.position))",
+        "pair as (select *, row_number() over (partition by pattern, language, value, tag order by noun, again, side) as turn from hit)",
+        "site as (select distinct pattern, language, value, tag, unnest([1, 2]) as ord from hit)",
+        select="select s.pattern, s.language, s.value, s.tag, s.ord::bigint as ord, p.noun from site s left join pair p on s.pattern = p.pattern and s.language = p.language and s.value = p.value and s.tag = p.tag and s.ord = p.turn",
+    ),
     "j18_blind_zones": q(SITES, UNITS, "z as (select root as zone from units union select path from units union select '.' union select 'NOWHERE')", "f as (select distinct u.path || '/' || noun as path from sites s join units u on s.unit = u.name)", select="select zone, count(distinct path)::bigint as n from z left join f on zone = '.' or path = zone or starts_with(path, zone || '/') group by zone"),
     "j20_async_placement": q(ASYNC, UNITS, select="select distinct a.root as src, b.root as dst, event from async_edges join units a on src = a.name join units b on dst = b.name where a.root <> b.root and src <> 'NATION_7' and dst <> 'NATION_7'"),
     "j20_out_of_view": q(ASYNC, UNITS, select="select event, count(*)::bigint as out_of_view from async_edges join units a on src = a.name join units b on dst = b.name where a.root = 'ASIA' or b.root = 'ASIA' group by event"),
     "j21_edge_labels": q(
         ASYNC,
-        "few as (select * from async_edges where event in ('shop.order.7', 'shop.order.8', 'shop.order.9') union all select src, dst, replace(event, 'shop', 'mall') from async_edges where event in ('shop.order.7', 'shop.order.8'))",
-        select="select a.src, a.dst, a.event, case coalesce(max(case when split_part(a.event, '.', 3) = split_part(b.event, '.', 3) then 2 else 0 end), 0) when 2 then a.event else split_part(a.event, '.', 3) end as label from few a left join few b on a.src = b.src and a.dst = b.dst and a.event <> b.event group by a.src, a.dst, a.event",
+        "whole as (select * from async_edges union all select src, dst, replace(event, 'shop', 'mall') from async_edges)",
+        select="select a.src, a.dst, a.event, case coalesce(max(case when split_part(a.event, '.', 3) = split_part(b.event, '.', 3) then 2 else 0 end), 0) when 2 then a.event else split_part(a.event, '.', 3) end as label from whole a left join whole b on a.src = b.src and a.dst = b.dst and a.event <> b.event group by a.src, a.dst, a.event",
     ),
     "a14_event_collisions": q(ENTRIES, select="select src, dst, split_part(event, '.', 3) as name, string_agg(distinct event, ',' order by event) as events from entries group by src, dst, name having count(distinct event) > 1"),
     "g1_components": q(CYCLE, CLOSURE.format("cycle_graph"), PARTS, select="select node, component from members"),
@@ -205,16 +236,49 @@ ORACLE: dict[str, str] = {
     "g5_closure": q(CYCLE, CLOSURE.format("cycle_graph"), select="select src, dst from reach"),
     "g6_induced": q(MODULE_EDGES, select="select src, dst from module_edges where src like 'Brand#1%' and dst like 'Brand#1%'"),
     "g13_laundered": q(
-        CYCLE,
-        CLOSURE.format("cycle_graph"),
-        "hop as (select * from cycle_graph where src like 'Brand#1%')",
-        "direct as (select * from cycle_graph where src not like 'Brand#1%')",
-        "nodes as (select src as n from cycle_graph union select dst from cycle_graph)",
-        "here as (select src, dst from reach union select n, n from nodes)",
-        "thr as (select distinct a.src, b.dst from here a join hop h on a.dst = h.src join here b on b.src = h.dst)",
-        "forb as (select distinct a.src, b.dst from cycle_graph a, (select distinct dst from cycle_graph) b where a.src <> b.dst)",
-        select="select src, dst from forb where (src, dst) not in (select src, dst from direct) and (src, dst) in (select src, dst from thr)",
+        UNIT_EDGES,
+        "hop as (select * from unit_edges where src like 'NATION_1%' or src > dst)",
+        "bans as (select a.n_name as src, b.n_name as dst from nation a join nation b on b.n_regionkey = (a.n_regionkey + 1) % 5)",
+        "walks(start, node, path) as (select n_name, n_name, [n_name] from nation union select start, e.dst, list_append(path, e.dst) from walks join unit_edges e on node = e.src where not list_contains(path, e.dst) and len(path) < 12)",
+        "short as (select start, node, min(path) as path from (select *, min(len(path)) over (partition by start, node) as least from walks) t where len(path) = least group by start, node)",
+        "ban as (select * from bans where (src, dst) not in (select src, dst from unit_edges))",
+        "ride as (select distinct b.src, b.dst from ban b join hop h on b.src = h.src join short s on s.start = h.dst and s.node = b.dst)",
+        select="select r.src, r.dst, array_to_string(path[2:-2], ' -> ') as via from ride r join short s on s.start = r.src and s.node = r.dst",
+    ),
+    "g3_rings": q(CYCLE, CLOSURE.format("cycle_graph"), rings("cycle_graph"), select="select component, array_to_string(ring, ',') as ring from rings"),
+    "g7_claim_cycles": q(PLACED, CLAIM_RINGS, select="select component, array_to_string(ring, ',') as ring, kind from kinds"),
+    "g8_file_cycles": q(
+        PLACED, CLAIM_RINGS,
+        "told_legs as (select distinct a, b from legs)",
+        "own as (select f.path, o.name from (select src_file as path, src as m from imports union select dst_file, dst from imports) f join owned o on f.m = o.path)",
+        "fe as (select src_file as src, dst_file as dst, bool_and(type_only) as type_only from imports where src_file <> dst_file and starts_with(dst, unit || '::') and src_file not like '%/m7.ts' and dst_file not like '%/m7.ts' group by all)",
+        "freach(src, dst) as (select src, dst from fe union select r.src, e.dst from freach r join fe e on r.dst = e.src)",
+        "fparts as (select a.src as node, least(a.src, min(b.src)) as component from freach a join freach b on a.dst = b.src and a.src = b.dst where a.src <> a.dst group by a.src)",
+        "fnxt as (select m.component as c, e.src, min(e.dst) as dst from fe e join fparts m on e.src = m.node join fparts k on e.dst = k.node and m.component = k.component group by all)",
+        "fwalk(c, node, n, most) as (select component, component, 0, 2 * count(*) from fparts group by component union all select w.c, x.dst, w.n + 1, w.most from fwalk w join fnxt x on x.c = w.c and x.src = w.node where w.n < w.most)",
+        "fopen as (select c, list(node order by first) as nodes from (select c, node, min(n) as first from fwalk group by c, node having count(*) > 1) t group by c)",
+        "frings as (select c as component, list_append(nodes, nodes[1]) as ring from fopen)",
+        "flegs as (select component, ring, ring[i] as a, ring[i + 1] as b from (select component, ring, unnest(range(1, len(ring))) as i from frings) t)",
+        "fkinds as (select component, any_value(ring) as ring, case when bool_and((a, b) in (select src, dst from fe where not type_only)) then 'runtime' else 'type-assisted' end as kind from flegs group by component)",
+        "steps as (select distinct m.component, a.name as a, b.name as b from fe e join fparts m on e.src = m.node join fparts k on e.dst = k.node and m.component = k.component left join own a on e.src = a.path left join own b on e.dst = b.path where a.name <> b.name)",
+        "told as (select component from steps group by component having bool_and((a, b) in (select a, b from told_legs)))",
+        "mine as (select distinct component, name from fparts join own on node = path)",
+        "size_of as (select component, count(*) as n from mine group by component)",
+        "shared as (select component, anc_name from mine join lineage using (name) join size_of using (component) group by component, anc_name, n having count(distinct name) = n)",
+        "deep as (select anc_name, max(distance) as depth from (select name as anc_name, distance from lineage) t group by anc_name)",
+        "of_claim as (select component, arg_max(anc_name, depth) as claim from shared join deep using (anc_name) group by component)",
+        select="select k.component, array_to_string(k.ring, ',') as ring, k.kind, claim from fkinds k left join of_claim o on k.component = o.component where k.component not in (select component from told)",
     ),
+    "g9_ring_kinds": q(CYCLE, MODULE_RINGS, select="select component, array_to_string(ring, ',') as ring, kind from kinds"),
+    "g10_exempt_cycles": q(
+        CYCLE, MODULE_RINGS,
+        "told as (select array_to_string(ring, ' -> ') as cycle, array_to_string(ring, ' -> ') || ' (' || kind || ')' as text, regexp_extract(ring[1], '#([0-9]+)', 1)::int as entry from kinds)",
+        "x as (select entry, cycle, text, case entry % 4 when 0 then 'file' when 1 then 'both' else 'module' end as tier, entry % 3 = 0 as expired, entry % 5 <> 0 as listed from told)",
+        select="""select 'warning' as category, 'warning' as severity, 'cycle: ' || text as message from x where not (listed and not expired and tier <> 'file')
+union all select 'warning', 'warning', 'exempt expired: ' || tier || ' ' || cycle from x where listed and expired union all select 'warning', 'warning', 'exempt stale: file ' || cycle from x where listed and not expired and tier = 'file'
+union all select 'warning', 'warning', 'exempt expired: module a -> b -> a' union all select 'warning', 'warning', 'exempt stale: both c -> d -> c'""",
+    ),
+    "u2_warnings_less_errors": q(CYCLE, MODULE_RINGS, select="select case kind when 'runtime' then 'cycle detected in' else 'warning' end as category, case kind when 'runtime' then 'error' else 'warning' end as severity, case kind when 'runtime' then '' else 'cycle: ' end || array_to_string(ring, ' -> ') || ' (' || kind || ')' as message from kinds"),
     "a11_weights": q(IMPORTS, select="select least(src, dst) as a, greatest(src, dst) as b, count(*)::bigint as weight from imports where src <> dst group by all"),
     "v1_modules_view": q(MODULE_EDGES, select="select distinct split_part(src, '::', 2) as src, split_part(dst, '::', 2) as dst from module_edges where split_part(src, '::', 2) <> split_part(dst, '::', 2)"),
     "v2_deep_modules": q(MODULE_EDGES, select="select distinct split_part(src, '::', -1) as src, split_part(dst, '::', -1) as dst from module_edges where split_part(src, '::', -1) <> split_part(dst, '::', -1)"),
@@ -247,7 +311,7 @@ ORACLE: dict[str, str] = {
     "r1_verdicts": q(VERDICTS, select="select src, dst, value, verdict from verdicts"),
     "r2_edge_findings": q(VERDICTS, select=f"select category, 'error' as severity, message from ({SELECT_EDGES})"),
     "r3_missing_edges": q(VERDICTS, MISSING, select="select src, dst, reason from missing"),
-    "r4_used_undeclared": q(IMPORTS + ", " + PLACED.replace(IMPORTS + ", ", "", 1), select="select 'used but undeclared' as category, a.name || ' -> ' || b.name || ' (' || string_agg(distinct src_file, ', ' order by src_file) || ')' as message from imports i join owned a on i.src = a.path join owned b on i.dst = b.path where i.src <> i.dst and a.name <> b.name and a.name like '%large' and (a.name, b.name) not in (select src, dst from pairs where dst <> 'promo') group by a.name, b.name"),
+    "r4_used_undeclared": q(PLACED, select="select 'used but undeclared' as category, a.name || ' -> ' || b.name || ' (' || string_agg(distinct src_file, ', ' order by src_file) || ')' as message from imports i join owned a on i.src = a.path join owned b on i.dst = b.path where i.src <> i.dst and a.name <> b.name and (a.name, b.name) not in (select src, dst from pairs where dst <> 'promo') group by a.name, b.name"),
     "r5_facades": q(MODULE_EDGES, GATED_PATHS, ROLES, FACADES, select="select 'facade dependency' as category, src || ' -> ' || dst as message from facades"),
     "r6_contract_leaks": q(OWNED, LINEAGE, SHOWN, select="select distinct 'contract leak' as category, claim || ' exposes tiny (forbidden)' as message from shown where claim in (select name from lineage where anc_name = 'core') and (regexp_full_match(symbol, '.*_1') or starts_with(symbol, 'SMALL_'))"),
     "r7_unexposed": q(OWNED, LINEAGE, SHOWN, EXPOSE, "chains as (select distinct l.name, d.chain from lineage l join declaring d on l.anc_name = d.chain)", select=f"select distinct claim, symbol from shown join chains on claim = chains.name where not exists (select 1 from declaring d where d.chain = chains.chain and regexp_full_match(symbol, {RX.format('pattern')}))"),
@@ -270,14 +334,27 @@ ORACLE: dict[str, str] = {
         "t as (select *, ' — ' || src || ' -> ' || dst || ' (entry #' || entry || ')' as tail from entries)",
         select="select 'async event unresolved' as category, event || tail as message, entry::bigint as entry from t where event not in (select event from async_edges) union all select 'async publish not derived', src || tail, entry from t where (src, event) not in (select src, event from async_edges) union all select 'async subscribe not derived', dst || tail, entry from t where (dst, event) not in (select dst, event from async_edges) union all select 'async endpoint unclaimed', src || tail, entry from t where src not in (select name from units) union all select 'async endpoint unclaimed', dst || tail, entry from t where dst not in (select name from units)",
     ),
-    "r19_schema_drift": q(ENTRIES, select="select 'async drift field absent: ' || dst || ' binds ' || event || '.' || field || ' — the publisher record declares no such field (entry #' || entry || ')' as message, entry::bigint as entry from (select *, unnest(['id', 'at', 'who', 'price']) as field from entries) t where not (event = 'shop.order.7' and field in ('id', 'at', 'who'))"),
+    "r19_schema_drift": q(
+        ASYNC,
+        "e as (select distinct dst, event, split_part(event, '.', 3)::int as k from async_edges)",
+        "speaking as (select * from e where k % 5 <> 0 or k % 3 = 0)",
+        "f as (select *, unnest(['id', 'state', 'at', 'key', 'price']) as field from speaking)",
+        "known as (select *, case field when 'id' then k % 5 <> 0 when 'state' then k % 5 <> 0 when 'price' then false else k % 3 = 0 end as declared, field <> 'at' or k % 4 <> 1 as bound, field = 'state' and k % 4 = 0 or field = 'at' and k % 4 = 1 as text, field = 'state' and k % 5 <> 0 and k % 2 = 0 or field = 'at' and k % 3 = 0 as of_enum from f where field <> 'price' or k % 7 = 0)",
+        "ranked as (select *, case when bound and text then 1 when text then 2 when bound and field = 'state' and k % 4 = 2 then 3 end as rank from known where of_enum)",
+        "first as (select dst, event, k, arg_min(field, (rank, field)) as field from ranked where rank is not null group by dst, event, k)",
+        select="select 'async drift field absent: ' || dst || ' binds ' || event || '.' || field || ' — the publisher record declares no such field (entry #' || (k + 1) || ')' as message, (k + 1)::bigint as entry from known where bound and not declared union all select 'async drift enum projection: ' || dst || ' binds ' || event || '.' || field || ' as a string projection of the publisher''s enum field (entry #' || (k + 1) || ')', k + 1 from first",
+    ),
     "r20_producers": q(
         PRODUCERS, UNITS,
         "r as (select p.*, coalesce(a.name, b.name) as unit, coalesce(a.path, b.path) as canon, ' (' || kind2 || ' #' || entry || ')' as mark from (select *, producers.kind as kind2 from producers) p left join units a on p.producer = a.name left join units b on regexp_replace(replace(p.producer, '//', '/'), '^\\./', '') = b.path)",
         select="select 'declaration producer unresolved' as category, class || ': ' || producer || mark as message from r where unit is null union all select 'declaration producer not canonical', class || ': ' || producer || ' is ' || canon || mark from r where unit is not null and producer <> canon union all select 'declaration producer conflict', class || ': ' || string_agg(distinct unit, ', ' order by unit) from r where unit is not null group by kind2, class having count(distinct unit) > 1",
     ),
     "r21_ambiguous": q(MODULES, PATTERNS, SCORES, "top as (select *, max(score) over (partition by path) as m from claim_scores)", select="select a.path, a.name as name_a, b.name as name_b from top a join top b on a.path = b.path and a.name < b.name where a.score = a.m and b.score = b.m"),
-    "r22_components": q(OWNED, CLAIMS, select="select 'missing component' as category, name as message from claims where name not in (select name from owned)"),
+    "r22_components": q(
+        MODULES, PATTERNS, SCORES, UNIT_OWNER,
+        "named as (select name from pat union select name from upat)",
+        select="select 'missing component' as category, name as message from named where name not in (select name from claim_scores) and name not in (select name from unit_owner) union all select 'unexpected component', unit from (select distinct unit from modules) u where unit not in (select unit from unit_owner)",
+    ),
     "r24_findings": q(ALL, select=f"select list_position({_CATS}, category)::bigint as category_ord, category, 'error' as severity, message from every"),
     "s3_glob_exports": q(
         CYCLE, MODULES, CLOSURE.format("cycle_graph"),
@@ -295,8 +372,8 @@ ORACLE: dict[str, str] = {
     ),
     "s8_candidates": q(
         FILES, FILE_EDGES.replace(IMPORTS + ", ", "", 1),
-        "sp as (select distinct src, '../' || regexp_extract(dst, 'src/([A-Z]+/m[0-9]+)\\.ts$', 1) as specifier from file_edges where unit = 'Brand#1')",
-        select="select src, specifier, f.path as resolved from sp left join files f on f.path = 'Brand#1/src/' || substr(specifier, 4) || '.ts'",
+        "sp as (select distinct src, '../' || regexp_extract(dst, 'src/([A-Z]+/m[0-9]+)\\.ts$', 1) || case when regexp_matches(dst, '[02468]\\.ts$') then '.js' else '' end as specifier from file_edges)",
+        select="select src, specifier, f.path as resolved from sp left join files f on f.path = split_part(src, '/', 1) || '/src/' || regexp_extract(specifier, '^\\.\\./([^.]*)', 1) || '.ts'",
     ),
     "s14_languages": q(FILES, "m as (select case when path like '%LARGE%' then 'python' when path like '%PROMO%' then 'go' else 'ts' end as language from files)", select="select language, count(*)::bigint as files, (row_number() over (order by count(*) desc, list_position(['rust', 'csharp', 'go', 'ts', 'python', 'kotlin'], language)))::bigint as rank from m group by language"),
     "s15_mixed_directories": q(FILES, select="select regexp_extract(path, '^(.*)/', 1) as dir, 'python,ts' as languages from files group by dir having count(distinct path like '%m7.ts') = 2"),
@@ -308,20 +385,25 @@ ORACLE: dict[str, str] = {
         select="select path from f where unit = 'Brand#9' or (unit = 'Brand#1' and starts_with(path, 'Brand#1/src/LARGE/')) or (unit = 'Brand#3' and regexp_full_match(name, 'm4.\\.ts')) or (unit <> 'Brand#2' and name <> 'm11.ts' and regexp_full_match(name, 'm1.*\\.ts'))",
     ),
     "s21_file_map": q(FILE_EDGES, select="select distinct src, dst from file_edges"),
-    "s25_orphans": q(FILE_EDGES, "p as (select distinct p_brand || '/src/' || p_type || '/m' || p_size || '.ts' as path from part), e as (select * from file_edges where unit <> 'Brand#4')", select="select path from p where path not in (select src from e) and path not in (select dst from e)"),
+    "s25_orphans": q(FILE_EDGES, "p as (select distinct p_brand || '/src/' || p_type || '/m' || p_size || '.ts' as path from part), e as (select * from file_edges where src not like '%/PROMO/%' and dst not like '%/PROMO/%')", select="select path from p where path not in (select src from e) and path not in (select dst from e) and path not in (select src from file_edges where src like '%/PROMO/m1%')"),
     "w12_rotated_rings": q(
         UNIT_EDGES,
         select="select a.src, a.dst, b.dst as third, case least(a.src, a.dst, b.dst) when a.src then a.src || ',' || a.dst || ',' || b.dst || ',' || a.src when a.dst then a.dst || ',' || b.dst || ',' || a.src || ',' || a.dst else b.dst || ',' || a.src || ',' || a.dst || ',' || b.dst end as ring from unit_edges a join unit_edges b on a.dst = b.src where b.dst <> a.src",
     ),
-    "w10_suggestions": q(MODULES, select="select t as target, array_to_string((list_sort(list(path)))[1:3], ',') as named, greatest(count(*) - 3, 0)::bigint as more from (values ('Brand#1'), ('LARGE'), ('zzz')) v(t) join paths on contains(path, t) group by t"),
+    "w10_suggestions": q(
+        MODULES, PATTERNS, CLAIMS, SCORES,
+        "asked as (select p_type as target from part union select name from claims)",
+        "meant as (select target, path from asked join paths on split_part(path, '::', -1) = target union select target, path from asked join claim_scores on target = name)",
+        select="select target, array_to_string((list_sort(list(path)))[1:3], ',') as named, greatest(count(*) - 3, 0)::bigint as more from meant group by target",
+    ),
     "u4_present_elements": q(MODULE_EDGES, MODULES, LINKS, UNITS, select="select path from paths union select src from module_edges union select dst from module_edges union select module from links union select path from units"),
     "j6_augmented_mapping": q(
-        OWNED, UNIT_OWNER,
-        "soft as (select unit, name from (select split_part(path, '::', 1) as unit, name, row_number() over (partition by split_part(path, '::', 1) order by count(*) desc, name) as r from owned group by split_part(path, '::', 1), name) t where r = 1)",
+        MODULES, PATTERNS, SCORES, UNIT_OWNER,
+        "soft as (select split_part(path, '::', 1) as unit, arg_min(name, idx) as name from claim_scores group by 1)",
         select="select u.unit, coalesce(o.name, s.name) as name, o.name is null and s.name is not null as reclaimed from (select distinct unit from modules) u left join unit_owner o on u.unit = o.unit left join soft s on u.unit = s.unit",
     ),
     "j7_grouped_tier": q(MODULE_EDGES, UNIT_OWNER, select="select distinct coalesce(a.name, split_part(src, '::', 1)) as src, coalesce(b.name, split_part(dst, '::', 1)) as dst from module_edges left join unit_owner a on split_part(src, '::', 1) = a.unit left join unit_owner b on split_part(dst, '::', 1) = b.unit where coalesce(a.name, split_part(src, '::', 1)) <> coalesce(b.name, split_part(dst, '::', 1))"),
-    "r23_inert_rules": "select * from (values (5::bigint, 'public_api_allowlist', 'public api surface', 'no'), (6::bigint, 'feature_boundary', 'root module declarations', 'no gating')) t(entry, kind, fact, status)",
+    "r23_inert_rules": "select * from (values (6::bigint, 'feature_boundary', 'module gates', 'no')) t(entry, kind, fact, status)",
     "j23_explain": q(
         VERDICTS,
         select="select 'edge' as part, src || ' -> ' || dst || ' (' || placed || case when type_only then ', type-only' else '' end || ')' as text from placed where src_claim = 'core' and dst_claim = 'rest' union all select 'verdict', coalesce(verdict, 'allowed') from verdicts where src = 'core' and dst = 'rest' union all select 'finding', case verdict when 'forbidden' then 'forbidden edge present' else 'disallowed cross-component dependency' end || ': core -> rest' from verdicts where src = 'core' and dst = 'rest' and verdict is not null",

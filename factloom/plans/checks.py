@@ -52,12 +52,12 @@ def finding(df: DataFrame, category: str, message: Column, severity: str = "erro
 
 
 def findings(parts: list[DataFrame]) -> DataFrame:
-    """(category_ord, category, severity, message), distinct, in canonical order: by category, entry and message."""
+    """(category_ord, category, severity, message, entry), distinct, in canonical order: by category, entry and message."""
     both = reduce(DataFrame.unionByName, parts).distinct()
     names = F.array(*map(F.lit, CATEGORIES))
     place = F.array_position(names, F.col("category"))
     ordered = both.withColumn("category_ord", F.when(place > 0, place).otherwise(len(CATEGORIES) + 1).cast("int"))
-    return ordered.orderBy("category_ord", "entry", "message").select("category_ord", "category", "severity", "message")
+    return ordered.orderBy("category_ord", "entry", "message").select("category_ord", "category", "severity", "message", "entry")
 
 
 def gate(found: DataFrame, strict: bool = False) -> bool:
@@ -71,16 +71,22 @@ def gate(found: DataFrame, strict: bool = False) -> bool:
 # edges ----------------------------------------------------------------------
 
 
-def pair_verdicts(pairs: DataFrame, policies: DataFrame, claims: DataFrame) -> DataFrame:
+def pair_verdicts(pairs: DataFrame, policies: DataFrame, claims: DataFrame, via: DataFrame | None = None) -> DataFrame:
     """(src, dst, value, verdict): forbidden, disallowed or null.
 
     A forbidden entry wins over an allowed one; an entry that exempts type-only
     imports lets those pass.  A claim without any declared ceiling allows nothing.
+    ``via`` (src, dst, via) names the claims of the units that a pair's edges come
+    from: what such a claim is granted, and not forbidden, passes for the pair.
     """
     banned = policies.where("list = 'forbidden'").select(F.col("name").alias("src"), F.col("target").alias("dst"), F.col("type_only").alias("_ban"))
     granted = policies.where("list = 'depend_on'").groupBy(F.col("name").alias("src"), F.col("target").alias("dst")).agg(F.min("type_only").alias("_grant"))
     known = claims.select(F.col("name").alias("src"), F.lit(True).alias("_known"))
-    out = pairs.join(F.broadcast(banned), ["src", "dst"], "left").join(F.broadcast(granted), ["src", "dst"], "left").join(F.broadcast(known), "src", "left")
+    out = pairs.join(F.broadcast(banned), ["src", "dst"], "left").join(F.broadcast(granted), ["src", "dst"], "left").join(F.broadcast(known), "src", "left")  # as small as the rules
+    if via is not None:
+        rows = via.join(F.broadcast(granted.toDF("via", "dst", "_mode")), ["via", "dst"]).join(F.broadcast(banned.select(F.col("src").alias("via"), "dst")), ["via", "dst"], "left_anti")
+        lent = rows.groupBy("src", "dst").agg(F.min(F.when(F.col("_mode") == "exempt", 1).otherwise(0)).alias("_lent"))
+        out = out.join(lent, ["src", "dst"], "left").withColumn("_grant", F.when((F.col("_lent") == 0) | (F.col("_lent") == 1) & ~F.col("value"), "count").otherwise(F.col("_grant")))
     passes = (F.col("_ban") == "exempt") & ~F.col("value")
     verdict = (
         F.when(F.col("_known").isNull(), None)
@@ -280,19 +286,41 @@ def async_findings(entries: DataFrame, events: DataFrame, publishers: DataFrame,
     return lost.unionByName(pub).unionByName(sub).unionByName(ends[0]).unionByName(ends[1])
 
 
-def schema_drift(entries: DataFrame, records: DataFrame, bases: DataFrame, bound: DataFrame) -> DataFrame:
-    """Fields that a subscriber binds and the publisher's record, or a base of it, does not declare.
+def schema_drift(entries: DataFrame, records: DataFrame, bases: DataFrame, enums: DataFrame, bound: DataFrame, own: DataFrame) -> DataFrame:
+    """Fields that a subscriber binds and no record of the event declares, and enum fields that it binds as text.
 
-    ``records`` has event and field, ``bases`` event and base, ``bound`` dst,
-    event and field.  Bases are followed to their end.
+    Records go by the event's simple name, wherever they are declared, with all
+    that their bases declare.  An entry whose event has no such record, or whose
+    subscriber binds no field of it, is silent.  Of the enum fields an entry
+    names one: bound as text, else seen as text further on, else of a record of
+    the subscriber's own that has the field as a string; the smallest of its sort.
+
+    ``records`` has record, field (null of a record without any) and type,
+    ``bases`` record and base, ``enums`` name, ``bound`` dst, record, field,
+    bound and projected (as text), ``own`` dst, record, field and type.
     """
     from ..operators.graph import closure
 
-    chain = closure(bases.select(F.col("event").alias("src"), F.col("base").alias("dst"))).select(F.col("src").alias("event"), F.col("dst").alias("of"))
-    whole = records.unionByName(chain.join(records.select(F.col("event").alias("of"), "field"), "of").select("event", "field")).distinct()
-    lost = entries.join(bound, ["dst", "event"]).join(whole, ["event", "field"], "left_anti")
-    text = F.concat(F.lit("async drift field absent: "), "dst", F.lit(" binds "), "event", F.lit("."), "field", F.lit(" — the publisher record declares no such field (entry #"), F.col("entry").cast("string"), F.lit(")"))
-    return finding(lost, "warning", text, "warning", F.col("entry"))
+    named = entries.withColumn("record", P.simple_event("event"))
+    chain = closure(bases.select(F.col("record").alias("src"), F.col("base").alias("dst"))).select(F.col("src").alias("record"), F.col("dst").alias("of"))
+    same = records.select("record").unionByName(bases.select("record")).distinct().withColumn("of", F.col("record"))
+    whole = chain.unionByName(same).distinct().join(records.withColumnRenamed("record", "of"), "of").select("record", "field", "type").distinct()
+    binds = bound.where("bound").select("dst", "record").distinct()
+    speaks = named.join(whole.select("record").distinct(), "record").join(binds, ["dst", "record"])
+    asked = speaks.join(bound, ["dst", "record"])
+    mark = F.concat(F.lit(" (entry #"), F.col("entry").cast("string"), F.lit(")"))
+    where = F.concat("dst", F.lit(" binds "), "event", F.lit("."), "field")
+    lost = asked.where("bound").join(whole.select("record", "field").distinct(), ["record", "field"], "left_anti")
+    absent = finding(lost, "warning", F.concat(F.lit("async drift field absent: "), where, F.lit(" — the publisher record declares no such field"), mark), "warning", F.col("entry"))
+    plain = F.element_at(F.split(F.regexp_extract("type", "^([^<]*)", 1), "[.:]"), -1)
+    of_enum = whole.withColumn("name", F.trim(plain)).join(enums.select("name").distinct(), "name", "left_semi").select("record", "field").distinct()
+    text = own.where(F.lower(F.trim(F.element_at(F.split(F.rtrim(F.regexp_extract("type", "^([^<]*)", 1), F.lit("? ")), "[.:]"), -1))) == "string")
+    text = text.select("dst", "record", "field").distinct().withColumn("_own", F.lit(True))
+    rank = F.when(F.col("bound") & F.col("projected"), 1).when(F.col("projected"), 2).when(F.col("bound") & F.col("_own"), 3)
+    shown = asked.join(of_enum, ["record", "field"], "left_semi").join(text, ["dst", "record", "field"], "left").withColumn("_rank", rank).where("_rank is not null")
+    first = shown.groupBy("entry", "dst", "event").agg(F.min_by("field", F.struct("_rank", "field")).alias("field"))
+    enum = finding(first, "warning", F.concat(F.lit("async drift enum projection: "), where, F.lit(" as a string projection of the publisher's enum field"), mark), "warning", F.col("entry"))
+    return absent.unionByName(enum)
 
 
 def producer_findings(producers: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -321,18 +349,45 @@ def ring_kinds(rings: DataFrame, value_edges: DataFrame) -> DataFrame:
     return kinds.select("component", "ring", F.when(F.col("real"), "runtime").otherwise("type-assisted").alias("kind"))
 
 
-def cycle_findings(rings: DataFrame, exempt: DataFrame, today: str, tier: str = "module", severity: str = "warning") -> DataFrame:
-    """One finding for each ring, less what exemptions cover; expired and stale ones are warned of.
+def tier_rings(rings: DataFrame, tier: str, severity: str, kinds: list[str] | None = None) -> DataFrame:
+    """(identity, text, tier, severity) of ``rings`` (ring, kind, and claim where files have a common one), for cycle_findings.
+
+    ``kinds`` names the kinds of ring that are told, all where it is empty.
+    """
+    identity = F.array_join("ring", " -> ")
+    told = rings.where(F.col("kind").isin(*kinds)) if kinds else rings
+    text = F.concat(identity, F.lit(" ("), "kind", F.lit(")"))
+    if "claim" in rings.columns:
+        text = F.when(F.col("claim").isNotNull(), F.concat("claim", F.lit(": "), text)).otherwise(text)
+    return told.select(identity.alias("identity"), text.alias("text"), F.lit(tier).alias("tier"), F.lit(severity).alias("severity"))
+
+
+def _exempted(found: DataFrame, exempt: DataFrame, today: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rings that no exemption covers, exemptions, the (entry, …) that met a ring)."""
+    each = found.groupBy("identity", "text", "tier").agg(F.min("severity").alias("severity"))  # error comes before warning
+    of = (F.col("identity") == F.col("cycle")) & ((F.col("of_tier") == "both") | (F.col("of_tier") == F.col("tier")))
+    entries = exempt.select("entry", F.trim("cycle").alias("cycle"), F.col("tier").alias("of_tier"), "cap", (F.col("until").isNotNull() & (F.col("until") < today)).alias("expired"))
+    met = each.join(F.broadcast(entries.where("not expired")), of)  # as small as the rules
+    turn = "row_number() over (partition by entry order by severity, text) as n"
+    covered = met.selectExpr("text", "cap", turn).where("cap is null or n <= greatest(cap, 1)").select("text").distinct()
+    return each.join(covered, "text", "left_anti"), entries, met
+
+
+def debts(found: DataFrame, exempt: DataFrame, today: str) -> DataFrame:
+    """(ring, tier) of the rings of tier_rings that no exemption covers."""
+    return _exempted(found, exempt, today)[0].select(F.col("identity").alias("ring"), "tier").distinct().orderBy("tier", "ring")
+
+
+def cycle_findings(found: DataFrame, exempt: DataFrame, today: str) -> DataFrame:
+    """One finding for each ring of tier_rings, less what exemptions cover; expired and stale ones are warned of.
 
-    An entry covers the first ``cap`` findings of its identity in order; past its
-    date it covers nothing.
+    A ring that is an error is no warning as well.  An entry covers the first
+    ``cap`` findings of its identity and tier (or of both tiers), errors before
+    warnings and then by text; past its date it covers nothing.
     """
-    text = F.array_join("ring", " -> ")
-    found = rings.withColumn("identity", text).withColumn("text", F.concat(text, F.lit(" ("), "kind", F.lit(")")))
-    live = exempt.where(F.col("tier") == tier)
-    current = live.where(F.col("until").isNull() | (F.col("until") >= today))
-    covered = found.join(current, found.identity == current.cycle).selectExpr("text", "cap", "row_number() over (partition by entry order by text) as n").where("cap is null or n <= cap").select("text")
-    left = finding(found.join(covered, "text", "left_anti"), "cycle detected in" if severity == "error" else "warning", F.col("text") if severity == "error" else F.concat(F.lit("cycle: "), "text"), severity)
-    expired = finding(live.join(current, "entry", "left_anti"), "warning", F.concat(F.lit("exempt expired: "), "tier", F.lit(" "), "cycle"), "warning")
-    stale = finding(current.join(found.select(F.col("identity").alias("cycle")), "cycle", "left_anti"), "warning", F.concat(F.lit("exempt stale: "), "tier", F.lit(" "), "cycle"), "warning")
-    return left.unionByName(expired).unionByName(stale)
+    left, entries, met = _exempted(found, exempt, today)
+    error = F.col("severity") == "error"
+    told = left.select(F.when(error, "cycle detected in").otherwise("warning").alias("category"), "severity", F.when(error, F.col("text")).otherwise(F.concat(F.lit("cycle: "), "text")).alias("message"), F.lit(0).alias("entry"))
+    expired = finding(entries.where("expired"), "warning", F.concat(F.lit("exempt expired: "), "of_tier", F.lit(" "), "cycle"), "warning")
+    stale = finding(entries.where("not expired").join(met.select("entry").distinct(), "entry", "left_anti"), "warning", F.concat(F.lit("exempt stale: "), "of_tier", F.lit(" "), "cycle"), "warning")
+    return told.unionByName(expired).unionByName(stale)

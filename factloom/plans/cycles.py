@@ -47,10 +47,14 @@ def file_cycles(file_edges: DataFrame, owned: DataFrame, lineage: DataFrame, cla
 
     ``mod`` rows and gated files make no cycle.  A component is left out if every
     step of it from one claim to another is a step of a reported claim cycle and
-    there is such a step.  ``owned`` has path (of a file) and name.
+    there is such a step.  ``owned`` has path (of a file) and name.  A leg is a
+    value edge if some row of it is not type-only (``type_only``, where
+    ``file_edges`` has it: languages without that mark have value edges alone).
     """
+    if "type_only" not in file_edges.columns:
+        file_edges = file_edges.withColumn("type_only", F.lit(False))
     live = file_edges.where("kind <> 'mod'").join(gated.select(F.col("path").alias("src")), "src", "left_anti").join(gated.select(F.col("path").alias("dst")), "dst", "left_anti")
-    edges = settle(live.select("src", "dst").where("src <> dst").distinct())
+    edges = settle(live.where("src <> dst").groupBy("src", "dst").agg(F.bool_and("type_only").alias("type_only")))
     parts = settle(graph.strong_components(edges))
     inside = edges.join(parts.toDF("src", "c"), "src").join(parts.toDF("dst", "d"), "dst").where("c = d")
     own = owned.select("path", "name")
@@ -59,42 +63,35 @@ def file_cycles(file_edges: DataFrame, owned: DataFrame, lineage: DataFrame, cla
     told = steps.join(legs.withColumn("_t", F.lit(True)), ["a", "b"], "left").groupBy(F.col("c").alias("component")).agg(F.bool_and(F.coalesce("_t", F.lit(False))).alias("told")).where("told")
     rings = graph.rings(edges, parts).join(told, "component", "left_anti")
     members = parts.join(own.toDF("node", "claim"), "node").select("component", "claim")
-    return checks.ring_kinds(rings, edges).join(common_claims(members, lineage), "component", "left")
+    return checks.ring_kinds(rings, edges.where("not type_only")).join(common_claims(members, lineage), "component", "left")
 
 
-def async_rings(direct: DataFrame, declared: DataFrame, max_edges: int = graph.LOCAL_EDGES) -> DataFrame:
+def async_rings(direct: DataFrame, declared: DataFrame, local_edges: int = graph.LOCAL_EDGES) -> DataFrame:
     """(ring, kind) of direct edges and declared publish legs (src, dst, publisher_only).
 
     A direct edge is carved out if every declared leg the other way only
     publishes and there is one.  Of each component the first simple ring through
     its smallest node counts if a leg of it is declared; each declared leg whose
     opposite direct edge stays is a mixed ring of two.  The depth-first law is
-    sequential, so that the edge count is checked first.
+    sequential, so that each component is walked in a task of its own.
     """
     back = declared.groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.bool_and("publisher_only").alias("_carve"))
     kept = direct.select("src", "dst").distinct().join(back, ["src", "dst"], "left").where("_carve is null or not _carve").select("src", "dst", F.lit(False).alias("soft"))
     both = settle(kept.unionByName(declared.select("src", "dst", F.lit(True).alias("soft")).distinct()))
-    if both.count() > max_edges:
-        raise ValueError(f"more than {max_edges} edges: depth-first rings are for declared graphs")
+    parts = graph.strong_components(both, local_edges)
+    inside = both.join(parts.toDF("src", "c"), "src").join(parts.toDF("dst", "d"), "dst").where("c = d").select("c", "src", "dst", "soft")
 
     def run(table: pa.Table) -> pa.Table:
         rows = [*zip(*(table.column(c).to_pylist() for c in ("src", "dst", "soft")))]
-        hard, soft = {r[:2] for r in rows if not r[2]}, {r[:2] for r in rows if r[2]}
-        out: dict[str, list[str]] = {}
-        for a, b in sorted(hard | soft):
+        soft, out = {r[:2] for r in rows if r[2]}, {}
+        for a, b in sorted({r[:2] for r in rows}):
             out.setdefault(a, []).append(b)
-        found = set()
-        for part in graph.tarjan(hard | soft):
-            ring = graph.simple_ring(part, out)
-            if ring:
-                legs = set(zip(ring, ring[1:]))
-                if legs & soft - hard or legs & soft:
-                    found.add((tuple(ring), "mixed" if legs - soft else "async"))
-        for a, b in soft:
-            if (b, a) in hard and a != b:
-                low, high = sorted((a, b))
-                found.add(((low, high, low), "mixed"))
-        ordered = sorted(found)
-        return pa.table([pa.array([list(r) for r, _ in ordered], pa.list_(pa.string())), pa.array([k for _, k in ordered], pa.string())], names=["ring", "kind"])
-
-    return both.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, "ring array<string>, kind string")
+        ring = graph.simple_ring([*out], out) or []
+        legs = set(zip(ring, ring[1:]))
+        told = bool(legs & soft)
+        return pa.table([pa.array([ring] * told, pa.list_(pa.string())), pa.array(["mixed" if legs - soft else "async"] * told, pa.string())], names=["ring", "kind"])
+
+    whole = inside.groupBy("c").applyInArrow(run, "ring array<string>, kind string")
+    two = both.where("soft and src <> dst").join(both.where("not soft").select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    return whole.unionByName(two.select(F.array(low, high, low).alias("ring"), F.lit("mixed").alias("kind"))).distinct()

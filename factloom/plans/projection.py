@@ -58,14 +58,19 @@ class Facts:
         """(unit, src, dst, kind)."""
         return self.imports().where("src_file <> dst_file").select("unit", F.col("src_file").alias("src"), F.col("dst_file").alias("dst"), F.lit("use").alias("kind")).distinct()
 
+    def file_graph(self) -> DataFrame:
+        """(unit, src, dst, kind, type_only): the imports of files inside a unit."""
+        inside = self.imports().where("src_file <> dst_file and startswith(dst, concat(unit, '::'))")
+        rows = inside.groupBy("unit", F.col("src_file").alias("src"), F.col("dst_file").alias("dst")).agg(F.bool_and("type_only").alias("type_only"))
+        return rows.select("unit", "src", "dst", F.lit("use").alias("kind"), "type_only")
+
     def modules(self) -> DataFrame:
         """(unit, path)."""
         return self.table("part").select(F.col("p_brand").alias("unit"), F.concat_ws("::", "p_brand", "p_type").alias("path")).distinct()
 
     def cycle_graph(self) -> DataFrame:
-        """(src, dst): the heaviest edge of each module."""
-        w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-        return self.module_edges().withColumn("r", F.row_number().over(w)).where("r = 1").select("src", "dst")
+        """(src, dst): the edges between modules of one unit."""
+        return self.module_edges().where("startswith(dst, concat(unit, '::'))").select("src", "dst")
 
     def literal_sites(self) -> DataFrame:
         """(unit, path, language, value, noun, pattern): a site for each event."""
@@ -83,6 +88,24 @@ class Facts:
         sub = s.where("noun = 'purchase'").select(F.col("unit").alias("dst"), "value").distinct()
         return pub.join(sub, "value").where("src <> dst").select("src", "dst", "event")
 
+    def event_records(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(records, bases, enums, bound, own) for schema drift: every event value but each fifth has a record, each third a base."""
+        edges = self.async_edges()
+        value = F.element_at(F.split("event", "[.]"), -1)
+        events = edges.select(value.alias("record"), value.cast("int").alias("k")).distinct()
+        fields = F.array(F.struct(F.lit("id").alias("f"), F.lit("int").alias("t")), F.struct(F.lit("state").alias("f"), F.when(F.col("k") % 2 == 0, "Shop.State").otherwise("string").alias("t")))
+        records = events.where("k % 5 <> 0").select("record", F.explode(fields).alias("x")).select("record", F.col("x.f").alias("field"), F.col("x.t").alias("type"))
+        base = self.spark.createDataFrame([("Base", "at", "Level"), ("Base", "who", "string"), ("Root", "key", "long")], "record string, field string, type string")
+        bases = events.where("k % 3 = 0").select("record", F.lit("Base").alias("base")).unionByName(self.spark.createDataFrame([("Base", "Root")], "record string, base string"))
+        enums = self.spark.createDataFrame([("State",), ("Level",)], "name string")
+        binds = edges.select("dst", value.alias("record"), value.cast("int").alias("k")).distinct()
+        seen = F.filter(F.array(*map(F.lit, ("id", "state", "at", "key", "price"))), lambda x: (x != "price") | (F.col("k") % 7 == 0))
+        rows = binds.select("dst", "record", "k", F.explode(seen).alias("field"))
+        hop = (F.col("field") == "at") & (F.col("k") % 4 == 1)
+        bound = rows.select("dst", "record", "field", (~hop).alias("bound"), ((F.col("field") == "state") & (F.col("k") % 4 == 0) | hop).alias("projected"))
+        own = binds.where("k % 4 = 2").select("dst", "record", F.lit("state").alias("field"), F.lit("System.String?").alias("type"))
+        return records.unionByName(base), bases, enums, bound, own
+
     def page_links(self) -> DataFrame:
         """(module, package): a page's host and what it links to."""
         pages = self.table("pages")

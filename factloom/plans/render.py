@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from .checks import CENSUS_ROWS
+
 #: FNV-1a, 64 bits. Fixed values.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -82,7 +84,11 @@ def tree(paths: list[str], sep: str = "::") -> str:
 def findings_text(rows: list[tuple[str, str, str]], strict: bool = False) -> str:
     """K2: a line for each (category, severity, message); what a pass looks like if there is none."""
     marks = {"error": "error", "warning": "error" if strict else "warning"}
-    lines = [f"[{marks[s]}] {c}: {m}" if c != "warning" else f"[{marks[s]}] {m}" for c, s, m in rows]
+    told = lambda s, m: "warning" if s == "warning" and m.startswith(CENSUS_ROWS) else marks[s]
+    lines = [f"[{told(s, m)}] {c}: {m}" if c != "warning" else f"[{told(s, m)}] {m}" for c, s, m in rows]
+    vacuous = [m.removeprefix("vacuous constraint: ").split(":")[0] for c, s, m in rows if m.startswith("vacuous constraint: ")]
+    if rows and len(vacuous) == len(rows):  # nothing was found, but not all was checked either
+        lines.insert(0, f"verify: vacuous constraints: {', '.join(sorted(set(vacuous)))}")
     return "\n".join(lines or ["verify: PASS"]) + "\n"
 
 

@@ -12,8 +12,8 @@ excluded_sources = [
 [[module]]
 name = "core"
 matches = { modules = ["Brand#1*"] }
-allowed = { depend_on = ["edge", "promo"], forbidden = ["rest"] }
-contract = { expose = ["LARGE*", "*_1*"] }
+allowed = { depend_on = ["edge", "promo", "void", "promos"], forbidden = ["rest"] }
+contract = { expose = ["LARGE*", "*_1*"], forbid = ["tiny"] }
   [[module.submodules]]
   name = "core_large"
   matches = { modules = ["Brand#1*::LARGE", "Brand#10::LARGE"] }
@@ -25,7 +25,7 @@ contract = { expose = ["LARGE*", "*_1*"] }
 [[module]]
 name = "edge"
 matches = { modules = ["Brand#2*"] }
-allowed = { depend_on = ["core", "promo", "core_misc", "ghost"] }
+allowed = { depend_on = ["core", "promo", "core_misc", "ghost", "edge_smal", "void"] }
   [[module.submodules]]
   name = "edge_small"
   matches = { modules = ["Brand#2::SMALL", "Brand#21::SMALL"] }
@@ -37,16 +37,34 @@ matches = { modules = ["PROMO"] }
 [[module]]
 name = "rest"
 matches = { units = ["Brand#7", "Brand#8*"], modules = ["Brand#3*", "Brand#5*", "Brand#6"] }
-allowed = { depend_on = ["core", "edge", "promo"] }
+allowed = { depend_on = ["core", "edge", "promo", "hiden"], forbidden = ["cores"] }
 
 [[module]]
 name = "hidden"
 matches = { modules = ["Brand#4::*"] }
-allowed = { depend_on = [] }
+allowed = { depend_on = ["void", "nothing_like_it"] }
 
 [[module]]
 name = "void"
 matches = { modules = ["Nothing*"] }
+allowed = { depend_on = ["core", "edge", "promo", "rest", "hidden"], forbidden = ["core_larg"] }
+
+[[module]]
+name = "twin"
+matches = { modules = ["Brand#5*"] }
+allowed = { depend_on = ["core"] }
+
+[[module]]
+name = "shadow"
+matches = { modules = ["Brand#21::SMALL"] }
+
+[[module]]
+name = "empty"
+matches = { modules = ["*::TITANIC"], units = ["Brand#99"] }
+
+[[stereotype]]
+name = "tiny"
+match = { names = ["*_1", "SMALL_*"] }
 
 [[constraint]]
 type = "no_cycles"

@@ -21,6 +21,7 @@ class View:
     nodes: DataFrame
     edges: DataFrame
     grain: str = "modules"
+    of: DataFrame | None = None  # (path, node), where paths were folded
 
 
 def fold(modules: DataFrame, edges: DataFrame, node: Column, src: Column, dst: Column, grain: str) -> View:
@@ -28,7 +29,8 @@ def fold(modules: DataFrame, edges: DataFrame, node: Column, src: Column, dst: C
     kept = edges.select(src.alias("src"), dst.alias("dst")).where("src is not null and dst is not null")
     nodes = modules.select(node.alias("node")).where("node is not null")
     ends = kept.select(F.col("src").alias("node")).unionByName(kept.select(F.col("dst").alias("node")))
-    return View(nodes.unionByName(ends).distinct(), kept.where("src <> dst").distinct(), grain)
+    of = modules.select("path", node.alias("node")).where("node is not null").distinct()
+    return View(nodes.unionByName(ends).distinct(), kept.where("src <> dst").distinct(), grain, of)
 
 
 def top_modules(modules: DataFrame, edges: DataFrame) -> View:
@@ -138,6 +140,15 @@ def crowded_note(view: View) -> str | None:
     return f"{n} nodes: the view is too crowded to read, choose a coarser one" if n > CROWDED else None
 
 
+def collision_note(view: View) -> str | None:
+    """How many nodes stand for paths of more than one unit."""
+    if view.of is None:
+        return None
+    units = view.of.groupBy("node").agg(F.count_distinct(F.element_at(P.segments("path"), 1)).alias("n"))
+    n = units.where("n > 1").count()
+    return f"{n} nodes stand for modules of more than one unit" if n else None
+
+
 def soft_nodes(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """V9: nodes of the clusters overlay: modules and endpoints; the edges keep their multiplicity."""
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))

@@ -71,6 +71,29 @@ class Run:
         rings = graph.rings(edges, graph.strong_components(edges))
         return checks.ring_kinds(rings, self.facts.module_edges().where("not type_only"))
 
+    def patterns_of(self, *kinds: str) -> DataFrame:
+        return self.rules.patterns(*kinds)
+
+    def owned_any(self) -> DataFrame:
+        """(name): claims that some module matches, whoever owns it."""
+        return self.scores().select("name").distinct()
+
+    def scores(self) -> DataFrame:
+        return owners.claim_scores(self.paths(), self.patterns())
+
+    def file_owners(self) -> DataFrame:
+        """(path, name): files by the claim of their module."""
+        files = _files(self.spark, self.facts.dir)
+        module = F.regexp_replace("path", r"^(.*)/src/(.*)/m[0-9]+\.ts$", "$1::$2")
+        return files.select("path", module.alias("m")).join(self.owned().select(F.col("path").alias("m"), "name"), "m").select("path", "name")
+
+    def evidence(self) -> DataFrame:
+        """(src, dst, files): pairs of claims that file imports join."""
+        own = self.owned().select("path", "name")
+        e = self.facts.imports().where("src <> dst").select("src", "dst", F.col("src_file").alias("file")).distinct()
+        pairs = e.join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "file")
+        return census.evidence(pairs)
+
     def resolved_producers(self) -> DataFrame:
         units = self.facts.units().select("name", F.col("path").alias("root"))
         spellings = self.facts.units().select(F.col("name").alias("spelling"), F.col("name").alias("unit"), F.lit(0).alias("ord"))
@@ -283,10 +306,26 @@ def j16_resolved_units(spark, sf_dir):
     return Run(spark, sf_dir).resolved_producers()
 
 
+@query
+def j15_paired_sites(spark, sf_dir):
+    f = Facts(spark, sf_dir)
+    sides = Rules(spark, SPEC).sides()
+    spoken = f.literal_sites().select("path", "language", "noun", "value").distinct()
+    more = F.explode(F.sequence(F.lit(1), F.when(F.col("value").cast("int") % 3 == 0, 2).otherwise(1)))
+    tag, position = F.when(F.col("noun") == "click", "property").otherwise("call"), F.when(F.col("noun") == "purchase", 1).otherwise(0)
+    # one file, so that two nouns of a pattern share a key; its candidates come in the order of their nouns
+    candidates = spoken.select(F.lit("f.ts").alias("path"), "language", tag.alias("tag"), "noun", position.alias("position"), F.concat(F.element_at(F.split("path", "/"), 1), F.lit(":"), "value").alias("value"), more.alias("again"))
+    candidates = candidates.withColumn("ord", F.struct("noun", "again"))
+    sites = events.matched_sides(candidates, sides).select("pattern", "path", "language", "value", "tag", F.explode(F.array(F.lit(1), F.lit(2))).alias("ord")).distinct()
+    return big(events.paired_sites(sites, candidates, sides), "ord").select("pattern", "language", "value", "tag", "ord", "noun")
+
+
 @query
 def j17_attribution(spark, sf_dir):
-    r = Run(spark, sf_dir)
-    return joined(events.attribution(r.rules.async_depends(), r.facts.async_edges()), "derived_from")
+    f = Facts(spark, sf_dir)
+    edges = f.async_edges()
+    declared = edges.join(f.units().select(F.col("name").alias("src"), "root"), "src").select(F.col("root").alias("src"), "dst", "event")
+    return joined(events.attribution(declared.unionByName(edges), edges), "derived_from")
 
 
 @query
@@ -315,14 +354,6 @@ def j20_out_of_view(spark, sf_dir):
 
 @query
 def j21_edge_labels(spark, sf_dir):
-    rows = Facts(spark, sf_dir).async_edges()
-    twin = rows.where(F.col("event").isin("shop.order.7", "shop.order.8")).withColumn("event", F.replace("event", F.lit("shop"), F.lit("mall")))
-    some = rows.where(F.col("event").isin("shop.order.7", "shop.order.8", "shop.order.9"))
-    return events.edge_labels(some.unionByName(twin))
-
-
-@query
-def j21_edge_labels_whole(spark, sf_dir):
     rows = Facts(spark, sf_dir).async_edges()
     return events.edge_labels(rows.unionByName(rows.withColumn("event", F.replace("event", F.lit("shop"), F.lit("mall")))))
 
@@ -376,11 +407,22 @@ def g9_ring_kinds(spark, sf_dir):
 
 @query
 def g10_exempt_cycles(spark, sf_dir):
-    r = Run(spark, sf_dir)
-    rings = r.rings()
-    rows = rings.select(F.lit(1).alias("entry"), F.array_join("ring", " -> ").alias("cycle"), F.lit("module").alias("tier"), F.lit(1).cast("long").alias("cap"), F.lit("2999-01-01").alias("until"), F.lit("debt").alias("reason"))
-    old = spark.createDataFrame([(2, "a -> b -> a", "module", None, "2020-01-01", "old"), (3, "c -> d -> c", "module", None, None, "gone")], "entry int, cycle string, tier string, cap long, until string, reason string")
-    return checks.cycle_findings(rings, rows.unionByName(old), "2024-06-01").drop("entry")
+    rings = Run(spark, sf_dir).rings()
+    found = checks.tier_rings(rings, "module", "warning")
+    every = rings.select(F.array_join("ring", " -> ").alias("cycle"), F.element_at(F.split(F.element_at("ring", 1), "#|::"), 2).cast("int").alias("entry"))
+    tier = F.when(F.col("entry") % 4 == 0, "file").when(F.col("entry") % 4 == 1, "both").otherwise("module")
+    until = F.when(F.col("entry") % 3 == 0, "2020-01-01")
+    rows = every.where("entry % 5 <> 0").select("entry", "cycle", tier.alias("tier"), F.lit(1).cast("long").alias("cap"), until.alias("until"), F.lit("debt").alias("reason"))
+    old = spark.createDataFrame([(102, "a -> b -> a", "module", None, "2020-01-01", "old"), (103, "c -> d -> c", "both", None, None, "gone")], "entry int, cycle string, tier string, cap long, until string, reason string")
+    return checks.cycle_findings(found, rows.unionByName(old), "2024-06-01").drop("entry")
+
+
+@query
+def u2_warnings_less_errors(spark, sf_dir):
+    rings = Run(spark, sf_dir).rings()
+    found = checks.tier_rings(rings, "module", "error", ["runtime"]).unionByName(checks.tier_rings(rings, "module", "warning"))
+    none = spark.createDataFrame([], "entry int, cycle string, tier string, cap long, until string, reason string")
+    return checks.cycle_findings(found, none, "2024-06-01").drop("entry")
 
 
 @query
@@ -389,13 +431,20 @@ def g12_clusters(spark, sf_dir):
     return graph.clusters(views.soft_nodes(f.modules(), f.module_edges()), f.module_edges())
 
 
+@query
+def g12_cluster_outcome(spark, sf_dir):
+    f = Facts(spark, sf_dir)
+    return graph.cluster_outcome(views.soft_nodes(f.modules(), f.module_edges()), f.module_edges())
+
+
 @query
 def g13_laundered(spark, sf_dir):
-    e = Facts(spark, sf_dir).cycle_graph()
-    hop = e.where("src like 'Brand#1%'")
-    direct = e.where("src not like 'Brand#1%'")
-    forbidden = e.select(F.col("src").alias("a")).join(e.select(F.col("dst").alias("b")).distinct()).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return graph.laundered(direct, hop, forbidden)
+    f = Facts(spark, sf_dir)
+    e = settle(f.unit_edges())
+    units = f.table("nation").select("n_name", "n_regionkey")
+    after = units.select(F.col("n_name").alias("dst"), F.pmod(F.col("n_regionkey") - 1, F.lit(5)).alias("n_regionkey"))
+    bans = units.join(after, "n_regionkey").select(F.col("n_name").alias("src"), "dst")  # each unit of the next region
+    return graph.laundered(e, e.where("src like 'NATION_1%' or src > dst"), bans)
 
 
 @query
@@ -542,11 +591,7 @@ def a9_cycle_census(spark, sf_dir):
 
 @query
 def a10_evidence(spark, sf_dir):
-    r = Run(spark, sf_dir)
-    own = r.owned().select("path", "name")
-    e = r.facts.imports().where("src <> dst").select("src", "dst", F.col("src_file").alias("file")).distinct()
-    pairs = e.join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "file")
-    return joined(census.evidence(pairs), "files")
+    return joined(Run(spark, sf_dir).evidence(), "files")
 
 
 @query
@@ -579,8 +624,7 @@ def _missing(r: Run) -> DataFrame:
     pairs = owners.boundary_pairs(placed)
     gated = placed.where("placed = 'gated' and src_claim is not null and dst_claim is not null").select(F.col("src_claim").alias("src"), F.col("dst_claim").alias("dst")).distinct()
     unowned = placed.where("placed = 'unowned'").select(F.col("src_claim").alias("src"), F.col("dst_claim").alias("dst"))
-    none = pairs.limit(0).select("src", "dst")
-    return checks.missing_edges(pairs, r.rules.claims(), r.rules.allowed(), r.rules.lineage(), gated, unowned.where("src is not null"), none)
+    return checks.missing_edges(pairs, r.rules.claims(), r.rules.allowed(), r.rules.lineage(), gated, unowned.where("src is not null"), r.evidence().select("src", "dst"))
 
 
 @query
@@ -591,16 +635,7 @@ def r3_missing_edges(spark, sf_dir):
 @query
 def r4_used_undeclared(spark, sf_dir):
     r = Run(spark, sf_dir)
-    shown = a10_evidence(spark, sf_dir).withColumn("files", F.split("files", ","))
-    few = r.pairs().where("dst <> 'promo'")
-    return checks.used_undeclared(shown.where("src like '%large'"), few).select("category", "message")
-
-
-@query
-def r4_used_undeclared_whole(spark, sf_dir):
-    r = Run(spark, sf_dir)
-    shown = a10_evidence(spark, sf_dir).withColumn("files", F.split("files", ","))
-    return checks.used_undeclared(shown, r.pairs().where("dst <> 'promo'")).select("category", "message")
+    return checks.used_undeclared(r.evidence(), r.pairs().where("dst <> 'promo'")).select("category", "message")
 
 
 @query
@@ -615,12 +650,23 @@ def _contracts(r: Run) -> tuple[DataFrame, DataFrame]:
     return shown.join(owned, "path").select("claim", "symbol").distinct(), owned
 
 
+def _forbidden(r: Run) -> tuple[DataFrame, DataFrame]:
+    """(claim, stereotype) with what ancestors forbid, and (stereotype, pattern)."""
+    own = r.spark.createDataFrame([(c.name, s) for c in SPEC.claims for s in c.forbid], "anc_name string, stereotype string")
+    forbids = r.rules.lineage().select(F.col("name").alias("claim"), "anc_name").join(own, "anc_name").select("claim", "stereotype").distinct()
+    return forbids, r.spark.createDataFrame([(x["name"], p) for x in SPEC.stereotypes for p in x["names"]], "stereotype string, pattern string")
+
+
+def _exposing(r: Run) -> DataFrame:
+    declaring = r.spark.createDataFrame([(c.name, c.expose) for c in SPEC.claims if c.expose is not None] + [("core_large", ["LARGE_1*"])], "chain string, patterns array<string>")
+    return r.rules.lineage().select(F.col("name").alias("claim"), F.col("anc_name").alias("chain")).join(declaring, "chain")
+
+
 @query
 def r6_contract_leaks(spark, sf_dir):
     r = Run(spark, sf_dir)
     shown, _ = _contracts(r)
-    forbids = r.rules.lineage().where("anc_name = 'core'").select(F.col("name").alias("claim"), F.lit("tiny").alias("stereotype"))
-    kinds = spark.createDataFrame([("tiny", "*_1"), ("tiny", "SMALL_*")], "stereotype string, pattern string")
+    forbids, kinds = _forbidden(r)
     return checks.contract_leaks(shown.withColumnRenamed("symbol", "name"), forbids, kinds).select("category", "message")
 
 
@@ -628,10 +674,7 @@ def r6_contract_leaks(spark, sf_dir):
 def r7_unexposed(spark, sf_dir):
     r = Run(spark, sf_dir)
     shown, _ = _contracts(r)
-    rows = [(c.name, c.expose) for c in SPEC.claims if c.expose is not None] + [("core_large", ["LARGE_1*"])]
-    declaring = spark.createDataFrame(rows, "chain string, patterns array<string>")
-    exposing = r.rules.lineage().select(F.col("name").alias("claim"), F.col("anc_name").alias("chain")).join(declaring, "chain")
-    return checks.unexposed(shown, exposing)
+    return checks.unexposed(shown, _exposing(r))
 
 
 @query
@@ -701,13 +744,16 @@ def r18_async(spark, sf_dir):
     return checks.async_findings(r.rules.async_depends(), a, a, a, r.facts.units().select(F.col("name").alias("unit"))).select("category", "message", F.col("entry").cast("long"))
 
 
+def _declared_events(f: Facts) -> DataFrame:
+    """(entry, src, dst, event): every derived edge as a declared one, numbered by its event."""
+    return f.async_edges().select((F.element_at(F.split("event", "[.]"), -1).cast("int") + 1).alias("entry"), "src", "dst", "event")
+
+
 @query
 def r19_schema_drift(spark, sf_dir):
-    r = Run(spark, sf_dir)
-    records = spark.createDataFrame([("shop.order.7", "id"), ("Base", "at"), ("Root", "who")], "event string, field string")
-    bases = spark.createDataFrame([("shop.order.7", "Base"), ("Base", "Root")], "event string, base string")
-    bound = r.rules.async_depends().select("dst", "event", F.explode(F.array(*map(F.lit, ("id", "at", "who", "price")))).alias("field"))
-    return checks.schema_drift(r.rules.async_depends(), records, bases, bound).select("message", F.col("entry").cast("long"))
+    f = Facts(spark, sf_dir)
+    entries = _declared_events(f).select("entry", "dst", "event").distinct()
+    return checks.schema_drift(entries, *f.event_records()).select("message", F.col("entry").cast("long"))
 
 
 @query
@@ -722,11 +768,19 @@ def r21_ambiguous(spark, sf_dir):
     return owners.ambiguous_owners(r.paths(), r.patterns())
 
 
+def _components(r: Run) -> DataFrame:
+    """(category, message): claims that hold nothing, and units that no claim names."""
+    named = r.patterns_of("modules", "units").select("name").distinct()
+    hit = r.owned_any().unionByName(r.unit_owner().select("name")).distinct()
+    lost = named.join(hit, "name", "left_anti").select(F.lit("missing component").alias("category"), F.col("name").alias("message"))
+    units = r.facts.modules().select(F.col("unit").alias("value")).distinct()
+    mapped = owners.first_match(units, r.rules.patterns("units"))
+    return lost.unionByName(owners.split_unmatched(mapped).select("category", F.col("value").alias("message")))
+
+
 @query
 def r22_components(spark, sf_dir):
-    r = Run(spark, sf_dir)
-    lost = r.rules.claims().select("name").join(r.owned().select("name").distinct(), "name", "left_anti")
-    return lost.select(F.lit("missing component").alias("category"), F.col("name").alias("message"))
+    return _components(Run(spark, sf_dir))
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -792,17 +846,10 @@ def s9_config_chains(spark, sf_dir):
 
 @query
 def s8_candidates(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    e = Facts(spark, sf_dir).file_edges().where("unit = 'Brand#1'")
-    spec = e.select("src", F.concat(F.lit("../"), F.regexp_extract("dst", r"src/([A-Z]+/m[0-9]+)\.ts$", 1)).alias("specifier"))
-    return trees.candidates(spec, files)
-
-
-@query
-def s8_candidates_whole(spark, sf_dir):
     e = Facts(spark, sf_dir).file_edges()
-    spec = e.select("src", F.concat(F.lit("../"), F.regexp_extract("dst", r"src/([A-Z]+/m[0-9]+)\.ts$", 1)).alias("specifier"))
-    return trees.candidates(spec, _files(spark, sf_dir))
+    name = F.regexp_extract("dst", r"src/([A-Z]+/m[0-9]+)\.ts$", 1)
+    ending = F.when(F.rlike("dst", F.lit(r"[02468]\.ts$")), ".js").otherwise("")  # NodeNext spelling of a .ts file
+    return trees.candidates(e.select("src", F.concat(F.lit("../"), name, ending).alias("specifier")), _files(spark, sf_dir))
 
 
 @query
@@ -845,7 +892,9 @@ def s21_file_map(spark, sf_dir):
 def s25_orphans(spark, sf_dir):
     f = Facts(spark, sf_dir)
     part = f.table("part").select(F.concat("p_brand", F.lit("/src/"), "p_type", F.lit("/m"), F.col("p_size").cast("string"), F.lit(".ts")).alias("path"))
-    return census.orphans(part, f.file_edges().where("unit <> 'Brand#4'"), f.file_edges().where("1 = 0").select(F.col("src").alias("path")))
+    edges = f.file_edges().where("src not like '%/PROMO/%' and dst not like '%/PROMO/%'")
+    outside = f.file_edges().where("src like '%/PROMO/m1%'").select(F.col("src").alias("path"))
+    return census.orphans(part, edges, outside)
 
 
 # cycles, capability and explanation ----------------------------------------------------
@@ -859,18 +908,15 @@ def g7_claim_cycles(spark, sf_dir):
 @query
 def g8_file_cycles(spark, sf_dir):
     r = Run(spark, sf_dir)
-    files = _files(spark, sf_dir)
-    module = F.regexp_replace("path", r"^(.*)/src/(.*)/m[0-9]+\.ts$", "$1::$2")
-    owned = files.select("path", module.alias("m")).join(r.owned().select(F.col("path").alias("m"), "name"), "m").select("path", "name")
-    gated = files.where("path like '%/m7.ts'")
-    none = spark.createDataFrame([], "component string, ring array<string>, kind string")
-    return joined(cycles.file_cycles(r.facts.file_edges(), owned, r.rules.lineage(), none, gated), "ring")
+    gated = _files(spark, sf_dir).where("path like '%/m7.ts'")
+    told = cycles.claim_cycles(r.pairs())
+    return joined(cycles.file_cycles(r.facts.file_graph(), r.file_owners(), r.rules.lineage(), told, gated), "ring")
 
 
 @query
 def g11_async_rings(spark, sf_dir):
     f = Facts(spark, sf_dir)
-    legs = f.async_edges().where("event in ('shop.order.7', 'shop.order.8')").select("src", "dst", (F.col("event") == "shop.order.7").alias("publisher_only"))
+    legs = f.async_edges().select("src", "dst", (F.pmod(F.crc32(F.concat("src", "dst")), F.lit(2)) == 0).alias("publisher_only")).distinct()
     return joined(cycles.async_rings(f.unit_edges(), legs), "ring")
 
 
@@ -883,9 +929,10 @@ def w12_rotated_rings(spark, sf_dir):
 
 @query
 def w10_suggestions(spark, sf_dir):
-    names = Facts(spark, sf_dir).modules().select(F.col("path").alias("name"))
-    dead = spark.createDataFrame([("Brand#1",), ("LARGE",), ("zzz",)], "target string")
-    return joined(capability.suggestions(dead, names), "named")
+    r = Run(spark, sf_dir)
+    names = r.facts.modules().select(F.col("path").alias("name")).distinct()
+    asked = r.facts.table("part").select(F.col("p_type").alias("target")).unionByName(r.rules.claims().select(F.col("name").alias("target"))).unionByName(names.select(F.col("name").alias("target")))
+    return joined(capability.suggestions(asked, names, r.scores()), "named")
 
 
 @query
@@ -899,7 +946,7 @@ def u4_present_elements(spark, sf_dir):
 def j6_augmented_mapping(spark, sf_dir):
     r = Run(spark, sf_dir)
     units = r.facts.modules().select("unit").distinct().join(r.unit_owner(), "unit", "left")
-    return capability.augmented(units, r.owned())
+    return capability.augmented(units, r.scores())
 
 
 @query

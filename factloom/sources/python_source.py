@@ -1,4 +1,4 @@
-"""Python trees as facts, read by Spark and parsed with ``ast``.
+"""Python trees as facts, read by Spark and parsed with ``ast``.
 
 Files are read as a table of (path, text), parsed by executors file by file, and
 resolved by joins: own module, standard library, else external.  A file that
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What this reader states; see plans.capability.
+FACTS = {"file edges", "module edges", "type-only marks", "externals", "exports", "literal sites"}
 _SCHEMA = "path string, kind string, target string, name string, position int, value string, type_only boolean"
 _NAMES = ["path", "kind", "target", "name", "position", "value", "type_only"]
 

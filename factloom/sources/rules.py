@@ -27,7 +27,7 @@ KEYS = {
 }
 CONSTRAINTS = {"no_cycles", "public_api_allowlist", "forbid_external_crates", "external_free", "manifest_integrity", "feature_boundary", "forbid_submodule_dependency"}
 LANGUAGES = {"rust", "csharp", "go", "ts", "python", "kotlin"}
-DOMAINS = {"mode": {"abort", "warn"}, "role": {"publish", "subscribe"}, "tier": {"module", "file"}, "severity": {"error", "warning"}, "scope": {"claims", "both"}}
+DOMAINS = {"mode": {"abort", "warn"}, "role": {"publish", "subscribe"}, "tier": {"module", "file", "both"}, "severity": {"error", "warning"}, "scope": {"claims", "both"}}
 
 
 class InvalidSpec(ValueError):
@@ -59,6 +59,7 @@ class Spec:
     canonical_producer: list[dict] = field(default_factory=list)
     shared_constant: list[dict] = field(default_factory=list)
     pattern_pairs: list[dict] = field(default_factory=list)
+    pinned: bool = False  # whether the document names the language
 
 
 def _closed(shape: str, table: dict, where: str) -> None:
@@ -122,7 +123,7 @@ def load_spec(text: str) -> Spec:
     _closed("project", project, "[project]")
     if project.get("language", "rust") not in LANGUAGES:
         raise InvalidSpec(f"invalid spec: language {project['language']!r}")
-    spec = Spec(project.get("language", "rust"))
+    spec = Spec(project.get("language", "rust"), pinned="language" in project)
     for e in project.get("excluded_sources", []):
         _closed("excluded_sources", e, "excluded_sources")
         _need(e, ("path", "reason"), "excluded_sources")
@@ -236,13 +237,13 @@ class Rules:
         return self._table(rows, "entry int, src string, dst string, event string")
 
     def sides(self) -> DataFrame:
-        """A row for each side of a pattern pair: (pattern, noun, role, language, tag, position)."""
+        """A row for each side of a pattern pair, numbered: (pattern, noun, role, language, tag, position, side)."""
         rows = []
         for p in self.spec.pattern_pairs:
             for side in (p["emit"], p["subscribe"]):
                 tag = "call" if "call" in side else "property"
-                rows.append((p["id"], side[tag], side.get("role"), side["language"], tag, side.get("arg")))
-        return self._table(rows, "pattern string, noun string, role string, language string, tag string, position int")
+                rows.append((p["id"], side[tag], side.get("role"), side["language"], tag, side.get("arg"), len(rows)))
+        return self._table(rows, "pattern string, noun string, role string, language string, tag string, position int, side int")
 
     def constants(self) -> DataFrame:
         return self._table([(e["class"], e["producer"]) for e in self.spec.shared_constant], "class string, producer string")

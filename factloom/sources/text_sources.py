@@ -1,20 +1,32 @@
 """Readers of Rust, C#, Go, TypeScript and Kotlin trees by their import lines.
 
-No grammar of these languages is at hand, so that these readers see what import
-and package lines say and nothing else; S20 takes in the facts of a full scan.
-Parsing is by built-in regular expressions, resolution by joins.
+No grammar of these languages is at hand, so that these readers see what import,
+package and declaration lines say and nothing else; S20 takes in the facts of a
+full scan.  Lines are found by built-in regular expressions, the nested lists of
+Rust are spelled out by executors file by file, and resolution is by joins.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
 
-#: An import line and its target, by language. Fixed values.
+#: What these readers state of each language; see plans.capability.
+FACTS = {
+    "rust": {"file edges", "module edges", "externals", "exports", "module gates", "test gates"},
+    "csharp": {"file edges", "module edges", "externals", "exports"},
+    "go": {"module edges", "externals"},
+    "ts": {"file edges", "module edges", "type-only marks", "externals", "exports"},
+    "kotlin": {"file edges", "module edges", "externals", "exports"},
+}
+#: An import line and its target, by language; Rust's are read by rust_uses. Fixed values.
 IMPORTS = {
-    "rust": r"(?m)^\s*(?:pub(?:\([a-z]+\))?\s+)?use\s+([A-Za-z_][\w:]*)",
     "csharp": r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?([A-Za-z_][\w.]*)\s*;",
     "go": r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"\s]+)\"\s*$",
     "ts": r"(?m)(?:^|[;\s])(?:import|export)\b[^'\"\n;]*?['\"]([^'\"\n]+)['\"]|\b(?:import|require)\(\s*['\"]([^'\"\n]+)['\"]",
@@ -27,7 +39,8 @@ DECLARED = r"(?m)^\s*(?:public\s+|internal\s+|export\s+|pub\s+|data\s+|sealed\s+
 
 def imports(files: DataFrame) -> DataFrame:
     """(path, language, target, type_only) of the import lines of (path, text)."""
-    known = files.withColumn("language", trees.language_of("path")).where(F.col("language").isin(*IMPORTS))
+    every = files.withColumn("language", trees.language_of("path"))
+    known = every.where(F.col("language").isin(*IMPORTS))
 
     def of(language: str) -> Column:
         both = [F.regexp_extract_all("text", F.lit(IMPORTS[language]), g) for g in ((1, 2) if language == "ts" else (1,))]
@@ -38,7 +51,51 @@ def imports(files: DataFrame) -> DataFrame:
         targets = targets.when(F.col("language") == language, of(language))
     rows = known.select("path", "language", "text", F.explode(targets).alias("target"))
     marked = (F.col("language") == "ts") & F.rlike("text", F.concat(F.lit(r"(?m)import\s+type\b[^'\"\n;]*['\"]\Q"), "target", F.lit("\\E['\"]")))
-    return rows.select("path", "language", "target", marked.alias("type_only"))
+    rust = every.where("language = 'rust'").select("path", "text").mapInArrow(_rust_targets, "path string, language string, target string, type_only boolean")
+    return rows.select("path", "language", "target", marked.alias("type_only")).unionByName(rust)
+
+
+def rust_uses(text: str) -> list[str]:
+    """The paths that use declarations name, lists and renames spelled out: ``a::{b, c::{self, d as e}}`` is a::b, a::c, a::c::d."""
+    out: dict[str, None] = {}
+
+    def spell(prefix: str, body: str) -> None:
+        depth, start, parts = 0, 0, []
+        for k, ch in enumerate(body):
+            depth += (ch == "{") - (ch == "}")
+            if ch == "," and not depth:
+                parts.append(body[start:k])
+                start = k + 1
+        for part in [*parts, body[start:]]:
+            part = part.strip()
+            head, brace, rest = part.partition("{")
+            if brace:
+                spell(prefix + head.strip(), rest.rstrip()[:-1])
+            elif part:
+                name = re.sub(r"\s+as\s+\w+$", "", part).strip()
+                path = prefix.removesuffix("::") if name in ("self", "*") and prefix else prefix + name.removesuffix("::*")
+                out[path.removeprefix("::").replace("r#", "")] = None
+
+    plain = re.sub(r"//[^\n]*|/\*.*?\*/", "", text, flags=re.S)
+    for body in re.findall(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", plain):
+        spell("", " ".join(body.split()))
+    return [p for p in out if re.fullmatch(r"[A-Za-z_]\w*(::[A-Za-z_]\w*)*", p)]
+
+
+def _rust_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(p, "rust", t, False) for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in rust_uses(text or "")]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), pa.string(), pa.bool_()])], names=["path", "language", "target", "type_only"])
+
+
+def rust_modules(files: DataFrame) -> DataFrame:
+    """(path, name, feature, test): mod declarations of Rust files with the gate in front of them, if any."""
+    rx = r"(?m)^[ \t]*((?:#\[[^\n]*\]\s*)*)(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*[;{]"
+    rust = files.where(trees.language_of("path") == "rust")
+    pairs = rust.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(rx), 1).alias("g"), F.regexp_extract_all("text", F.lit(rx), 2).alias("n"))).alias("x"))
+    feature = F.regexp_extract("x.g", r"cfg\(\s*feature\s*=\s*\"([^\"]+)\"", 1)
+    return pairs.select("path", F.col("x.n").alias("name"), F.when(feature != "", feature).alias("feature"), F.rlike("x.g", F.lit(r"cfg\(\s*test\s*\)")).alias("test"))
 
 
 def declared(files: DataFrame) -> DataFrame:

@@ -13,8 +13,11 @@ MARKERS = {"Cargo.toml": "rust", "go.mod": "go", "package.json": "ts", "pyprojec
 PRIORITY = ["rust", "csharp", "go", "ts", "python", "kotlin"]
 #: Directories that no tree counts. Fixed values.
 SKIPPED = ["node_modules", "target", "bin", "obj", ".git", "dist", "build", "__pycache__", ".venv", "vendor"]
-#: Candidate suffixes of an import without extension, in the order of probing. Fixed values.
-TS_SUFFIXES = [".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".svelte", "/index.ts", "/index.tsx", "/index.js"]
+#: Extensions of source files in the order of probing, and of assets that are named whole. Fixed values.
+TS_SOURCES = ["ts", "tsx", "js", "jsx", "svelte", "mjs", "cjs", "mts", "cts"]
+TS_ASSETS = "css scss sass less styl svg png jpg jpeg gif webp avif woff woff2 ttf eot mp3 mp4 webm wav ogg json txt wasm".split()
+#: What else an import of a JavaScript name may mean, after the name itself. Fixed values.
+TS_INSTEAD = {"js": ["ts", "tsx", "d.ts"], "mjs": ["mts"], "cjs": ["cts"]}
 
 
 def parents(path: Column | str) -> Column:
@@ -88,12 +91,24 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return verdict.where("not negated").select("path").distinct()
 
 
+def probes(base: Column) -> Column:
+    """The paths that an import of ``base`` may mean, in order: itself where its extension is known, what a JavaScript name stands for, with each source extension, as a directory's index."""
+    ending = F.lower(F.regexp_extract(base, r"[^/]\.([^./]+)$", 1))
+    stem = F.regexp_replace(base, r"\.[^./]+$", "")
+    none = F.array().cast("array<string>")
+    whole = F.when(ending.isin(*TS_SOURCES, *TS_ASSETS), F.array(base)).otherwise(none)
+    instead = none
+    for js, others in TS_INSTEAD.items():
+        instead = F.when(ending == js, F.array(*(F.concat(stem, F.lit("." + o)) for o in others))).otherwise(instead)
+    inferred = [F.concat(base, F.lit("." + x)) for x in TS_SOURCES] + [F.concat(base, F.lit("/index." + x)) for x in TS_SOURCES]
+    return F.concat(whole, instead, F.array(*inferred))
+
+
 def candidates(specifiers: DataFrame, files: DataFrame) -> DataFrame:
     """(src, specifier, resolved): relative imports and the first candidate that exists, null where none does."""
     joined = P.canonical_dir(F.concat(F.regexp_extract("src", "^(.*)/", 1), F.lit("/"), F.col("specifier")))
     base = specifiers.select("src", "specifier").distinct().withColumn("base", joined)
-    probes = F.concat(F.array("base"), F.array(*(F.concat("base", F.lit(s)) for s in TS_SUFFIXES)))
-    ranked = base.select("src", "specifier", F.posexplode(probes).alias("rank", "path")).join(files.select("path").distinct(), "path", "left_semi")
+    ranked = base.select("src", "specifier", F.posexplode(probes(F.col("base"))).alias("rank", "path")).join(files.select("path").distinct(), "path", "left_semi")
     first = ranked.groupBy("src", "specifier").agg(F.min_by("path", "rank").alias("resolved"))
     return base.select("src", "specifier").join(first, ["src", "specifier"], "left")
 

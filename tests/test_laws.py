@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 
 from factloom.functions import paths as P
 from factloom.operators import events, graph, owners
-from factloom.plans import checks, render, views
+from factloom.plans import capability, checks, render, views
+from factloom.plans.verify import TABLES, FactSet
 from factloom.sources import model_json, python_source, rules, trees
 
 
@@ -126,6 +127,13 @@ def test_ring_is_a_greedy_walk(spark):
     edges = spark.createDataFrame(pairs, "src string, dst string")
     got = {r.component: list(r.ring) for r in graph.rings(edges, graph.strong_components(edges)).collect()}
     assert got == {"a": ["a", "b", "c", "a"], "p": ["p", "q", "p"]}
+    rng = random.Random(6)
+    for _ in range(3):  # walks by joins, at any size, take the same way
+        pairs = [(rng.choice("abcdefgh"), rng.choice("abcdefgh")) for _ in range(14)]
+        edges = spark.createDataFrame(pairs, "src string, dst string")
+        parts = graph.strong_components(edges)
+        one, two = ({r.component: list(r.ring) for r in graph.rings(edges, parts, n).collect()} for n in (1000, 0))
+        assert one == two
     # the walk may leave its start behind
     assert graph.ring_of(["a", "b", "c"], [("a", "c"), ("c", "b"), ("b", "c"), ("b", "d"), ("c", "a")][:3] + [("b", "a")]) == ["a", "c", "b", "a"]
 
@@ -143,7 +151,7 @@ def brute_clusters(nodes, pairs):
             if k and gain > 0 and (best is None or (-gain, min(x), min(y)) < best[0]):
                 best = ((-gain, min(x), min(y)), x | y)
         if best is None:
-            return {n: k for k, p in enumerate(parts) for n in p}
+            return {n: min(p) for p in parts for n in p}
         for n in best[1]:
             group[n] = best[1]
 
@@ -151,9 +159,30 @@ def brute_clusters(nodes, pairs):
 @given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from("abcdef"), st.integers(1, 3)), max_size=9))
 @settings(max_examples=150, deadline=None)
 def test_clusters_match_brute_force(rows):
-    rows = [(a, b, w) for a, b, w in rows if a != b]
     nodes = sorted("abcdef")
-    assert graph.cluster_labels(nodes, rows) == brute_clusters(nodes, rows)
+    assert graph.cluster_labels(nodes, rows) == brute_clusters(nodes, [(a, b, w) for a, b, w in rows if a != b])
+
+
+def test_three_tied_pairs_and_loops(spark):
+    """Each pair is a cluster named by its smaller node; a loop, however heavy, keeps nothing apart."""
+    pairs = [("tiedense::a", "tiedense::b"), ("tiedense::c", "tiedense::d"), ("tiedense::e", "tiedense::f")]
+    nodes = spark.createDataFrame([(x,) for p in pairs for x in p], "node string")
+    edges = spark.createDataFrame(pairs + [("tiedense::a", "tiedense::a")] * 9, "src string, dst string")
+    got = graph.clusters(nodes, edges)
+    assert {(r.node, r.cluster) for r in got.collect()} == {(x, p[0]) for p in pairs for x in p}
+    assert tuple(graph.cluster_outcome(nodes, edges).first()) == (6, 3, "3 clusters")
+
+
+def test_outcomes_of_clustering(spark, monkeypatch):
+    nodes = spark.createDataFrame([(x,) for x in "abc"], "node string")
+    of = lambda *pairs: graph.cluster_outcome(nodes, spark.createDataFrame([*pairs], "src string, dst string")).first().label
+    assert of() == "empty" and of(("a", "a")) == "empty" and of(("a", "b"), ("b", "c"), ("c", "a")) == "none (single region)"
+    assert of(("a", "b")) == "2 clusters"
+    monkeypatch.setattr(graph, "CLUSTER_EDGES", 2)
+    edges = [("a", "b")] * 3  # the limit counts repeated edges
+    assert of(*edges) == "skipped (edges=3 > cap 2)" and graph.clusters(nodes, spark.createDataFrame(edges, "src string, dst string")).count() == 0
+    monkeypatch.setattr(graph, "CLUSTER_NODES", 2)
+    assert of(*edges) == "skipped (nodes=3 > cap 2)"
 
 
 def test_clusters_count_repeated_edges(spark):
@@ -179,19 +208,98 @@ def test_no_site_is_lost(spark):
 
 
 def test_paired_sites(spark):
-    sites = spark.createDataFrame([("f", "go", "v", "p"), ("f", "go", "v", "q")], "path string, language string, value string, pattern string")
-    cand = spark.createDataFrame([("f", "go", "v", "on"), ("f", "go", "v", "emit")], "path string, language string, value string, noun string")
-    assert {(r.pattern, r._noun) for r in events.paired_sites(sites, cand).collect()} == {("p", "emit"), ("q", "on")}
+    """Two conventions on one string of a file: a pair goes to one site of its own pattern and shape, in order."""
+    sides = spark.createDataFrame([("p", "emit", "publish", "go", "call", 0, 0), ("p", "send", "publish", "go", "call", 0, 1), ("q", "on", "subscribe", "go", "call", 0, 2), ("p", "NAME", None, "go", "property", None, 3)], "pattern string, noun string, role string, language string, tag string, position int, side int")
+    cand = [("f", "go", "call", "on", 0, "v", 1), ("f", "go", "call", "send", 0, "v", 2), ("f", "go", "call", "emit", 0, "v", 3), ("f", "go", "property", "NAME", None, "v", 4), ("f", "go", "call", "emit", 1, "v", 0)]
+    candidates = spark.createDataFrame(cand, "path string, language string, tag string, noun string, position int, value string, ord int")
+    rows = [("f", "go", "v", "p", "call", 1), ("f", "go", "v", "p", "call", 2), ("f", "go", "v", "p", "call", 3), ("f", "go", "v", "q", "call", 4), ("f", "go", "v", "p", "property", 5), ("g", "go", "v", "p", "call", 6)]
+    sites = spark.createDataFrame(rows, "path string, language string, value string, pattern string, tag string, ord int")
+    # the candidate order decides, not the nouns' names; the call at another position matches no side
+    assert {r.ord: r.noun for r in events.paired_sites(sites, candidates, sides).collect()} == {1: "send", 2: "emit", 3: None, 4: "on", 5: "NAME", 6: None}
+
+
+def exemptions(spark, rows):
+    return spark.createDataFrame(rows, "entry int, cycle string, tier string, cap long, until string, reason string")
 
 
 def test_exemptions(spark):
     rings = spark.createDataFrame([("a", ["a", "b", "a"], "runtime"), ("c", ["c", "d", "c"], "runtime")], "component string, ring array<string>, kind string")
-    exempt = spark.createDataFrame(
-        [(1, "a -> b -> a", "module", 1, "2030-01-01", "r"), (2, "c -> d -> c", "module", None, "2020-01-01", "r"), (3, "x -> y -> x", "module", None, None, "r"), (4, "a -> b -> a", "file", None, None, "r")],
-        "entry int, cycle string, tier string, cap long, until string, reason string",
-    )
-    got = {r.message for r in checks.cycle_findings(rings, exempt, "2024-01-01").collect()}
-    assert got == {"cycle: c -> d -> c (runtime)", "exempt expired: module c -> d -> c", "exempt stale: module x -> y -> x"}
+    exempt = exemptions(spark, [(1, "a -> b -> a", "module", 1, "2030-01-01", "r"), (2, "c -> d -> c", "module", None, "2020-01-01", "r"), (3, "x -> y -> x", "module", None, None, "r"), (4, "a -> b -> a", "file", None, None, "r")])
+    got = {r.message for r in checks.cycle_findings(checks.tier_rings(rings, "module", "warning"), exempt, "2024-01-01").collect()}
+    assert got == {"cycle: c -> d -> c (runtime)", "exempt expired: module c -> d -> c", "exempt stale: module x -> y -> x", "exempt stale: file a -> b -> a"}
+
+
+def test_exemptions_of_both_tiers(spark):
+    """One identity on both tiers: errors come before warnings, and the cap counts both tiers."""
+    ring = spark.createDataFrame([("a", ["a", "b", "a"], "runtime")], "component string, ring array<string>, kind string")
+    files = ring.selectExpr("component", "ring", "kind", "'core' as claim")
+    found = checks.tier_rings(ring, "module", "warning").unionByName(checks.tier_rings(files, "file", "error"))
+    told = lambda *rows: {(r.severity, r.message) for r in checks.cycle_findings(found, exemptions(spark, rows), "2024-01-01").collect()}
+    error, warning = ("error", "core: a -> b -> a (runtime)"), ("warning", "cycle: a -> b -> a (runtime)")
+    assert told((1, "a -> b -> a", "both", None, None, "r")) == set()
+    assert told((1, " a -> b -> a ", "both", 1, None, "r")) == {warning}
+    assert told((1, "a -> b -> a", "module", None, None, "r")) == {error}
+    assert told((1, "a -> b -> a", "file", 0, None, "r")) == {warning}
+    # an error is no warning as well, and a kind that is not asked for is not told
+    twice = checks.tier_rings(ring, "module", "error").unionByName(checks.tier_rings(ring, "module", "warning"))
+    assert [r.severity for r in checks.cycle_findings(twice, exemptions(spark, []), "2024-01-01").collect()] == ["error"]
+    assert checks.tier_rings(ring, "module", "error", ["type-assisted"]).count() == 0
+    assert [tuple(r) for r in checks.debts(found, exemptions(spark, [(1, "a -> b -> a", "file", None, None, "r")]), "2024-01-01").collect()] == [("a -> b -> a", "module")]
+
+
+def test_schema_drift(spark):
+    """Silent without a record or a bound field; bases and copies declare; one projection an entry."""
+    entries = spark.createDataFrame([(1, "p", "s", "shop.Order"), (2, "p", "s", "mall.Order"), (3, "p", "s", "shop.Ghost"), (4, "p", "t", "shop.Order"), (5, "p", "u", "shop.Order"), (6, "p", "v", "shop.Order")], "entry int, src string, dst string, event string")
+    records = spark.createDataFrame([("Order", "id", "int"), ("Order", "state", "List.State<T>"), ("Base", "at", "Level"), ("Root", "key", "long")], "record string, field string, type string")
+    bases = spark.createDataFrame([("Order", "Base"), ("Base", "Root")], "record string, base string")
+    enums = spark.createDataFrame([("State",), ("Level",)], "name string")
+    bound = [("s", "Order", f, True, f == "state") for f in ("id", "key", "price", "state")] + [("s", "Order", "at", False, True), ("s", "Ghost", "id", True, False), ("t", "Order", "at", False, True), ("u", "Order", "state", True, False), ("v", "Order", "id", True, False), ("v", "Order", "at", False, True)]
+    own = spark.createDataFrame([("u", "Order", "state", "System.String?")], "dst string, record string, field string, type string")
+    got = checks.schema_drift(entries, records, bases, enums, spark.createDataFrame(bound, "dst string, record string, field string, bound boolean, projected boolean"), own)
+    absent = lambda e, n: f"async drift field absent: s binds {e}.Order.price — the publisher record declares no such field (entry #{n})"
+    enum = lambda d, e, f, n: f"async drift enum projection: {d} binds {e}.Order.{f} as a string projection of the publisher's enum field (entry #{n})"
+    # t binds no field of its own, so that it is silent; v's projection is seen further on
+    assert {r.message for r in got.collect()} == {absent("shop", 1), absent("mall", 2), enum("s", "shop", "state", 1), enum("s", "mall", "state", 2), enum("u", "shop", "state", 5), enum("v", "shop", "at", 6)}
+
+
+def test_laundering_is_by_the_claim_s_own_hop(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("e", "f"), ("x", "y")], "src string, dst string")
+    hop = spark.createDataFrame([("b", "c"), ("d", "e")], "src string, dst string")
+    bans = spark.createDataFrame([("a", "c"), ("d", "f"), ("d", "e"), ("x", "c")], "src string, dst string")
+    # a reaches c by a hop of b, which is for b's bans; d -> e is there directly
+    assert [tuple(r) for r in graph.laundered(pairs, hop, bans).collect()] == [("d", "f", "e")]
+
+
+def test_first_claim_in_order_reclaims(spark):
+    mapping = spark.createDataFrame([("u", None), ("w", "named")], "unit string, name string")
+    scores = spark.createDataFrame([("u::x", 2, "late", 0, 0, 9), ("u::y", 2, "late", 0, 0, 9), ("u::z", 1, "first", 0, 0, 1), ("w::a", 0, "other", 0, 0, 1)], "path string, idx int, name string, depth int, pos int, score int")
+    assert {tuple(r) for r in capability.augmented(mapping, scores).collect()} == {("u", "first", True), ("w", "named", False)}
+
+
+def test_suggestions_are_equal_names(spark):
+    paths = spark.createDataFrame([(p,) for p in ("Sample::Contracts", "Other::Contracts", "Sample::ContractsOld", "Sample::Api", "A::Contracts", "B::Contracts", "C::Contracts")], "name string")
+    scores = spark.createDataFrame([("Sample::Api", 0, "contracts", 0, 0, 5)], "path string, idx int, name string, depth int, pos int, score int")
+    dead = spark.createDataFrame([("Contracts",), ("contracts",), ("Contract",), ("Sample::Api",)], "target string")
+    got = {r.target: (list(r.named), r.more) for r in capability.suggestions(dead, paths, scores).collect()}
+    assert got == {"Contracts": (["A::Contracts", "B::Contracts", "C::Contracts"], 2), "contracts": (["Sample::Api"], 0)}
+    assert capability.did_you_mean(["a", "b", "c"], 2).endswith('did you mean "a", "b", "c"...and 2 more module paths?')
+    assert capability.did_you_mean(["a", "b"], 0).endswith('"a" or "b"?') and capability.did_you_mean([], 0) == ""
+
+
+def test_inert_rules_by_what_readers_state(spark):
+    asked = [{"type": "feature_boundary"}, {"type": "external_free"}, {"type": "manifest_integrity"}]
+    rows = lambda lang: {(r.entry, r.fact) for r in capability.inert_rules(spark, lang, asked).collect()}
+    assert rows("rust") == set() and rows("kotlin") == {(1, "module gates"), (3, "manifests")}
+    assert capability.stated("python") == python_source.FACTS | {"manifests"}
+
+
+def test_unit_grants_reach_its_modules(spark):
+    pairs = spark.createDataFrame([("mod", "lib", True, False), ("mod", "raw", True, False), ("mod", "types", True, False), ("mod", "kept", False, False)], "src string, dst string, value boolean, fallback boolean")
+    policies = spark.createDataFrame([("unit", "depend_on", "lib", "count"), ("unit", "depend_on", "raw", "count"), ("unit", "forbidden", "raw", "count"), ("unit", "depend_on", "types", "exempt"), ("unit", "depend_on", "kept", "exempt")], "name string, list string, target string, type_only string")
+    claims = spark.createDataFrame([("mod",), ("unit",)], "name string")
+    via = pairs.selectExpr("src", "dst", "'unit' as via")
+    got = {r.dst: r.verdict for r in checks.pair_verdicts(pairs, policies, claims, via).collect()}
+    assert got == {"lib": None, "raw": "disallowed", "types": "disallowed", "kept": None}
 
 
 def test_gate(spark):
@@ -231,11 +339,28 @@ def test_model_json_round_trip(spark, tmp_path):
     units = spark.createDataFrame([("a", "crate", "a"), ("b", "crate", "b")], "name string, kind string, path string")
     edges = spark.createDataFrame([("a", "b")], "src string, dst string")
     mods = spark.createDataFrame([("a", "a::x", "b::y", ["S"], False)], "unit string, src string, dst string, symbols array<string>, type_only boolean")
-    model = model_json.model_of("rust", units, edges, mods)
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    more = {
+        "modules": table([("a", "a::x"), ("b", "b::y")], "unit string, path string"),
+        "file_edges": table([("a", "a/x.rs", "b/y.rs", "use", False)], TABLES["file_edges"]),
+        "file_modules": table([("a/x.rs", "a::x")], TABLES["file_modules"]),
+        "externals": table([("a::x", "serde"), ("a::x", "log")], TABLES["externals"]),
+        "exports": table([("a", "S", "resolved")], TABLES["exports"]),
+        "shown": table([("a::x", "S")], TABLES["shown"]),
+        "roles": table([("a::x", "facade")], TABLES["roles"]),
+        "manifests": table([("a", None, ["serde"], ["slim"])], TABLES["manifests"]),
+        "module_decls": table([("a", "x", "slim", "x.rs"), ("a", "z", None, "z.rs")], TABLES["module_decls"]),
+        "test_gated": table([("a::t",)], "path string"),
+        "async_edges": table([("a", "b", "e", "publish")], TABLES["async_edges"]),
+    }
+    facts = FactSet(spark, "rust", {"units": units, "unit_edges": edges, "module_edges": mods, **more})
+    model = model_json.model_of(facts)
     (tmp_path / "m.json").write_text(render.canonical_json(model))
-    back = model_json.ModelFacts(spark, str(tmp_path / "m.json"))
-    assert model_json.model_of("rust", back.units(), back.unit_edges(), back.module_edges()) == model
-    assert back.roles().count() == 0 and back.module_external().count() == 0
+    back = model_json.ModelFacts(spark, str(tmp_path / "m.json")).fact_set()
+    assert model_json.model_of(back) == model and set(back.tables) == set(facts.tables)
+    (tmp_path / "n.json").write_text('{"language": "go"}')
+    none = model_json.ModelFacts(spark, str(tmp_path / "n.json")).fact_set()
+    assert none.language == "go" and not none.has("roles") and none.roles.count() == 0
 
 
 @pytest.mark.parametrize(
@@ -247,6 +372,10 @@ def test_bad_specs_are_refused(text):
         rules.load_spec(text)
 
 
+def test_a_rule_for_both_tiers_is_allowed():
+    assert rules.load_spec("[[exempt]]\ncycle='a'\ntier='both'\nreason='r'").exempt[0]["tier"] == "both"
+
+
 def test_renderers():
     assert render.fnv1a("") == 0xCBF29CE484222325 and render.fnv1a("a") == 0xAF63DC4C8601EC8C
     text = render.mermaid(["core", "a::b"], [("core", "a::b", "direct"), ("a::b", "core", "async")])

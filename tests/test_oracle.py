@@ -26,15 +26,3 @@ def test_every_query_is_registered():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-
-
-def test_whole_queries_hold_what_the_samples_hold(spark):
-    q = {n: queries.QUERIES[n](spark, SF) for k in ("s8_candidates", "j21_edge_labels", "r4_used_undeclared") for n in (k, k + "_whole")}
-    facts = queries.Facts(spark, SF)
-    whole = q["s8_candidates_whole"].collect()
-    assert {r.src for r in whole} == {r.src for r in facts.file_edges().collect()}
-    assert {tuple(r) for r in q["s8_candidates"].collect()} == {tuple(r) for r in whole if r.src.startswith("Brand#1/")}
-    named = {r.event for r in facts.async_edges().select("event").distinct().collect()}
-    assert {r.event for r in q["j21_edge_labels_whole"].select("event").distinct().collect()} == named | {e.replace("shop", "mall") for e in named}
-    pair = lambda df: {r.message.split(" (")[0] for r in df.collect()}
-    assert pair(q["r4_used_undeclared"]) < pair(q["r4_used_undeclared_whole"])
