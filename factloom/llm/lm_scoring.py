@@ -1,16 +1,18 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
-The corpus is counted by executors: words, and pairs of neighbouring symbols.
-A symbol is one of the most frequent words, the end of a text, or one of the
-classes that all other words are hashed into.  From the pair counts a
-log-bilinear model of one context symbol is trained in numpy: the context's
-vector times a matrix predicts the next symbol's vector, and the score is their
-product plus a bias.  Batched matrix products normalise every context's scores.
-A word outside the vocabulary has the probability of its class times its
-smoothed share of the class.
-
-The driver trains on a bounded share of the pairs; then executors draw as many
-events as the corpus has pairs, in shards whose models are averaged by rounds.
+The corpus is counted by executors.  A symbol is one of the most frequent words,
+the end of a text, or one of the classes that all other words are hashed into.
+A log-bilinear model of two context symbols is trained in numpy: the vector of
+each context symbol times the matrix of its position, summed, predicts the next
+symbol's vector, and the score is their product plus a bias.  Two symbols back
+only the most frequent ones are told apart, so that all contexts are few enough
+to be normalised once, by batched matrix products.  A word outside the
+vocabulary has the probability of its class times its smoothed share of it.
+
+One task trains first, on a bounded share of the texts; then every task trains
+on its own texts as they come by, each text in one of several rounds, and models
+are averaged by the events that they saw, level by level.  So the events grow
+with the corpus, and a task's work does not.
 
 Frequent words are looked up in a broadcast table of bounded length; rare words
 meet their counts in a join, so that no table of all words is ever gathered.
@@ -19,7 +21,6 @@ meet their counts in a join, so that no table of all words is ever gathered.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, materialise, sliced, worker_cache, words_of
+from .common import field, materialise, sliced, words_of
 
 #: No word holds a space, so this token is the end of a text and nothing else.
 END = b" "
 FLUSH = 300_000
-#: Distinct pairs that the driver trains on first; parts that executors train at once; averages of them.
-WARM_PAIRS, SHARDS, ROUNDS = 1_000_000, 12, 3
+#: Rounds that the texts are dealt to; models that are averaged at once, and that the driver takes.
+ROUNDS, FAN_IN, GATHERED = 3, 16, 64
+#: Events that a task holds at once, and bytes of a word that may stand in the lookup.
+HELD_EVENTS, LOOKED_UP_BYTES = 65_536, 200
 
 
 def held_out(id_col: str, remainder: int):
@@ -89,52 +92,28 @@ def symbols_of(words: list[bytes], ids: np.ndarray, table: np.ndarray, vocabular
     return out
 
 
-def _count_pairs(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, table, vocabulary, classes = shared.value
-        size = vocabulary + classes
-        held, kept = [], 0
-
-        def out():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["pair", "n"])
-
-        end = index.get(END, 0)
-        for batch in sliced(batches):
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                ids = np.fromiter((index.get(w, 0) for w in words), np.int64, len(words))
-                ids = symbols_of(words, ids, table, vocabulary, classes)
-                held.append(np.r_[end, ids] * size + np.r_[ids, end])
-                kept += len(ids) + 1
-            if kept > 2_000_000:
-                yield out()
-                kept = 0
-        if held:
-            yield out()
-
-    return run
-
-
-def pair_counts(texts: DataFrame, shared) -> DataFrame:
-    """(pair, n): neighbours (previous * size + next) as symbols; a text begins after an end."""
-    schema = T.StructType([field("pair", T.LongType()), field("n", T.LongType())])
-    return texts.mapInArrow(_count_pairs(shared), schema).groupBy("pair").agg(F.sum("n").alias("n"))
+def contexts(symbols: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two back, one back, next) of each symbol of a text and its end; a text begins after ends."""
+    one = np.r_[end, symbols]
+    return np.r_[end, one[:-1]], one, np.r_[symbols, end]
 
 
 # the model ------------------------------------------------------------------
 
 
 class LogBilinear:
-    """score(next | previous) = (context[previous] @ mix) . target[next] + bias[next]."""
+    """score(next | one, two back) = (context[one] @ mix[0] + context[far(two)] @ mix[1]) . target[next] + bias[next].
+
+    far(symbol) is the symbol itself below ``far``, else 0.
+    """
 
-    def __init__(self, size: int, dims: int, unigram: np.ndarray, seed: int = 3):
+    def __init__(self, size: int, dims: int, unigram: np.ndarray, far: int, seed: int = 3):
         rng = np.random.default_rng(seed)
+        self.far = min(far, size)
         self.noise = unigram / unigram.sum()
         self.context = rng.normal(0, 0.1, (size, dims)).astype(np.float32)
         self.target = rng.normal(0, 0.1, (size, dims)).astype(np.float32)
-        self.mix = np.eye(dims, dtype=np.float32)
+        self.mix = np.concatenate([np.eye(dims), np.eye(dims)]).astype(np.float32)  # a matrix for each position
         self.bias = np.log(self.noise).astype(np.float32)
         self.sums = [np.full(x.shape, 1e-2, np.float32) for x in self.parts()]
 
@@ -151,13 +130,13 @@ class LogBilinear:
             x[...] = state[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def train(self, pairs: np.ndarray, counts: np.ndarray, steps: int = 1500, batch: int = 1024, noise: int = 128, rate: float = 0.1, seed: int = 5) -> None:
-        """Noise-contrastive estimation by Adagrad: tell observed next words from ``noise`` words drawn for the whole batch."""
-        rng, size = np.random.default_rng(seed), len(self.noise)
-        ends = np.cumsum(counts, dtype=np.float64)
+    def train(self, two: np.ndarray, one: np.ndarray, true: np.ndarray, rng: np.random.Generator, batch: int = 1024, noise: int = 96, rate: float = 0.1) -> None:
+        """Noise-contrastive estimation by Adagrad over the events in order: tell observed next symbols from ``noise`` ones drawn for each batch."""
+        dims = self.context.shape[1]
         noise_ends = np.cumsum(self.noise)
         log_noise = np.log(noise * self.noise).astype(np.float32)
-        sums = self.sums
+        two = np.where(two < self.far, two, 0)
+        parts, sums, all_mix = self.parts(), self.sums, np.arange(2 * dims)
 
         def step(k: int, rows: np.ndarray, grad: np.ndarray) -> None:
             """Adagrad on the rows named, each once with its summed gradient."""
@@ -166,91 +145,174 @@ class LogBilinear:
             starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             kept, total = rows[starts], np.add.reduceat(grad[order], starts, axis=0)
             sums[k][kept] += total**2
-            (self.context, self.target, self.mix, self.bias)[k][kept] -= rate * total / np.sqrt(sums[k][kept])
+            parts[k][kept] -= rate * total / np.sqrt(sums[k][kept])
 
-        for _ in range(steps):
-            at = np.searchsorted(ends, np.sort(rng.random(batch)) * ends[-1], side="right").clip(max=len(pairs) - 1)
-            prev, true = pairs[at] // size, pairs[at] % size
-            drawn = np.searchsorted(noise_ends, rng.random(noise) * noise_ends[-1], side="right").clip(max=size - 1)
-            seen, wanted, other = self.context[prev], self.target[true], self.target[drawn]
+        for at in range(0, len(true), batch):
+            prev, before, wanted_at = one[at : at + batch], two[at : at + batch], true[at : at + batch]
+            drawn = np.searchsorted(noise_ends, rng.random(noise) * noise_ends[-1], side="right").clip(max=len(self.noise) - 1)
+            seen = np.concatenate([self.context[prev], self.context[before]], axis=1)
+            wanted, other = self.target[wanted_at], self.target[drawn]
             guess = seen @ self.mix
-            good = 1 / (1 + np.exp((guess * wanted).sum(1) + self.bias[true] - log_noise[true])) * -1  # slope at the observed word
+            good = 1 / (1 + np.exp((guess * wanted).sum(1) + self.bias[wanted_at] - log_noise[wanted_at])) * -1  # slope at the observed symbol
             bad = 1 / (1 + np.exp(-(guess @ other.T + self.bias[drawn] - log_noise[drawn])))
             d_guess = good[:, None] * wanted + bad @ other
-            d_mix = seen.T @ d_guess
-            step(0, prev, d_guess @ self.mix.T)
-            step(1, np.r_[true, drawn], np.concatenate([good[:, None] * guess, bad.T @ guess]))
-            step(3, np.r_[true, drawn], np.r_[good, bad.sum(0)])
-            step(2, np.arange(len(d_mix)), d_mix)
-
-    def log_probabilities(self, rows: int = 512) -> np.ndarray:
-        """log10 P(next | previous) for all of both; each row sums to one."""
-        out = np.empty((len(self.context), len(self.target)), np.float32)
+            d_mix, d_seen = seen.T @ d_guess, d_guess @ self.mix.T
+            step(0, np.r_[prev, before], np.concatenate([d_seen[:, :dims], d_seen[:, dims:]]))
+            step(1, np.r_[wanted_at, drawn], np.concatenate([good[:, None] * guess, bad.T @ guess]))
+            step(3, np.r_[wanted_at, drawn], np.r_[good, bad.sum(0)])
+            step(2, all_mix, d_mix)
+
+    def positions(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each symbol adds to the prediction, one back and two back."""
+        dims = self.context.shape[1]
+        return self.context @ self.mix[:dims], self.context[: self.far] @ self.mix[dims:]
+
+    def normalisers(self, two: int, rows: int = 512) -> np.ndarray:
+        """ln of the sum over all next symbols of exp(score), for each symbol one back and the given one two back."""
+        first, second = self.positions()
+        out = np.empty(len(first), np.float32)
         for at in range(0, len(out), rows):
-            scores = (self.context[at : at + rows] @ self.mix) @ self.target.T + self.bias
-            scores -= scores.max(1, keepdims=True)
-            out[at : at + rows] = (scores - np.log(np.exp(scores).sum(1, keepdims=True))) / np.log(10)
+            scores = (first[at : at + rows] + second[two]) @ self.target.T + self.bias
+            top = scores.max(1)
+            scores -= top[:, None]
+            out[at : at + rows] = np.log(np.exp(scores, out=scores).sum(1)) + top
         return out
 
+    def log_probabilities(self, two: int) -> np.ndarray:
+        """log10 P(next | one back, ``two``) for all of both; each row sums to one."""
+        first, second = self.positions()
+        scores = (first + second[two if two < self.far else 0]) @ self.target.T + self.bias
+        return (scores - self.normalisers(two if two < self.far else 0)[:, None]) / np.log(10)
+
+
+_STATES = T.StructType([field("n", T.LongType()), field("state", T.BinaryType())])
+
+
+def _state_batch(n: int, state: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([state.tobytes()], pa.binary())], names=["n", "state"])
 
-def _train_shard(shared, share: float, turn: int, batch: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        model, shard = shared.value, key[0].as_py()
-        pairs, n = (table.column(c).to_numpy() for c in ("pair", "n"))
-        by = np.argsort(pairs)
-        state = model.state()  # the broadcast value stays as it is
-        model.train(pairs[by], n[by], math.ceil(n.sum() * share / batch), batch, seed=100 * turn + shard)
+
+def _train_texts(shared, turn: int, batch: int, least: int = 0):
+    """The state of the model after the texts of a partition, and their events; they are gone over again until ``least`` events were seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, table, vocabulary, classes, model = shared.value
+        end, rng = index.get(END, 0), np.random.default_rng([turn, TaskContext.get().partitionId()])
+        state, seen = model.state(), 0  # the broadcast value stays as it is
+        held: list[tuple] = []
+        kept: list[tuple] = []
+        waiting = 0
+
+        def train(events: tuple) -> None:
+            nonlocal seen
+            model.train(*events, rng, batch)
+            seen += len(events[0])
+
+        for part in sliced(batches):
+            for text in part.column(0):
+                words = words_of(text.as_py())
+                ids = np.fromiter((index.get(w, 0) for w in words), np.int64, len(words))
+                held.append(contexts(symbols_of(words, ids, table, vocabulary, classes), end))
+                waiting += len(words) + 1
+                if waiting >= HELD_EVENTS:
+                    events = tuple(map(np.concatenate, zip(*held)))
+                    train(events)
+                    kept += [tuple(x.astype(np.int32) for x in events)] if least else []
+                    held, waiting = [], 0
+        if held:
+            events = tuple(map(np.concatenate, zip(*held)))
+            train(events)
+            kept += [events] if least else []
+        while least and kept and seen < least:
+            for k in rng.permutation(len(kept)):
+                by = rng.permutation(len(kept[k][0]))
+                train(tuple(x[by] for x in kept[k]))
         out = model.state()
         model.load(state)
-        return pa.table([pa.array([int(n.sum())]), pa.array([out.tobytes()], pa.binary())], names=["n", "state"])
+        if seen:
+            yield _state_batch(seen, out)
 
     return run
 
 
-def train_on_pairs(model: LogBilinear, pairs: DataFrame, steps: int, batch: int = 4096) -> int:
-    """Train ``model`` on the table ``pairs`` (pair, n); the events drawn, at least as many as the pairs' mass.
+def _mean(table: pa.Table) -> pa.Table:
+    weights = np.array(table.column("n").to_pylist(), np.float64)
+    total = 0.0
+    for w, state in zip(weights / weights.sum(), table.column("state")):
+        total = total + w * np.frombuffer(state.as_py(), np.float32)
+    return pa.table([pa.array([int(weights.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["n", "state"])
+
+
+def averaged(states: DataFrame) -> pa.Table | None:
+    """One row (n, state): the mean by events of all models; groups of them are averaged by executors until the driver takes few."""
+    states = materialise(states, "none")
+    count = states.count()
+    while count > GATHERED:
+        groups = -(-count // FAN_IN)
+        dealt = states.withColumn("group", F.pmod(F.xxhash64("state"), F.lit(groups)))
+        states = materialise(dealt.groupBy("group").applyInArrow(lambda t: _mean(t.select(["n", "state"])), _STATES), "none")
+        count = states.count()
+    return _mean(states.toArrow()) if count else None
+
 
-    ``steps`` batches of 1024 are drawn by the driver, from WARM_PAIRS pairs or a
-    few more.  Where the mass is larger, executors draw that many events from all
-    pairs: each shard by its mass, averaged by mass after each round.
+def train_on_texts(model: LogBilinear, texts: DataFrame, lookup: tuple, total: int, steps: int, batch: int = 4096) -> int:
+    """Train ``model`` on ``texts`` (one column); the events seen, at least as many as the texts have.
+
+    One task sees about ``steps`` * 1024 events first.  Where the texts have more,
+    each of them is seen once after that, in one of ROUNDS rounds.
     """
-    spark = pairs.sparkSession
-    kinds, mass = pairs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if not kinds:
-        return 0
-    part = max(1, 1024 * WARM_PAIRS // kinds)
-    some = (pairs.where(F.pmod(F.xxhash64("pair"), F.lit(1024)) < part) if part < 1024 else pairs).toArrow()
-    if len(some):
-        pair, n = (some.column(c).to_numpy() for c in ("pair", "n"))
-        by = np.argsort(pair)
-        model.train(pair[by], n[by], steps)
-    if mass <= steps * 1024:
-        return steps * 1024
-    dealt = pairs.withColumn("shard", F.pmod(F.xxhash64("pair", F.lit(1)), F.lit(SHARDS)).cast("int"))
-    schema = T.StructType([field("n", T.LongType()), field("state", T.BinaryType())])
-    for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)
-        found = dealt.groupBy("shard").applyInArrow(_train_shard(shared, 1 / ROUNDS, turn, batch), schema).toArrow()
-        weights = np.array(found.column("n").to_pylist(), np.float64)
-        total = np.zeros(model.state().shape)
-        for w, state in zip(weights / weights.sum(), found.column("state")):
-            total += w * np.frombuffer(state.as_py(), np.float32)
-        model.load(total)
+    spark, first = texts.sparkSession, steps * 1024
+    seen = 0
+    share = min(1.0, first / max(1, total))
+    rounds = [(texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).repartition(1), 1024, first)]
+    if total > first:
+        rounds += [(texts.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(ROUNDS)) == k), batch, 0) for k in range(ROUNDS)]
+    for turn, (part, size, least) in enumerate(rounds):
+        shared = spark.sparkContext.broadcast((*lookup, model))
+        found = averaged(part.mapInArrow(_train_texts(shared, turn, size, least), _STATES))
+        if found is not None:
+            model.load(np.frombuffer(found.column("state")[0].as_py(), np.float32))
+            seen += found.column("n")[0].as_py()
         shared.unpersist()
-    return steps * 1024 + mass
+    return seen
+
+
+def normaliser_table(spark, model: LogBilinear) -> np.ndarray:
+    """normalisers() of all contexts, (two back, one back): a row for each symbol that is told apart two back, made by executors."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for two in part.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([two]), pa.array([shared.value.normalisers(two)], pa.list_(pa.float32()))], names=["two", "z"])
+
+    rows = spark.range(0, model.far, 1, min(model.far, 32)).mapInArrow(run, T.StructType([field("two", T.LongType()), field("z", T.ArrayType(T.FloatType()))])).toArrow()
+    out = np.empty((model.far, len(model.bias)), np.float32)
+    for two, z in zip(rows.column("two").to_pylist(), rows.column("z")):
+        out[two] = z.values.to_numpy()
+    shared.unpersist()
+    return out
 
 
 # scoring --------------------------------------------------------------------
 
 
+def text_score(model: LogBilinear, positions: tuple, normalisers: np.ndarray, symbols: np.ndarray, end: int) -> float:
+    """ln P of a text's symbols and its end."""
+    (first, second), total = positions, 0.0
+    whole = contexts(symbols, end)
+    for at in range(0, len(symbols) + 1, HELD_EVENTS):
+        two, one, after = (x[at : at + HELD_EVENTS] for x in whole)
+        two = np.where(two < model.far, two, 0)
+        fit = np.einsum("ij,ij->i", first[one] + second[two], model.target[after]) + model.bias[after] - normalisers[two, one]
+        total += float(fit.sum(dtype=np.float64))
+    return total
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vocab, base, rare, model, name, symbols, classes = shared.value
-        cache = worker_cache()
-        if cache.get("lm_name") != name:
-            cache["lm_name"], cache["lm"] = name, model.log_probabilities()
-        table = cache["lm"]
-        end = index.get(END, 0)
+        index, vocab, base, rare, model, normalisers, symbols, classes = shared.value
+        positions, end = model.positions(), index.get(END, 0)
         base, rare = np.r_[0.0, base], np.r_[0.0, rare]
         row = TaskContext.get().partitionId() << 40
         for batch in sliced(batches):
@@ -260,7 +322,7 @@ def _score(shared):
                 ids = np.fromiter((index.get(w, 0) for w in words), np.int64, len(words))
                 tail = Counter(words[i] for i in np.flatnonzero(ids == 0))
                 short = symbols_of(words, ids, symbols, len(vocab), classes)
-                score = table[np.r_[end, short], np.r_[short, end]].sum(dtype=np.float64) + rare[ids].sum()
+                score = text_score(model, positions, normalisers, short, end) / math.log(10) + rare[ids].sum()
                 known = np.count_nonzero(ids) + (end > 0)
                 rows.append((row, len(words) + 1, known, base[ids].sum() + base[end], score, [*tail.keys()], [*tail.values()]))
                 row += 1
@@ -271,18 +333,20 @@ def _score(shared):
     return run
 
 
-def fit(texts: DataFrame, vocabulary: int = 2048, looked_up: int = 100_000, dims: int = 48, steps: int = 1500, classes: int = 512):
+def fit(texts: DataFrame, vocabulary: int = 2048, looked_up: int = 100_000, dims: int = 48, steps: int = 1500, classes: int = 512, far: int = 128):
     """(counts, statistics, shared) from the training texts, one column.
 
     counts is the table of all words; shared is the broadcast of the first
     ``looked_up`` words and the model over the first ``vocabulary`` of them and
-    ``classes`` of all other words: the bounds are independent of the input.  All
-    texts are counted, and the events drawn in training are as many as their pairs.
+    ``classes`` of all other words; ``far`` symbols are told apart two back.  The
+    bounds are independent of the input; words of more than LOOKED_UP_BYTES are
+    joined like rare ones.  All texts are counted, and training sees each of them.
     """
     spark = texts.sparkSession
+    texts = texts.toDF("text")
     counts = materialise(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    first = counts.orderBy(F.desc("n"), "word").limit(looked_up).toArrow()
+    first = counts.where(F.length("word") <= LOOKED_UP_BYTES).orderBy(F.desc("n"), "word").limit(looked_up).toArrow()
     top = [*zip(first.column("word").to_pylist(), first.column("n").to_pylist())]
     if top and END not in [w for w, _ in top[:vocabulary]]:  # the model holds the end whatever its rank
         ends = counts.where(F.col("word") == F.lit(bytearray(END))).first()["n"]
@@ -303,11 +367,10 @@ def fit(texts: DataFrame, vocabulary: int = 2048, looked_up: int = 100_000, dims
     rare = np.array([0.0 if k < len(vocab) else np.log10((n + 0.5) / below[zlib.crc32(w) % classes]) for k, (w, n) in enumerate(top)])
     symbols = symbol_table([w for w, _ in top], len(vocab), classes)
     unigram = np.array([max(1, mass[0]), *(n for _, n in top[: len(vocab)]), *np.maximum(1, mass[1:])], np.float64)
-    model, draws = LogBilinear(len(vocab) + classes, dims, unigram), 0
+    model, draws = LogBilinear(len(vocab) + classes, dims, unigram, far), 0
     if vocab:
-        pairs = pair_counts(texts, spark.sparkContext.broadcast((index, symbols, len(vocab), classes)))
-        draws = train_on_pairs(model, materialise(pairs), steps)
-    shared = spark.sparkContext.broadcast((index, vocab, base, rare, model, uuid.uuid4().hex, symbols, classes))
+        draws = train_on_texts(model, texts, (index, symbols, len(vocab), classes), total, steps)
+    shared = spark.sparkContext.broadcast((index, vocab, base, rare, model, normaliser_table(spark, model), symbols, classes))
     return counts, {"total": total, "distinct": distinct, "other": other, "kinds": kinds, "top": len(top), "below": below.tolist(), "draws": draws}, shared
 
 

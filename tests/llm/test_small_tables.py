@@ -209,8 +209,22 @@ def test_language_model(spark):
         want.append((k, len(tokens), sum(count[w] > 0 for w in tokens), round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), 6)))
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got), key=repr) == sorted(want, key=repr)
     assert all(math.isfinite(r.score) for r in got)
-    table_ = fitted[2].value[4].log_probabilities()
-    assert np.allclose((10.0**table_).sum(1), 1, atol=1e-4)
+    model = fitted[2].value[4]
+    for two in (0, 3):
+        assert np.allclose((10.0 ** model.log_probabilities(two)).sum(1), 1, atol=1e-4)
+    # each score is the sum over the text of the model's normalised probabilities and the words' shares of their class
+    index, vocab = fitted[2].value[0], fitted[2].value[1]
+    below = fitted[1]["below"]
+    for r in got:
+        text = next(t for k, t in rows if k == r.doc_id and len(words(t)) + 1 == r.n_tokens)
+        tokens = [w.encode() for w in words(text)] + [b" "]
+        sym = [index[w] if 0 < index.get(w, 0) <= len(vocab) else len(vocab) + c if (c := zlib.crc32(w) % 512) else 0 for w in tokens]
+        end, total = index[b" "], 0.0
+        for k, (w, x) in enumerate(zip(tokens, sym)):
+            total += model.log_probabilities(sym[k - 2] if k > 1 else end)[sym[k - 1] if k else end, x]
+            if not 0 < index.get(w, 0) <= len(vocab):
+                total += math.log10((count[w.decode()] + 0.5) / below[zlib.crc32(w) % 512])
+        assert abs(total - r.score) < 1e-2 + 1e-4 * abs(total), (total, r.score)
     better = [r for r in got if r.doc_id is not None and r.doc_id < 120 and zlib.crc32(str(r.doc_id).encode()) % 5 == 1]
     assert sum(r.score for r in better) > sum(r.base_score for r in better)
 
@@ -223,22 +237,54 @@ def test_language_model_of_rare_words(spark, monkeypatch):
     asked = [(1000 + 10 * x + y, f"rare{x} {'abcd'[y]}") for x in range(4) for y in range(4)]
     assert len({zlib.crc32(f"rare{x}".encode()) % 512 for x in range(4)}) == 4
     docs = table(spark, rows).select("text")
-    for steps, warm in ((600, 1_000_000), (2, 3)):  # on the driver alone; by executors for the most part
-        monkeypatch.setattr(lm_scoring, "WARM_PAIRS", warm)
+    for steps in (600, 2):  # in one task alone; by all tasks for the most part
         fitted = lm_scoring.fit(docs, vocabulary=5, looked_up=7, steps=steps)
         assert fitted[1]["draws"] >= fitted[1]["total"]
         got = {r.doc_id: r.score for r in lm_scoring.score(table(spark, asked), fitted).collect()}
         assert all(math.isfinite(x) for x in got.values())
-        table_ = fitted[2].value[4].log_probabilities()
-        assert np.allclose((10.0**table_).sum(1), 1, atol=1e-4)
+        assert np.allclose((10.0 ** fitted[2].value[4].log_probabilities(1)).sum(1), 1, atol=1e-4)
         if steps > 2:
             for x in range(4):
                 assert max(range(4), key=lambda y: got[1000 + 10 * x + y]) == x
-    monkeypatch.setattr(lm_scoring, "SHARDS", 2)
-    fitted = lm_scoring.fit(docs.union(docs).union(docs), vocabulary=5, looked_up=7, steps=1)
+    monkeypatch.setattr(lm_scoring, "GATHERED", 1)
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 2)
+    fitted = lm_scoring.fit(docs.union(docs).union(docs).repartition(5), vocabulary=5, looked_up=7, steps=1)
     assert fitted[1]["draws"] >= fitted[1]["total"] > 1024
 
 
+def test_models_are_averaged_by_their_events(spark):
+    rows = [(n, np.array([n, 2.0 * n], np.float32).tobytes()) for n in (1, 2, 3, 4, 5)]
+    found = lm_scoring.averaged(spark.createDataFrame(rows, "n long, state binary"))
+    assert found.column("n").to_pylist() == [15]
+    assert np.allclose(np.frombuffer(found.column("state")[0].as_py(), np.float32), np.array([55 / 15, 110 / 15]))
+    assert lm_scoring.averaged(spark.createDataFrame([], "n long, state binary")) is None
+
+
+def test_two_context_words_beat_a_bigram(spark):
+    """Two chains take turns, so that a symbol follows from the one two back and hardly from the one before it."""
+    rng = random.Random(2)
+    follow = {w: rng.sample("abcdefgh", 2) for w in "abcdefgh"}
+    def text():
+        out = rng.choices("abcdefgh", k=2)
+        while len(out) < 80:
+            out.append(rng.choice(follow[out[-2]]))
+        return " ".join(out)
+    rows = [(k, text()) for k in range(300)]
+    held = [(k, t) for k, t in rows if k % 5 == 0]
+    train = [t for k, t in rows if k % 5]
+    fitted = lm_scoring.fit(table(spark, [(k, t) for k, t in rows if k % 5]).select("text"), vocabulary=20, looked_up=20, steps=900)
+    got = lm_scoring.score(table(spark, held), fitted).collect()
+    pairs, ones = Counter(), Counter()
+    for t in train:
+        seq = [" ", *words(t), " "]
+        pairs.update(zip(seq, seq[1:]))
+        ones.update(seq[:-1])
+    bigram = sum(math.log10((pairs[a, b] + 0.5) / (ones[a] + 0.5 * 9)) for _, t in held for a, b in zip([" ", *words(t)], [*words(t), " "]))
+    score, base = sum(r.score for r in got), sum(r.base_score for r in got)
+    assert score > 0.75 * bigram > base or score > 0.75 * bigram  # logarithms: nearer to zero is better
+    assert score > base
+
+
 def test_language_model_with_a_rare_end(spark):
     text = " ".join(f"w{k}" for k in range(1100)) + " " + " ".join(f"w{k}" for k in range(1100))
     docs = table(spark, [(1, text), (2, "w1 w2")])
