@@ -101,11 +101,32 @@ def hot_keys(counts: DataFrame, most: int = 4096, keys: int = 100_000) -> DataFr
     A part holds ``most`` rows, or one in ``keys`` of all rows if that is more, so
     that hot keys can never be more than ``keys``: they may be broadcast.
     """
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return hot_of(counts, counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], most, keys)
+
+
+def hot_of(counts: DataFrame, total: int, most: int = 4096, keys: int = 100_000) -> DataFrame:
+    """hot_keys of counts whose sum is known."""
     bound = max(most, -(-total // keys))
     return counts.where(F.col("rows") > bound).withColumn("parts", F.ceil(F.col("rows") / bound).cast("int")).drop("rows")
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, most: int = 1024) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``rows`` the number of rows of ``left``.
+
+    The rows of a hot key are dealt to parts, of which each has a copy of the key.
+    """
+    hot = F.broadcast(hot_keys(right.select(*keys, F.col(rows).alias("rows")), most))  # bounded by hot_keys
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("parts"))).cast("int")
+    dealt = left.join(hot, keys, "left").withColumn("part", part).drop("parts")
+    copies = right.drop(rows).join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies.hint("merge"), [*keys, "part"]).drop("part")
+
+
+def dealt_parts(rows: int, each: int) -> int:
+    """How many partitions of ``each`` rows (or bytes, or tokens) there should be; 100,000 at most."""
+    return max(1, min(100_000, -(-rows // each)))
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     holder = sys.modules.setdefault("factloom_worker_cache", types.ModuleType("factloom_worker_cache"))

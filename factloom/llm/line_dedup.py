@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hot_keys, lower_ascii, materialise, wrapped
+from .common import SPACE, lower_ascii, materialise, spread_join, wrapped
 
 
 def line_key(line: Column) -> Column:
@@ -28,14 +28,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_doc
     hashed = materialise(keys.select("id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")))
     counted = hashed.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last"), F.count("*").alias("rows"))
     common = materialise(counted.where(F.col("n") >= min_docs).select("h1", "h2", "last", "rows"))
-    # lines of a hot key meet their key in parts, of which each has a copy of the key
-    hot = F.broadcast(hot_keys(common.select("h1", "h2", "rows"), part_rows))  # bounded by hot_keys
-    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "row_key", "pos"), F.col("parts"))).cast("int")
-    left = hashed.join(hot, ["h1", "h2"], "left").withColumn("part", salt).drop("parts")
-    right = common.drop("rows").join(hot, ["h1", "h2"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     # the joins are of one kind at every size: sorted by line, and hashed by
     # document, where the small side is the positions
-    gone = left.join(right.hint("merge"), ["h1", "h2", "part"]).where("id <> last")
+    gone = spread_join(hashed, common, ["h1", "h2"], "rows", part_rows).where("id <> last")
     drops = materialise(gone.groupBy("id", "row_key").agg(F.collect_set("pos").alias("drops")))
     out = rows.drop("text").join(drops.hint("shuffle_hash"), ["id", "row_key"], "left")
     out = out.withColumn("text", F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).withColumn("parts", F.split("text", "\n", -1))

@@ -15,11 +15,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, wrapped
+from .common import dealt_parts, materialise, wrapped
 
 GRID = 1024
 #: Sources up to this number are broadcast (about 100 bytes each); more are joined by key.
 MOST_BROADCAST = 100_000
+#: Tokens in a partition of mixed documents, about 15 MB.
+PART_TOKENS = 1 << 21
 
 
 def count_words(text: Column) -> Column:
@@ -174,4 +176,5 @@ def mixed_documents(
     copies = copies.join(F.broadcast(ends_at) if ends.count() <= MOST_BROADCAST else ends_at, F.col("source") == F.col("_of"))
     taken = copies.where((F.col("epoch") <= F.floor("repeats")) | F.coalesce(place <= F.col("last"), F.lit(False)))
     order = ["epoch", "block_order", "block", "row_order"]
-    return taken.select("row", *order).repartitionByRange(*order).sortWithinPartitions(*order).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    tokens = ends.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    return taken.select("row", *order).repartitionByRange(dealt_parts(tokens, PART_TOKENS), *order).sortWithinPartitions(*order).select(*(F.col("row")[c].alias(c) for c in docs.columns))

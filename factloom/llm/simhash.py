@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, hot_keys, materialise, sliced, words_of, wrapped
+from .common import dealt_parts, field, hot_keys, hot_of, materialise, sliced, spread_join, words_of, wrapped
 from .components import connected_components
 
 #: Runs of a block up to this length are compared pair by pair.
@@ -44,6 +44,8 @@ CANDIDATE_BITS, CANDIDATE_DISTANCE = 128, 48
 #: Sets of one group of candidates meet in a task up to this number and this
 #: number of shingles, others in pairs of such parts.
 SET_BLOCK, SET_SHINGLES = 4096, 4_000_000
+#: Rows of blocks in a task, about 10 MB.
+BLOCK_ROWS = 250_000
 _EDGES = T.StructType([field("a", T.BinaryType()), field("b", T.BinaryType())])
 _KEYED = T.StructType([field("key", T.LongType()), field("fp", T.BinaryType())])
 
@@ -277,21 +279,23 @@ def _linked(most: int, bits: int):
 
 
 def dealt(keyed: DataFrame, most: int) -> DataFrame:
-    """``keyed`` (key, fp) with keys of so many rows split into pairs of parts, each pair under a key of its own.
+    """``keyed`` (key, fp) by key, with keys of more than ``most`` rows split into pairs of parts, each pair under a key of its own.
 
     Every two fingerprints of a key meet in the pair of their parts.
     """
-    hot = hot_keys(keyed.groupBy("key").agg(F.count("*").alias("rows")), most)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("rows"))
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    placed = keyed.join(F.broadcast(hot), "key", "left")  # bounded by hot_keys
+    placed = keyed.join(F.broadcast(hot_of(counts, total, most)), "key", "left")  # bounded by hot_of
     others = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != part))
     paired = placed.withColumn("part", part).withColumn("other", F.explode(others))
-    return paired.select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"), "fp")
+    key = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    return paired.select(key.alias("key"), "fp").repartition(dealt_parts(total, BLOCK_ROWS), "key")
 
 
 def block_links(keyed: DataFrame, max_distance: int, bits: int, most: int = 4096) -> DataFrame:
     """Links (a, b) of the fingerprints that chains of close pairs join inside the blocks of ``keyed`` (key, fp)."""
-    return dealt(keyed, most).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(max_distance, bits), _EDGES)
+    return dealt(keyed, most).sortWithinPartitions("key").mapInArrow(_linked(max_distance, bits), _EDGES)
 
 
 def fingerprint_links(distinct: DataFrame, max_distance: int, pieces: int, bits: int = 64, most: int = 4096) -> DataFrame:
@@ -373,7 +377,8 @@ def set_links(docs: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int,
     placed = nodes.select("set", "n", "fp", "rep").join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("shingles") / SET_SHINGLES)).cast("int")
-    members = materialise(placed.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")))
+    members = spread_join(placed, sizes.select("component", "sets", blocks.alias("blocks")), ["component"], "sets")
+    members = materialise(members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     same = F.col("id").eqNullSafe(F.col("rep.doc_id")) & (F.col("key") == F.col("rep.row_key"))
     chosen = texts.join(members.hint("shuffle_hash"), same).select("component", "set", "block", "blocks", "text")
@@ -426,8 +431,9 @@ def near_duplicates(
         parts = connected_components(materialise(block_links(keyed, max_distance, bits, most)))
         parts = connected_components(materialise(set_links(docs, nodes, parts, shingle, similarity, id_col=id_col, text_col=text_col)))
     labelled = nodes.join(parts.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
-    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = materialise(labelled.join(named, "component").select(node, "component_id"))
+    labelled = materialise(labelled.select(node, "least", "component"))
+    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    of_node = materialise(spread_join(labelled.select(node, "component"), named, ["component"], "nodes").select(node, "component_id"))
     return rows.select("doc_id", "row_key", *dict.fromkeys(["fp", node])).join(of_node, node).select("doc_id", "row_key", "fp", "component_id")
 
 
