@@ -87,7 +87,7 @@ def place_edges(edges: DataFrame, owned: DataFrame, unit_owner: DataFrame, linea
     """
     # all that is known of an endpoint is put together once for each path, so that
     # the edges are shuffled for their two ends and no more
-    ends = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
     known = ends.withColumn("unit", F.element_at(P.segments("path"), 1)).join(owned.select("path", F.col("name").alias("own")), "path", "left")
     known = known.join(unit_owner.select("unit", F.col("name").alias("by_unit")), "unit", "left")
     if gated is None:
@@ -106,7 +106,7 @@ def place_edges(edges: DataFrame, owned: DataFrame, unit_owner: DataFrame, linea
 
 def gated_paths(edges: DataFrame, gated: DataFrame) -> DataFrame:
     """(path): endpoints that are gated, or lie under a gated path (P10)."""
-    ends = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
     return ends.select("path", F.explode(P.lineage("path")).alias("_q")).join(gated.select(F.col("path").alias("_q")).distinct(), "_q", "left_semi").select("path").distinct()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans.checks import CATEGORIES
 from .queries import SPEC
 
 
@@ -156,11 +157,7 @@ have as (select distinct a.anc_name as src, b.anc_name as dst from (select src,
 gate as (select distinct a.anc_name as src, b.anc_name as dst from placed p join lineage a on p.src_claim = a.name join lineage b on p.dst_claim = b.name where p.placed = 'gated'),
 missing as (select w.src, w.dst, case when w.src in (select src_claim from placed where placed = 'unowned' and src_claim is not null) then 'unowned' when g.src is not null then 'test-gated' else '' end as reason
   from wanted w left join gate g on w.src = g.src and w.dst = g.dst where (w.src, w.dst) not in (select src, dst from have))"""
-_CATS = "['missing component', 'unexpected component', 'unassigned unit', 'ambiguous module match', 'forbidden edge present', 'missing edge', 'used but undeclared', 'disallowed cross-component dependency', 'facade dependency', 'contract leak', 'cycle detected in', 'public api leak', 'unverifiable glob export', 'empty glob export', 'forbidden external crate', 'not external free', 'manifest integrity', 'feature boundary', 'forbidden submodule dependency', 'dead reference']"
-ALL = f"""{VERDICTS}, {MISSING}, {ROLES}, {FACADES}, {EXPORTS}, {LINKS}, {MANIFESTS}, {DECLS}, {MATCHED}, {DEAD},
-every as (select category, message from ({SELECT_EDGES}) union select 'missing edge', src || ' -> ' || dst || case reason when '' then '' else ' (' || reason || ')' end from missing
-  union select 'facade dependency', src || ' -> ' || dst from facades union select * from ({SELECT_API}) union select * from ({SELECT_EXT}) union select * from ({SELECT_FREE}) union select * from ({SELECT_MANIFEST})
-  union select * from ({SELECT_FEATURE}) union select * from ({SELECT_SUB}) union select * from ({SELECT_DEAD}))"""
+_CATS = "[" + ", ".join(f"'{x}'" for x in CATEGORIES) + "]"
 SHOWN = "shown as (select distinct o.name as claim, p_type || '_' || p_size as symbol from part join owned o on p_brand || '::' || p_type = o.path)"
 EXPOSE = values("declaring", "chain, pattern", [(x.name, p) for x in SPEC.claims for p in x.expose or []] + [("core_large", "LARGE_1*")])
 
@@ -293,7 +290,6 @@ union all select 'warning', 'warning', 'exempt expired: module a -> b -> a' unio
     "j19_unit_product": q(UNIT_EDGES, UNITS, "n as (select name as unit, root || '!' as node from units union all select name, path from units)", select="select distinct a.node as src, b.node as dst from unit_edges e join n a on e.src = a.unit join n b on e.dst = b.unit where a.node <> b.node"),
     "j22_manifest_edges": q(MANIFESTS, select="select unit as src, case dep when 'PROMO' then 'PRO-MO' else dep end as dst from (select unit, unnest(deps) as dep from manifests) t where dep in ('LARGE', 'PROMO', 'SMALL')"),
     "a12_markers": q(ROLES, select="select split_part(path, '::', -1) as node, min(role) as role from roles group by node having count(distinct role) = 1"),
-    "a1_violations": q(ALL, select="select case when category in ('forbidden edge present', 'facade dependency') then 'boundary' when category in ('missing edge', 'disallowed cross-component dependency', 'used but undeclared') then 'undeclared' else 'contracts' end as bucket, count(*)::bigint as n from every group by bucket"),
     "a1_metrics": q(
         VERDICTS, UNITS, UNIT_EDGES, LINKS,
         select="select 'components' as metric, count(*)::bigint as n from claims union all select 'units', count(*)::bigint from units union all select 'edges_internal', count(*)::bigint from unit_edges union all select 'edges_external', count(distinct package)::bigint from links union all select case verdict when 'forbidden' then 'violations_boundary' else 'violations_undeclared' end, count(*)::bigint from verdicts where verdict is not null group by verdict",
@@ -355,7 +351,6 @@ union all select 'warning', 'warning', 'exempt expired: module a -> b -> a' unio
         "named as (select name from pat union select name from upat)",
         select="select 'missing component' as category, name as message from named where name not in (select name from claim_scores) and name not in (select name from unit_owner) union all select 'unexpected component', unit from (select distinct unit from modules) u where unit not in (select unit from unit_owner)",
     ),
-    "r24_findings": q(ALL, select=f"select list_position({_CATS}, category)::bigint as category_ord, category, 'error' as severity, message from every"),
     "s3_glob_exports": q(
         CYCLE, MODULES, CLOSURE.format("cycle_graph"),
         "direct as (select distinct p_brand || '::' || p_type as owner, p_type || '_' || p_size as symbol from part where p_size % 10 = 3 and p_type <> 'PROMO')",
@@ -410,3 +405,25 @@ union all select 'warning', 'warning', 'exempt expired: module a -> b -> a' unio
     ),
     "flagship_forbidden_edges": q(VERDICTS, select=f"select (case verdict when 'forbidden' then 5 else 8 end)::integer as category_ord, category, 'error' as severity, message from (select *, {SELECT_EDGES.split('select ', 1)[1].split(' from ')[0]} from verdicts where verdict is not null)"),
 }
+
+
+def _message(name: str, category: str = "category", message: str = "message") -> str:
+    return f"select {category} as category, {message} as message from ({ORACLE[name]}) t_{name}"
+
+
+_CYCLE_SQL = q(PLACED, CLAIM_RINGS, select="select 'cycle detected in' as category, array_to_string(ring, ' -> ') || ' (' || kind || ')' as message from kinds")
+_USED_SQL = ORACLE["r4_used_undeclared"].replace("where dst <> 'promo'", "")
+_PARTS = [
+    *(_message(n) for n in ("r2_edge_findings", "r5_facades", "r6_contract_leaks", "r9_public_api", "r10_forbidden_externals", "r11_external_free", "r12_manifests", "r13_feature_boundary", "r14_submodules", "r16_dead_references", "r18_async", "r20_producers", "r22_components")),
+    _message("r3_missing_edges", "'missing edge'", "src || ' -> ' || dst || case reason when '' then '' else ' (' || reason || ')' end"),
+    _message("r7_unexposed", "'contract leak'", "claim || ' exposes ' || symbol || ' (not exposed)'"),
+    _message("r15_engagement", "'warning'", """kind || ': ' || claim || coalesce(' is fully claimed by ' || "by", '')"""),
+    _message("r19_schema_drift", "'warning'"),
+    _message("r21_ambiguous", "'ambiguous module match'", "path || ' matches ' || name_a || ', ' || name_b"),
+    f"select category, message from ({_CYCLE_SQL}) t_cycles",
+    f"select category, message from ({_USED_SQL}) t_used",
+]
+_EVERY = " union ".join(_PARTS)
+ORACLE["r24_findings"] = f"select coalesce(nullif(list_position({_CATS}, category), 0), {len(CATEGORIES) + 1})::bigint as category_ord, category, case category when 'warning' then 'warning' else 'error' end as severity, message from ({_EVERY}) every"
+ORACLE["a1_violations"] = f"""select bucket, count(*)::bigint as n from (select case when category in ('missing component', 'unexpected component', 'unassigned unit', 'ambiguous module match') then 'components' when category in ('forbidden edge present', 'facade dependency') then 'boundary'
+  when category in ('missing edge', 'disallowed cross-component dependency', 'used but undeclared') then 'undeclared' when category = 'cycle detected in' or category = 'warning' and starts_with(message, 'cycle: ') then 'cycles' when category <> 'warning' then 'contracts' end as bucket from ({_EVERY}) every) t where bucket is not null group by bucket"""

@@ -15,6 +15,7 @@ class Facts:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.held: dict[str, DataFrame] = {}  # tables that a caller has written for reuse
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -40,6 +41,8 @@ class Facts:
 
     def imports(self) -> DataFrame:
         """A row for each import: (unit, src, dst, symbol, type_only, src_file, dst_file)."""
+        if "imports" in self.held:
+            return self.held["imports"]
         part = self.table("part").select("p_partkey", "p_brand", "p_type", "p_size")
         lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
         node = F.concat_ws("::", "p_brand", "p_type")
@@ -83,6 +86,8 @@ class Facts:
 
     def async_edges(self) -> DataFrame:
         """(src, dst, event): who publishes what to whom, from the first user of each event value."""
+        if "async_edges" in self.held:
+            return self.held["async_edges"]
         s = self.literal_sites()
         pub = s.where("noun = 'signup'").select(F.col("unit").alias("src"), F.concat(F.lit("shop.order."), F.col("value")).alias("event"), "value").distinct()
         sub = s.where("noun = 'purchase'").select(F.col("unit").alias("dst"), "value").distinct()

@@ -12,6 +12,7 @@ from .operators import events, graph, owners
 from .operators.state import settle
 from .plans import capability, census, checks, cycles, sample_rules, views
 from .plans.projection import Facts
+from .plans.verify import FactSet, Verdict
 from .sources import modules, trees
 from .sources.rules import Rules, load_spec
 
@@ -32,13 +33,18 @@ class Run:
         self.held: dict[str, DataFrame] = {}
 
     def hold(self) -> Run:
-        """Write what many checks share, so that it is made once: edges, owners and placement."""
-        for name in ("edges", "owned", "placed"):
+        """Write what many checks share, so that it is made once: imports, async edges, scores, owners and placement."""
+        for name in ("imports", "async_edges"):
+            self.facts.held[name] = settle(getattr(self.facts, name)())
+        for name in ("scores", "owned", "placed"):
             self.held[name] = settle(getattr(self, name)())
         return self
 
     def edges(self) -> DataFrame:
-        return self.held.get("edges") or self.facts.module_edges()
+        """Module edges, written once: they are joined for both ends and for their endpoints."""
+        if "edges" not in self.held:
+            self.held["edges"] = settle(self.facts.module_edges())
+        return self.held["edges"]
 
     def paths(self) -> DataFrame:
         return self.facts.modules().select("path").distinct()
@@ -47,7 +53,7 @@ class Run:
         return self.rules.patterns("modules")
 
     def owned(self) -> DataFrame:
-        return self.held.get("owned") or owners.owners(self.paths(), self.patterns())
+        return self.held.get("owned") or owners.best_owners(self.scores())
 
     def unit_owner(self) -> DataFrame:
         units = self.facts.table("part").select(F.col("p_brand").alias("value")).distinct()
@@ -79,7 +85,7 @@ class Run:
         return self.scores().select("name").distinct()
 
     def scores(self) -> DataFrame:
-        return owners.claim_scores(self.paths(), self.patterns())
+        return self.held.get("scores") or owners.claim_scores(self.paths(), self.patterns())
 
     def file_owners(self) -> DataFrame:
         """(path, name): files by the claim of their module."""
@@ -784,16 +790,29 @@ def r22_components(spark, sf_dir):
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of all error-level checks, in canonical order."""
+    """The findings of the checks over the driver tables, in canonical order."""
     r = Run(spark, sf_dir).hold()
     c = {x["type"]: x for x in SPEC.constraints}
     miss = _missing(r)
     suffix = F.when(F.col("reason") == "", "").otherwise(F.concat(F.lit(" ("), "reason", F.lit(")")))
     edges, f = r.edges(), r.facts
+    shown, _ = _contracts(r)
+    hidden = checks.unexposed(shown, _exposing(r))
+    twice = owners.ambiguous_owners(r.paths(), r.patterns())
+    told = checks.engagement(r.scores(), r.rules.claims(), r.patterns())
+    text = F.when(F.col("by").isNull(), F.concat("kind", F.lit(": "), "claim")).otherwise(F.concat("kind", F.lit(": "), "claim", F.lit(" is fully claimed by "), "by"))
+    a = f.async_edges()
+    rings = checks.tier_rings(cycles.claim_cycles(r.pairs()), "module", "error")
     parts = [
+        _components(r).select("category", F.lit("error").alias("severity"), "message", F.lit(0).alias("entry")),
+        checks.finding(twice, "ambiguous module match", F.concat("path", F.lit(" matches "), "name_a", F.lit(", "), "name_b")),
         checks.edge_findings(r.verdicts()),
         checks.finding(miss, "missing edge", F.concat(checks.arrow(), suffix)),
+        checks.used_undeclared(r.evidence(), r.pairs()),
         checks.facade_dependencies(edges, f.roles(), f.test_gated()),
+        checks.contract_leaks(shown.withColumnRenamed("symbol", "name"), *_forbidden(r)),
+        checks.finding(hidden, "contract leak", F.concat("claim", F.lit(" exposes "), "symbol", F.lit(" (not exposed)"))),
+        checks.cycle_findings(rings, r.rules.exempt(), "2024-06-01"),
         checks.public_api(f.exports(), c["public_api_allowlist"]["allowed"]),
         checks.forbidden_externals(f.page_links(), c["forbid_external_crates"]["from"], c["forbid_external_crates"]["forbid"]),
         checks.external_free(f.page_links(), c["external_free"]["from"]),
@@ -801,8 +820,37 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.feature_boundary(f.module_decls(), edges, c["feature_boundary"]["feature"], c["feature_boundary"]["gated_modules"], c["feature_boundary"]["allowed_from"]),
         checks.submodule_dependencies(edges, c["forbid_submodule_dependency"]["parent"], c["forbid_submodule_dependency"]["from"], c["forbid_submodule_dependency"]["forbid"]),
         checks.dead_references(r.rules.allowed(), r.rules.claims()),
+        checks.finding(told, "warning", text, "warning"),
+        checks.async_findings(r.rules.async_depends(), a, a, a, f.units().select(F.col("name").alias("unit"))),
+        checks.schema_drift(_declared_events(f).select("entry", "dst", "event").distinct(), *f.event_records()),
+        checks.producer_findings(r.rules.producers(), r.resolved_producers()),
     ]
-    return checks.findings(parts)
+    return checks.findings(parts).drop("entry").distinct()
+
+
+def fact_set(spark: SparkSession, sf_dir: str) -> FactSet:
+    """The driver tables as the facts of a scan, for a verdict over all of them."""
+    f = Facts(spark, sf_dir)
+    for name in ("imports", "async_edges"):
+        f.held[name] = settle(getattr(f, name)())
+    records, bases, enums, bound, own = f.event_records()
+    graph_of_files = f.imports().where("src_file <> dst_file").groupBy("unit", F.col("src_file").alias("src"), F.col("dst_file").alias("dst")).agg(F.bool_and("type_only").alias("type_only"))
+    brands = f.modules().select(F.col("unit").alias("name"), F.lit("brand").alias("kind"), F.col("unit").alias("path")).distinct()
+    module = F.regexp_replace("path", r"^(.*)/src/(.*)/m[0-9]+\.ts$", "$1::$2")
+    tables = {
+        "units": brands.unionByName(f.units().select("name", "kind", "path")), "unit_edges": f.unit_edges(), "modules": f.modules(), "module_edges": f.module_edges().drop("weight"),
+        "file_edges": graph_of_files.select("unit", "src", "dst", F.lit("use").alias("kind"), "type_only"), "file_modules": _files(spark, sf_dir).select("path", module.alias("module")),
+        "externals": f.page_links(), "roles": f.roles(), "exports": f.exports(), "test_gated": f.test_gated(), "manifests": f.manifests(), "module_decls": f.module_decls(), "async_edges": f.async_edges().withColumn("kind", F.lit("publish")),
+        "shown": f.table("part").select(F.concat_ws("::", "p_brand", "p_type").alias("path"), F.concat("p_type", F.lit("_"), F.col("p_size").cast("string")).alias("symbol")).distinct(),
+        "records": records, "bases": bases, "enums": enums, "bound": bound, "own_records": own, "declarers": f.async_edges().select("event", F.col("src").alias("unit")).distinct(),
+    }
+    return FactSet(spark, SPEC.language, tables)
+
+
+@query
+def r24_verdict(spark, sf_dir):
+    """Everything that verify checks, over the driver tables at once."""
+    return big(Verdict(fact_set(spark, sf_dir), SPEC, "2024-06-01").findings.drop("entry"), "category_ord")
 
 
 @query
@@ -971,4 +1019,4 @@ def j23_explain(spark, sf_dir):
 @query
 def flagship_forbidden_edges(spark, sf_dir):
     """Slice 0: findings of the boundary pairs, from tables to messages."""
-    return checks.findings([checks.edge_findings(Run(spark, sf_dir).verdicts())])
+    return checks.findings([checks.edge_findings(Run(spark, sf_dir).verdicts())]).drop("entry")

@@ -7,6 +7,7 @@ joins on paths and names.
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..plans.verify import FactSet
 from . import manifests, python_source, text_sources, trees
 
 #: Files that a scan reads.
-PATTERN = "{" + ",".join([*(f"*.{x}" for x in trees.EXTENSIONS), "*.csproj", *(m for m in manifests.READERS if not m.startswith(".")), ".gitignore"]) + "}"
+PATTERN = "{" + ",".join([*(f"*.{x}" for x in trees.EXTENSIONS), "*.csproj", *(m for m in manifests.READERS if not m.startswith("."))]) + "}"
 _NONE = "cast(array() as array<string>)"
 
 
@@ -26,13 +27,26 @@ class ScanFailed(RuntimeError):
     """A tree that cannot be read as it stands."""
 
 
+def ignore_rules(root: str) -> list[tuple[str, int, str, bool]]:
+    """(base, line, pattern, negated) of the tree's ignore files, which Spark's readers leave out as hidden."""
+    out = []
+    for folder, below, names in os.walk(root):
+        below[:] = [d for d in below if d not in trees.SKIPPED]
+        if ".gitignore" in names:
+            base = os.path.relpath(folder, root).replace(os.sep, "/")
+            for n, line in enumerate(Path(folder, ".gitignore").read_text(encoding="utf-8").splitlines()):
+                text = line.rstrip()
+                if text.strip() and not text.lstrip().startswith("#"):
+                    out.append(("" if base == "." else base, n, text.removeprefix("!"), text.startswith("!")))
+    return out
+
+
 def kept_files(spark: SparkSession, root: str, excluded: DataFrame | None = None) -> DataFrame:
     """(path, text) of the tree's files, without mechanical, ignored and declared exclusions."""
-    files = trees.skip_mechanical(settle(python_source.read_tree(spark, os.path.abspath(root), PATTERN)))
-    base = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    lines = files.where("path = '.gitignore' or path like '%/.gitignore'").select(base.alias("base"), F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
-    rules = lines.where(~F.rlike("raw", F.lit(r"^\s*(#.*)?$"))).select("base", "line", F.regexp_replace(F.rtrim("raw"), r"^!", "").alias("pattern"), F.startswith("raw", F.lit("!")).alias("negated"))
-    gone = trees.ignored(files, settle(rules))
+    top = os.path.abspath(root)
+    files = trees.skip_mechanical(settle(python_source.read_tree(spark, top, PATTERN)))
+    rules = spark.createDataFrame(ignore_rules(top), "base string, line int, pattern string, negated boolean")
+    gone = trees.ignored(files, rules)
     if excluded is not None:
         gone = gone.unionByName(trees.exclusions(files, excluded).select("path"))
     return settle(files.join(gone.distinct(), "path", "left_anti"))
