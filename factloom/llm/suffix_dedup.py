@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, materialise, sliced, worker_cache
+from .common import field, materialise, sliced, spread_join, worker_cache
 
 GRAM = 32
 #: Windows of a fragment, and bytes of text that are hashed at once.
@@ -426,7 +426,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rep = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row_key", "start", "windows"))
     distinct = materialise(some.groupBy("key", "f").agg(F.count("*").alias("times"), F.max("own").alias("own"), rep.alias("rep")))
     keys = distinct.groupBy("key").agg(F.count("*").alias("texts"), F.max("own").alias("any_own"), F.min("times").alias("least")).where("least = 1 and (texts > 1 or any_own)")
-    open_ = distinct.join(keys.select("key").hint("merge"), "key")
+    open_ = spread_join(distinct, keys.select("key", "texts"), ["key"], "texts")
     wanted = F.struct("key", "f", "times", F.col("rep.start").alias("start"), (F.col("rep.windows") + (length - 1)).alias("size"))
     by_doc = open_.groupBy(F.col("rep.id").alias("_id"), F.col("rep.row_key").alias("_key")).agg(F.collect_list(wanted).alias("wanted"))
     same = rows.id.eqNullSafe(F.col("_id")) & (rows.row_key == F.col("_key"))
