@@ -130,20 +130,22 @@ class LogBilinear:
             x[...] = state[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def train(self, two: np.ndarray, one: np.ndarray, true: np.ndarray, rng: np.random.Generator, batch: int = 1024, noise: int = 96, rate: float = 0.1) -> None:
+    def train(self, two: np.ndarray, one: np.ndarray, true: np.ndarray, rng: np.random.Generator, batch: int = 1024, noise: int = 32, rate: float = 0.1) -> None:
         """Noise-contrastive estimation by Adagrad over the events in order: tell observed next symbols from ``noise`` ones drawn for each batch."""
         dims = self.context.shape[1]
         noise_ends = np.cumsum(self.noise)
         log_noise = np.log(noise * self.noise).astype(np.float32)
         two = np.where(two < self.far, two, 0)
         parts, sums, all_mix = self.parts(), self.sums, np.arange(2 * dims)
+        small = np.int16 if len(self.noise) < 1 << 15 else np.int64  # sorts by counting
 
         def step(k: int, rows: np.ndarray, grad: np.ndarray) -> None:
             """Adagrad on the rows named, each once with its summed gradient."""
-            order = np.argsort(rows, kind="stable")
+            order = np.argsort(rows.astype(small), kind="stable")
             rows = rows[order]
-            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            kept, total = rows[starts], np.add.reduceat(grad[order], starts, axis=0)
+            last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True])
+            running = np.cumsum(grad[order], axis=0, dtype=np.float64)[last]
+            kept, total = rows[last], np.diff(running, axis=0, prepend=np.zeros_like(running[:1])).astype(np.float32)
             sums[k][kept] += total**2
             parts[k][kept] -= rate * total / np.sqrt(sums[k][kept])
 
