@@ -139,29 +139,37 @@ class LogBilinear:
         parts, sums, all_mix = self.parts(), self.sums, np.arange(2 * dims)
         small = np.int16 if len(self.noise) < 1 << 15 else np.int64  # sorts by counting
 
-        def step(k: int, rows: np.ndarray, grad: np.ndarray) -> None:
-            """Adagrad on the rows named, each once with its summed gradient."""
+        def gathered(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each row that is named, once, with the sum of its gradients."""
             order = np.argsort(rows.astype(small), kind="stable")
             rows = rows[order]
-            last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True])
-            running = np.cumsum(grad[order], axis=0, dtype=np.float64)[last]
-            kept, total = rows[last], np.diff(running, axis=0, prepend=np.zeros_like(running[:1])).astype(np.float32)
-            sums[k][kept] += total**2
-            parts[k][kept] -= rate * total / np.sqrt(sums[k][kept])
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            return rows[starts], np.add.reduceat(grad[order], starts, axis=0)
+
+        def step(k: int, rows: np.ndarray, total: np.ndarray) -> None:
+            sums[k][rows] += total**2
+            parts[k][rows] -= rate * total / np.sqrt(sums[k][rows])
 
         for at in range(0, len(true), batch):
             prev, before, wanted_at = one[at : at + batch], two[at : at + batch], true[at : at + batch]
             drawn = np.searchsorted(noise_ends, rng.random(noise) * noise_ends[-1], side="right").clip(max=len(self.noise) - 1)
-            seen = np.concatenate([self.context[prev], self.context[before]], axis=1)
+            first, second = self.positions()
+            guess = first[prev] + second[before]
             wanted, other = self.target[wanted_at], self.target[drawn]
-            guess = seen @ self.mix
             good = 1 / (1 + np.exp((guess * wanted).sum(1) + self.bias[wanted_at] - log_noise[wanted_at])) * -1  # slope at the observed symbol
             bad = 1 / (1 + np.exp(-(guess @ other.T + self.bias[drawn] - log_noise[drawn])))
             d_guess = good[:, None] * wanted + bad @ other
-            d_mix, d_seen = seen.T @ d_guess, d_guess @ self.mix.T
-            step(0, np.r_[prev, before], np.concatenate([d_seen[:, :dims], d_seen[:, dims:]]))
-            step(1, np.r_[wanted_at, drawn], np.concatenate([good[:, None] * guess, bad.T @ guess]))
-            step(3, np.r_[wanted_at, drawn], np.r_[good, bad.sum(0)])
+            # a context's gradients are summed by symbol before they meet the matrices
+            (u, of_u), (v, of_v) = gathered(prev, d_guess), gathered(before, d_guess)
+            d_mix = np.concatenate([self.context[u].T @ of_u, self.context[v].T @ of_v])
+            to_u, to_v = of_u @ self.mix[:dims].T, of_v @ self.mix[dims:].T
+            rows = np.r_[wanted_at, drawn]
+            t, of_t = gathered(rows, np.concatenate([good[:, None] * guess, bad.T @ guess]))
+            of_bias = np.bincount(rows, np.r_[good, bad.sum(0)], len(self.bias)).astype(np.float32)[t]
+            step(0, u, to_u)
+            step(0, v, to_v)
+            step(1, t, of_t)
+            step(3, t, of_bias)
             step(2, all_mix, d_mix)
 
     def positions(self) -> tuple[np.ndarray, np.ndarray]:
