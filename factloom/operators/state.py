@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one is set where there is none."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir.
+
+    Where that is unset a temporary folder is set, on a local master only.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
