@@ -34,6 +34,8 @@ from .components import connected_components
 
 #: Bytes of the pivots, which the driver gathers and broadcasts, as unit rows in double precision.
 PIVOT_BYTES = 64 << 20
+#: Bytes of a block of vectors in double precision; a task holds two blocks and as much again.
+BLOCK_BYTES = 64 << 20
 #: What single precision may be off by, generously.
 SLACK = 1e-4
 
@@ -232,21 +234,23 @@ def index_size(n: int, dims: int) -> tuple[int, int]:
     return max(1, min(n, max(64, math.ceil(names / 2 * math.sqrt(n))), max(64, PIVOT_BYTES // (8 * dims)))), names
 
 
-def links(distinct: DataFrame, threshold: float = 0.9, kind: str = "<f8", named: int | None = None, shared: int = 2, pivots: int | None = None, block: int = 16_384) -> DataFrame:
+def links(distinct: DataFrame, threshold: float = 0.9, kind: str = "<f8", named: int | None = None, shared: int = 2, pivots: int | None = None, block: int | None = None) -> DataFrame:
     """What tasks found among ``distinct`` (vec_id, v, copies): rows (a, null, n) with parts of the number of
     vectors, copies included, that a is linked to, and rows (a, b, null) with links that span what is linked."""
     spark = distinct.sparkSession
     n, width = distinct.agg(F.count("*"), F.max(F.length("v"))).first()
     if n < 2:
         return spark.createDataFrame([], _FOUND)
-    n_pivots, names = index_size(n, width // np.dtype(kind).itemsize)
+    dims = width // np.dtype(kind).itemsize
+    n_pivots, names = index_size(n, dims)
+    block = block or max(1024, BLOCK_BYTES // (8 * dims))
     n_pivots, names = min(n, pivots or n_pivots), named or names
     sample = choose_pivots(distinct, n_pivots, kind)
     points = spread(sample, 0.8)
     n_pivots = len(points)
     names, shared = min(names, n_pivots), min(shared, n_pivots)
-    # a group is what is nearest to one of the first pivots; about three of them hold all names of a vector
-    heads = max(1, min(n_pivots // 8, -(-3 * n // block)))
+    # a group is what is nearest to one of the first pivots; the fewer there are, the fewer copies of a vector
+    heads = max(1, min(n_pivots // 8, -(-2 * n // block) if n > block else 1))
     group_of = nearest_pivots(points, points[:heads], 1)[:, 0]
     own = group_of[nearest_pivots(sample, points, names)]
     share = np.array([(own == g).any(1).mean() for g in range(heads)])
