@@ -38,7 +38,7 @@ from .common import field, materialise, sliced, words_of
 END = b" "
 FLUSH = 300_000
 #: Rounds that the texts are dealt to; models that are averaged at once, and that the driver takes.
-ROUNDS, FAN_IN, GATHERED = 3, 16, 64
+ROUNDS, FAN_IN, GATHERED = 3, 16, 8
 #: Events that a task holds at once, and bytes of a word that may stand in the lookup.
 HELD_EVENTS, LOOKED_UP_BYTES = 65_536, 200
 
