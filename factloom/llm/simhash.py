@@ -44,8 +44,12 @@ CANDIDATE_BITS, CANDIDATE_DISTANCE = 128, 48
 #: Sets of one group of candidates meet in a task up to this number and this
 #: number of shingles, others in pairs of such parts.
 SET_BLOCK, SET_SHINGLES = 4096, 4_000_000
+#: Values of a group of sets that are compared as bits.
+FREQUENT = 1024
 #: Rows of blocks in a task, about 10 MB.
 BLOCK_ROWS = 250_000
+#: Bytes of texts that are hashed at once where sets are asked for.
+TEXT_BYTES = 1 << 20
 _EDGES = T.StructType([field("a", T.BinaryType()), field("b", T.BinaryType())])
 _KEYED = T.StructType([field("key", T.LongType()), field("fp", T.BinaryType())])
 
@@ -77,6 +81,15 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def factors_of(n: int) -> np.ndarray:
+    """An odd factor for each of the first ``n`` places."""
+    return mixed(np.arange(n, dtype=np.uint64), 3) | np.uint64(1)
+
+
+#: Numbers of the 256 bytes, and the factors of the first places of a word.
+BYTES, FACTORS = mixed(np.arange(256, dtype=np.uint64), 4), factors_of(256)
+
+
 def fingerprint(words: list[bytes], shingle: int, bits: int = 64) -> bytes:
     """A bit is 1 if it is set in over half the hashes; big-endian.  No words: zero."""
     return fingerprint_of(shingle_hashes(words, shingle), bits)
@@ -96,27 +109,115 @@ def fingerprint_of(h: np.ndarray, bits: int) -> bytes:
     return out.tobytes()
 
 
-def class_blocks(h: np.ndarray) -> np.ndarray:
-    """Keys of a set's blocks: the SimHash of the shingles (distinct hashes) in each class that has any.
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of ``data`` (A-Z in lower case, with white space at the end), and where it starts.
 
-    Texts of a similarity of 0.8 differ in size by a quarter at most, so that
-    they share a number of classes: each takes its own and that of the larger.
+    A hash is the mixed sum of its bytes' numbers, each times a factor of the byte's place.
+    """
+    at = np.frombuffer(data, np.uint8)
+    inside = (at != 32) & (at - np.uint8(9) > 4)
+    edges = np.flatnonzero(np.r_[inside[:1], inside[1:] != inside[:-1]])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), 100_000):  # the arrays of a long text stay small
+        own = slice(k, k + 100_000)
+        piece = slice(starts[own][0], ends[own][-1])
+        sizes = ends[own] - starts[own]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        longest = int(sizes.max())
+        factors = FACTORS if longest <= len(FACTORS) else factors_of(longest)
+        out[own] = np.add.reduceat(BYTES[at[piece][inside[piece]]] * factors[place], first)
+    return mixed(out, 5), starts
+
+
+def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's runs of ``size`` words (of all words, where there are fewer), ascending in each text, and how many it has.
+
+    All texts are hashed at once.  The hashes are not those of ``shingle_hashes``.
     """
-    own = sorted({max(LEAST_CLASSES, 1 << max(0, int(n / 4 - 1e-9).bit_length())) for n in (len(h), len(h) * 1.25)})
-    spread, keys = mixed(h, 101), [np.empty(0, np.uint64)]
-    for classes in own:
-        at = spread & np.uint64(classes - 1)
-        used = np.flatnonzero(at < (classes if classes == LEAST_CLASSES else CLASSES))
+    data = b"".join([(t or b"") + b" " for t in texts]).lower()
+    words, starts = word_hashes(data)
+    bounds = np.searchsorted(starts, np.r_[0, np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)])
+    n, first = np.diff(bounds), bounds[:-1]
+    weighted = np.concatenate([words, np.zeros(size, np.uint64)])
+    runs = np.zeros(len(words), np.uint64)
+    for j in range(size):
+        runs += weighted[j : j + len(words)] * factors_of(size)[j]
+    for t in np.flatnonzero((n > 0) & (n < size)):
+        runs[first[t]] = (words[first[t] : first[t] + n[t]] * factors_of(size)[: n[t]]).sum()
+    runs = mixed(runs, 6)[np.arange(len(words)) - np.repeat(first, n) < np.repeat(np.maximum(n - size + 1, 1), n)]
+    ends = np.cumsum(np.where(n > 0, np.maximum(n - size + 1, 1), 0))
+    bounds = np.r_[0, ends]
+    for a, b in zip(bounds[:-1].tolist(), ends.tolist()):
+        runs[a:b].sort()
+    new = np.r_[np.ones(min(1, len(runs)), bool), runs[1:] != runs[:-1]]
+    new[bounds[:-1][n > 0]] = True
+    return runs[new], np.diff(np.r_[0, np.cumsum(new)][bounds])
+
+
+def set_fingerprints(h: np.ndarray, sizes: np.ndarray, bits: int) -> list[bytes]:
+    """``fingerprint_of`` each set; the sets lie in ``h`` one after the other.
+
+    The ones of every eighth bit are summed at once, as bytes of a word, over 255 hashes at most.
+    """
+    out = np.zeros((len(sizes), bits // 64, 8), np.uint8)
+    some = np.flatnonzero(sizes)
+    runs = -(-sizes[some] // 255)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat((np.cumsum(sizes) - sizes)[some], runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    ones = np.empty((len(some), 8, 8), np.int64)  # by set, octet from the lowest, bit from the lowest
+    for k in range(bits // 64 if len(some) else 0):
+        x = mixed(h, k)
+        for bit in range(8):
+            sums = np.add.reduceat((x >> np.uint64(bit)) & np.uint64(0x0101010101010101), starts)
+            ones[:, :, bit] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+        out[some, k] = np.packbits(2 * ones[:, ::-1, ::-1] > sizes[some, None, None], axis=2)[:, :, 0]
+    return [x.tobytes() for x in out]
+
+
+def classes_for(n: float) -> int:
+    return max(LEAST_CLASSES, 1 << max(0, int(n / 4 - 1e-9).bit_length()))
+
+
+def set_blocks(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks of each set, and how many it has: the SimHash of the shingles (distinct hashes) in each class that has any.
+
+    The sets lie in ``h`` one after the other.  Texts of a similarity of 0.8
+    differ in size by a quarter at most, so that they share a number of classes:
+    each takes its own and that of the larger.
+    """
+    own = np.array([(classes_for(n), classes_for(n * 1.25)) for n in sizes.tolist()], np.int64).reshape(-1, 2)
+    owner, spread = np.repeat(np.arange(len(sizes)), sizes), mixed(h, 101)
+    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for classes in np.unique(own).tolist():
+        used = np.flatnonzero((own == classes).any(1)[owner])
+        used = used[spread[used] & np.uint64(classes - 1) < (classes if classes == LEAST_CLASSES else CLASSES)]
         if not len(used):
             continue
-        used = used[np.argsort(at[used], kind="stable")]
-        name = at[used]
-        starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        name = (spread[used] & np.uint64(classes - 1)).astype(np.int64)
+        place = owner[used] * LEAST_CLASSES + name
+        order = np.argsort(place, kind="stable")
+        used, name, place = used[order], name[order], place[order]
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         ones = np.add.reduceat(np.unpackbits(h[used].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int64)
-        sizes = np.diff(np.r_[starts, len(used)])
-        value = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
-        keys.append(mixed(value, 1 + 2 * classes) ^ mixed(name[starts], 2 + 2 * classes))
-    return np.concatenate(keys).view(np.int64)
+        held = np.diff(np.r_[starts, len(used)])
+        value = np.packbits(2 * ones > held[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+        keys.append(mixed(value, 1 + 2 * classes) ^ mixed(name[starts].astype(np.uint64), 2 + 2 * classes))
+        owners.append(owner[used[starts]])
+    at = np.concatenate(owners)
+    return np.concatenate(keys)[np.argsort(at, kind="stable")].view(np.int64), np.bincount(at, minlength=len(sizes))
+
+
+def split(h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The sets that lie in ``h`` one after the other, as bytes."""
+    ends = np.cumsum(sizes)
+    return [h[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def class_blocks(h: np.ndarray) -> np.ndarray:
+    """``set_blocks`` of one set."""
+    return set_blocks(h, np.array([len(h)]))[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
@@ -130,14 +231,15 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=TEXT_BYTES) if sets else sliced(batches):
             if sets:
-                found = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)) for t in batch.column(2)]
+                h, sizes = shingle_sets(batch.column(2).cast(pa.large_binary()).to_pylist(), shingle)
+                keys, held = set_blocks(h, sizes)
                 columns = [
-                    pa.array([fingerprint_of(h, bits) for h in found], pa.binary()),
-                    pa.array([xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
-                    pa.array([len(h) for h in found], pa.int64()),
-                    pa.array([class_blocks(h) for h in found], pa.list_(pa.int64())),
+                    pa.array(set_fingerprints(h, sizes, bits), pa.binary()),
+                    pa.array([xxh3_128_digest(x) for x in split(h, sizes)], pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)], pa.int32()), pa.array(keys)),
                 ]
             else:
                 columns = [pa.array([fingerprint(words_of(t.as_py()), shingle, bits) for t in batch.column(2)], pa.binary())]
@@ -167,6 +269,12 @@ def _bits(column, bits: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), bits // 8), axis=1)
 
 
+def words_from(column: pa.Array, bits: int) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    fixed = column.cast(pa.binary(bits // 8))
+    return np.frombuffer(fixed.buffers()[1], np.uint64)[fixed.offset * bits // 64 :][: len(fixed) * bits // 64].reshape(-1, bits // 64)
+
+
 def _number(ones: np.ndarray) -> np.ndarray:
     """Columns of bits (63 at most) as a number."""
     return ones.astype(np.int64) @ (np.int64(1) << np.arange(ones.shape[1], dtype=np.int64))
@@ -265,7 +373,7 @@ def _linked(most: int, bits: int):
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(keys), bits // 64)
+            fps = words_from(batch.column(1), bits)
             held.append((keys, fps))
             if keys[-1] != held[0][0][0]:
                 keys, fps = (np.concatenate(c) for c in zip(*held))
@@ -283,10 +391,12 @@ def dealt(keyed: DataFrame, most: int) -> DataFrame:
 
     Every two fingerprints of a key meet in the pair of their parts.
     """
-    counts = keyed.groupBy("key").agg(F.count("*").alias("rows"))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    total = keyed.count()
+    hot = materialise(hot_of(keyed.groupBy("key").agg(F.count("*").alias("rows")), total, most))
+    if hot.isEmpty():
+        return keyed.select("key", "fp").repartition(dealt_parts(total, BLOCK_ROWS), "key")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    placed = keyed.join(F.broadcast(hot_of(counts, total, most)), "key", "left")  # bounded by hot_of
+    placed = keyed.join(F.broadcast(hot), "key", "left")  # bounded by hot_of
     others = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != part))
     paired = placed.withColumn("part", part).withColumn("other", F.explode(others))
     key = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
@@ -317,34 +427,76 @@ def fingerprint_links(distinct: DataFrame, max_distance: int, pieces: int, bits:
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Links that join all sets (distinct values) which chains of pairs at a Jaccard similarity of at least ``similarity`` join."""
+    """Links that join all sets (distinct values) which chains of pairs at a Jaccard similarity of at least ``similarity`` join.
+
+    With its values in one order, the rarest first, a set of n values shares one
+    of its first n - ceil(similarity * n) + 1 with any set that is so similar, and
+    it is one of the other's first as well (prefix filter).  Only sets that meet
+    in such a value are compared, so that the work does not grow with the square
+    of the group where texts share a passage only.  Where many meet, their
+    FREQUENT most frequent values are compared as bits: these and all others that
+    are shared are the most that two sets can have in common.
+    """
     a, b = [], []
-    left = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
-    if len(left) < 2:
-        return a, b
     sizes = np.array([len(s) for s in sets], np.int64)
-    values = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    ids = np.split(values, np.cumsum(sizes)[:-1])
-    mark = np.zeros(values.max() + 1, bool)
-    front: list[int] = []
-    flat = None
-    while len(left):
-        if not front:
-            front, left, flat = [int(left[0])], left[1:], None
-            continue
-        if flat is None:
-            flat, starts = np.concatenate([ids[k] for k in left]), np.r_[0, np.cumsum(sizes[left])[:-1]]
-        x = front.pop()
-        mark[ids[x]] = True
-        common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
-        mark[ids[x]] = False
-        hit = common >= similarity * (sizes[x] + sizes[left] - common) - 1e-9
-        if hit.any():
-            reached = left[hit].tolist()
+    if (sizes > 0).sum() < 2:
+        return a, b
+    values, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    single = int((counts == 1).sum())  # ranks below are in one set only
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = rank[values]
+    ends = np.cumsum(sizes)
+    for s, e in zip((ends - sizes).tolist(), ends.tolist()):
+        flat[s:e].sort()
+    place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+    most = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    shared = flat >= single
+    named = np.flatnonzero(shared & (place < most[owner]))
+    flat, held = flat[shared] - single, np.bincount(owner[shared], minlength=len(sets))
+    ends = np.cumsum(held)
+    starts = ends - held
+    first_values = flat[np.cumsum(shared)[named] - 1]
+    first_ends = np.cumsum(np.bincount(owner[named], minlength=len(sets)))
+    by_value = np.argsort(first_values, kind="stable")
+    holders = owner[named][by_value]
+    value_ends = np.cumsum(np.bincount(first_values, minlength=len(counts) - single))
+    top = max(0, len(counts) - single - FREQUENT)
+    bits = np.zeros((len(sets), FREQUENT), bool)
+    frequent = np.flatnonzero(flat >= top)
+    among = np.repeat(np.arange(len(sets)), held)[frequent]
+    bits[among, flat[frequent] - top] = True
+    rest = held - np.bincount(among, minlength=len(sets))
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    mark, open_ = np.zeros(len(counts) - single, bool), np.ones(len(sets), bool)
+    for seed in np.unique(holders).tolist():
+        front = [seed] if open_[seed] else []
+        open_[seed] = False
+        while front:
+            x = front.pop()
+            own = first_values[first_ends[x - 1] if x else 0 : first_ends[x]]
+            lists = [holders[value_ends[v - 1] if v else 0 : value_ends[v]] for v in own.tolist()]
+            if sum(map(len, lists)) < len(sets):
+                met = np.concatenate([holders[:0], *lists])
+                met = np.unique(met[open_[met]])
+            else:
+                met = np.flatnonzero(open_ & (held > 0))
+            bound = np.bitwise_count(bits[met] & bits[x]).sum(1, dtype=np.int64) + np.minimum(rest[met], rest[x])
+            met = met[bound >= similarity * (sizes[x] + sizes[met] - bound) - 1e-9]
+            if not len(met):
+                continue
+            mark[flat[starts[x] : ends[x]]] = True
+            runs = held[met]  # none is empty
+            begin = np.cumsum(runs) - runs
+            at = np.arange(runs.sum()) + np.repeat(starts[met] - begin, runs)
+            common = np.add.reduceat(mark[flat[at]], begin, dtype=np.int64)
+            mark[flat[starts[x] : ends[x]]] = False
+            reached = met[common >= similarity * (sizes[x] + sizes[met] - common) - 1e-9].tolist()
             a += [x] * len(reached)
             b += reached
             front += reached
-            left, flat = left[~hit], None
+            open_[reached] = False
     return a, b
 
 
@@ -352,8 +504,8 @@ def _set_rows(shingle: int):
     names = ["component", "set", "block", "blocks", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            hashes = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)).tobytes() for t in batch.column(4)]
+        for batch in sliced(batches, size=TEXT_BYTES):
+            hashes = split(*shingle_sets(batch.column(4).cast(pa.large_binary()).to_pylist(), shingle))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(hashes, pa.binary())], names=names)
 
     return run

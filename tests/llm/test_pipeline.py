@@ -162,3 +162,67 @@ def test_similar_links_in_parts(spark):
     near = {r["set"]: r.rep.doc_id for r in nodes.collect()}
     pairs = {frozenset((near[r.a], near[r.b])) for r in links}
     assert pairs == {frozenset((k, k + 1)) for k in range(11)}
+
+
+def test_similar_links_against_all_pairs():
+    import numpy as np
+
+    simhash, rng = corpus_pipeline.simhash, np.random.default_rng(3)
+    for similarity in (0.8, 0.83, 0.9, 1.0) * 25:
+        base, sets = rng.integers(0, 2**63, 300).astype(np.uint64), []
+        for _ in range(rng.integers(0, 30)):
+            kept = base[rng.integers(0, 30) :][: rng.integers(0, 60)]
+            own = rng.integers(0, 2**63, rng.integers(0, 2 + len(kept) // 6)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([kept[rng.random(len(kept)) > 0.25 * rng.random()], own])))
+        sets = [*{s.tobytes(): s for s in sets}.values()]
+        held = [{*s.tolist()} for s in sets]
+        pairs = [(i, j) for j in range(len(held)) for i in range(j) if held[i] and held[j] and similar(held[i], held[j]) and len(held[i] & held[j]) >= similarity * len(held[i] | held[j]) - 1e-9]
+        a, b = simhash.similar_links(sets, similarity)
+        root = [*range(len(sets))]
+        for i, j in zip(a, b):
+            root = [root[i] if r == root[j] else r for r in root]
+            assert (min(i, j), max(i, j)) in pairs
+        assert all(root[i] == root[j] for i, j in pairs)
+
+
+@pytest.mark.parametrize("low, high", [(0.3, 0.7), (0.0, 0.5), (0.05, 0.2)])
+def test_similar_links_of_a_large_group(low, high):
+    """Texts of one passage or template: the work must not grow with the square of their shingles."""
+    import time
+
+    import numpy as np
+
+    simhash, rng = corpus_pipeline.simhash, np.random.default_rng(4)
+
+    def seconds(n):
+        base, sets = rng.integers(0, 2**63, 300).astype(np.uint64), []
+        for own in rng.uniform(low, high, n):
+            kept = base[rng.random(300) > own]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, 300 - len(kept)).astype(np.uint64)])))
+        began = time.thread_time()
+        simhash.similar_links(sets, 0.8)
+        return time.thread_time() - began
+
+    unit = seconds(200)
+    assert seconds(6000) < 200 * max(unit, 0.005) + 2  # 900 times with the square
+
+
+def test_sets_hashed_together():
+    import numpy as np
+
+    simhash, rng = corpus_pipeline.simhash, random.Random(6)
+    texts = [None, "", " \n\t", "a", "A b", "a b c d", "a b c d e", "a  b\tC d E", " lead a b c d e f ", "x" * 5000, "x" * 5000 + " " + "y" * 300, "é è ü 日本語 x y z w"]
+    texts += [" ".join(rng.choices("abcdef", k=rng.randint(1, 900))) for _ in range(40)] + [" ".join(map(str, range(230_000)))]
+    want = [shingles(t) for t in texts]
+    h, sizes = simhash.shingle_sets([t and t.encode() for t in texts], 5)
+    assert sizes.tolist() == [len(w) for w in want]
+    ends = np.cumsum(sizes)
+    sets = [h[e - n : e] for e, n in zip(ends, sizes)]
+    assert all((np.diff(s.astype(object)) > 0).all() for s in sets)
+    assert len(np.unique(h)) == len(set().union(*want))
+    for _ in range(300):
+        i, j = rng.randrange(len(texts) - 1), rng.randrange(len(texts) - 1)
+        assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+    assert simhash.set_fingerprints(h, sizes, 128) == [simhash.fingerprint_of(s, 128) for s in sets]
+    keys, held = simhash.set_blocks(h, sizes)
+    assert [k.tolist() for k in np.split(keys, np.cumsum(held)[:-1])] == [simhash.class_blocks(s).tolist() for s in sets]
